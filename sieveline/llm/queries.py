@@ -8,12 +8,32 @@ from pyspark.sql import functions as F
 from sieveline.llm.leakage import find_leaks
 from sieveline.llm.mixing import mix_report, sample_mix, token_sizes
 from sieveline.llm.mojibake import repair
+from sieveline.llm.syntax import invalid_rates, syntax_report
 from sieveline.session import checkpointed, read_table, spread
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """More splits for CPU-heavy work where the scan gives fewer than there are cores."""
+    return spread(df) if df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every stored source text; deltas are no source texts."""
+    records = read_table(spark, sf_dir, "evidence_record").where("kind is null or kind <> 'delta'")
+    records = _spread(records.select("evidence_id", "project", "file", "text"))
+    return syntax_report(records, keep=("project",))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_flags(spark, sf_dir).where("not valid").select("evidence_id").distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(p2_flags(spark, sf_dir), "project", "language")
+
+
 def _documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", *keep)
-    return spread(docs) if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else docs
+    return _spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *keep))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +83,9 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_flags": p2_flags,
+    "p2_rates": p2_rates,
     "p6_found": p6_found,
     "p6_leaks": _leaks,
     "p6_leaked_items": p6_leaked_items,
