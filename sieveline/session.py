@@ -83,3 +83,9 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """``spread`` only where the scan gives fewer splits than two per core."""
+    narrow = df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism
+    return spread(df) if narrow else df
