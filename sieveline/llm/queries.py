@@ -8,19 +8,15 @@ from pyspark.sql import functions as F
 from sieveline.llm.leakage import find_leaks
 from sieveline.llm.mixing import mix_report, sample_mix, token_sizes
 from sieveline.llm.mojibake import repair
+from sieveline.llm.provenance import classify, file_features, train_names
 from sieveline.llm.syntax import invalid_rates, syntax_report
-from sieveline.session import checkpointed, read_table, spread
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """More splits for CPU-heavy work where the scan gives fewer than there are cores."""
-    return spread(df) if df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism else df
+from sieveline.session import checkpointed, read_table, spread_if_narrow
 
 
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every stored source text; deltas are no source texts."""
     records = read_table(spark, sf_dir, "evidence_record").where("kind is null or kind <> 'delta'")
-    records = _spread(records.select("evidence_id", "project", "file", "text"))
+    records = spread_if_narrow(records.select("evidence_id", "project", "file", "text"))
     return syntax_report(records, keep=("project",))
 
 
@@ -32,8 +28,25 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(p2_flags(spark, sf_dir), "project", "language")
 
 
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that nobody wrote by hand, with the kinds it was found to be and the deciding features."""
+    files = spread_if_narrow(read_table(spark, sf_dir, "indexed_file").select("file_id", "project", "relative", "text"))
+    features = checkpointed(file_features(files, train_names(files)))
+    return classify(features).where("size(kinds) > 0")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_kinds(spark, sf_dir).select("file_id").distinct()
+
+
+def p4_project_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each kind per project."""
+    kinds = p4_kinds(spark, sf_dir).select("project", F.explode("kinds").alias("kind"))
+    return kinds.groupBy("project", "kind").agg(F.count(F.lit(1)).alias("files"))
+
+
 def _documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return _spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", *keep))
+    return spread_if_narrow(read_table(spark, sf_dir, "documents").select("doc_id", "text", *keep))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +99,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_flags": p2_flags,
     "p2_rates": p2_rates,
+    "p4_found": p4_found,
+    "p4_kinds": p4_kinds,
+    "p4_project_shares": p4_project_shares,
     "p6_found": p6_found,
     "p6_leaks": _leaks,
     "p6_leaked_items": p6_leaked_items,
