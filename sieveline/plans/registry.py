@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import drift_queries, log_queries, nested_queries
+from sieveline.plans import analysis_queries, drift_queries, log_queries, nested_queries, retrieval_queries
 
-MODULES = [nested_queries, drift_queries, log_queries]
+MODULES = [nested_queries, drift_queries, log_queries, retrieval_queries, analysis_queries]
 
 
 def queries() -> dict:
