@@ -114,16 +114,21 @@ def utf8_sequences() -> dict[str, dict[str, str]]:
     return dict(found)
 
 
+def _drawn(text: str) -> bool:
+    """Only box drawings and blocks."""
+    return all("─" <= c <= "▟" for c in text)
+
+
 def _cyrillic(text: str) -> bool:
     return all("Ѐ" <= c <= "ӿ" for c in text)
 
 
 @lru_cache(maxsize=1 << 18)
 def _least_run(seq: str) -> int:
-    """How many sequences must follow each other for this one to count; 0: it never counts."""
+    """How many sequences must follow each other for this one to count; 0: only beside others that count."""
     if seq == "�" or len(seq) == 1:
         return 1
-    if all("─" <= c <= "▟" for c in seq):
+    if _drawn(seq):
         return 0
     if _cyrillic(seq):
         return 1 if seq[0].islower() and seq[1:].isupper() else 3
@@ -145,16 +150,18 @@ def _trigrams(text: str) -> Iterator[str]:
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(trigram, n) over all texts: letter trigrams with a letter beyond ASCII.
+    """(trigram, n) over all texts without garbled UTF-8: letter trigrams with a letter beyond ASCII.
 
     Each task counts its own batches first, so the shuffle carries distinct trigrams only.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = _repairer(())
         total: Counter[str] = Counter()
         for batch in batches:
             for text in batch["t"]:
-                total.update(_trigrams(text))
+                if not text.isascii() and not tool.garbled_utf8(text):
+                    total.update(_trigrams(text))
             if len(total) > 500_000:
                 yield pd.DataFrame({"trigram": list(total.keys()), "n": list(total.values())})
                 total = Counter()
@@ -181,7 +188,7 @@ def byte_sequences(model: dict[str, float]) -> dict[str, dict[tuple[str, str], f
         back = {good: bad for bad, good in _byte_table(*pair).items()}
         for tri, ppm in model.items():
             garbled = "".join(back.get(c, c) for c in tri)
-            if garbled == tri or any(c > "\x7f" and c not in back and not _same(c, pair) for c in tri):
+            if garbled == tri or not all(c.isalnum() or c in "³²¹º°ª¼½¾" for c in garbled) or any(c > "\x7f" and c not in back and not _same(c, pair) for c in tri):
                 continue
             ratio = math.log((ppm + SMOOTH_PPM) / (model.get(garbled, 0.0) + SMOOTH_PPM))
             if ratio >= LEAST_RATIO:
@@ -228,9 +235,10 @@ class Repairer:
         for run in runs:
             beside = text[max(0, run[0][0] - 1) : run[0][0]] + text[run[-1][1] : run[-1][1] + 1]
             latin = any(c.isascii() and c.isalpha() for c in beside)
+            drawing = all(_drawn(seq) for _, _, seq in run)
             for start, end, seq in run:
                 least = _least_run(seq)
-                if not least or (len(run) < least and not (latin and _cyrillic(seq))):
+                if drawing or (len(run) < least and not (latin and _cyrillic(seq))):
                     continue
                 before = text[start - 1 : start]
                 if len(run) == 1 and len(seq) == 2 and seq[1] in _CLOSING and before.isalpha() and before.isupper():
@@ -241,6 +249,10 @@ class Repairer:
             kept = sorted(kept + doubtful)
         return kept
 
+    def garbled_utf8(self, text: str) -> bool:
+        clean = _blank_quotes(text)
+        return bool(self._utf8_hits(clean, list(self.automaton.iter(clean))))
+
     def _byte_lines(
         self, text: str, ends: list[tuple[int, str]], hits: list[tuple[int, int, str]]
     ) -> list[tuple[int, int, tuple[str, str]]]:
