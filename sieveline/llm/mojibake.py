@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: One-byte encodings that UTF-8 is read with.
 UTF8_READERS = ("cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
 #: Of these, the ones for which Chinese, Japanese and Korean text is looked for too.
-WIDE_READERS = ("latin-1", "cp1252", "cp1254", "mac_roman", "cp437", "cp850")
+WIDE_READERS = ("latin-1", "cp1252", "cp1254", "cp1251", "mac_roman", "cp437", "cp850")
 #: One-byte encodings that are confused with each other: (right, read as).
 BYTE_PAIRS = tuple(
     (right, wrong)
@@ -132,6 +132,8 @@ def _least_run(seq: str) -> int:
         return 0
     if _cyrillic(seq):
         return 1 if seq[0].islower() and seq[1:].isupper() else 3
+    if len(seq) == 3 and _cyrillic(seq[0]) and all(_cyrillic(c) or c in _CLOSING for c in seq[1:]):
+        return 1 if seq[0].islower() and seq[1].isupper() else 2
     if seq[0] in "–—×" or ("Ѐ" <= seq[0] <= "ӿ" and seq[1] in _CLOSING and len(seq) == 2):
         return 2
     return 1
