@@ -173,7 +173,7 @@ class Layout:
                 if not text.startswith("}}", at):
                     raise LayoutError(at)
                 at += 2
-            elif char in "\r\n" and len(quote) == 1:
+            elif char in "\r\n" and len(quote) == 1 and not spec:
                 raise LayoutError(at)
             else:
                 at += 1
@@ -183,7 +183,7 @@ class Layout:
         self.put("{", at)
         at = self._tokens(at + 1, "}")
         if text.startswith("!", at):
-            m = re.compile(r"!\s*[^\W\d]\w*\s*").match(text, at)
+            m = re.compile(r"!\s*[sra](?!\w)\s*").match(text, at)
             if not m:
                 raise LayoutError(at)
             at = m.end()
@@ -233,8 +233,14 @@ Def <- "async"? "def" Name TypeParams? '(' ParamList? ')' ('->' Expr)? ':' Block
 Class <- "class" Name TypeParams? ('(' Args? ')')? ':' Block
 TypeParams <- '[' TypeParam (',' TypeParam)* ','? ']'
 TypeParam <- ('**' / '*')? Name (':' Expr)? ('=' StarExpr)?
-ParamList <- ParamPart (',' ParamPart)* ','?
-ParamPart <- '/' / '**' Name (':' Expr)? / '*' (Name (':' StarExpr)?)? / Name (':' Expr)? ('=' Expr)?
+ParamList <- Placed (',' Starred)? ','? / Starred ','?
+Placed <- Bares ',' '/' (',' Bares)? (',' Defaults)? / Bares ',' Defaults ',' '/' (',' Defaults)? / Bares (',' Defaults)? / Defaults ',' '/' (',' Defaults)? / Defaults
+Bares <- Bare (',' Bare)*
+Bare <- Name (':' Expr)? !⟦=⟧
+Defaults <- Default (',' Default)*
+Default <- Name (':' Expr)? ⟨=(?!=)⟩ Expr
+Starred <- '*' Name (':' StarExpr)? (',' (Default / Bare))* (',' Keywords)? / '*' (',' (Default / Bare))+ (',' Keywords)? / Keywords
+Keywords <- '**' Name (':' Expr)?
 If <- "if" NamedExpr ':' Block ("elif" NamedExpr ':' Block)* ("else" ':' Block)?
 For <- "async"? "for" StarTargets "in" StarExprs ':' Block ("else" ':' Block)?
 While <- "while" NamedExpr ':' Block ("else" ':' Block)?
@@ -243,7 +249,7 @@ Except <- "except" '*'? (Expr ("as" Name)?)? ':' Block
 With <- "async"? "with" ('(' WithItem (',' WithItem)* ','? ')' ':' / WithItem (',' WithItem)* ':') Block
 WithItem <- Expr "as" StarTarget &⟦[,):]⟧ / Expr
 Match <- "match" (StarNamed ',' StarNameds? / NamedExpr) ':' NL ⟨\x02⟩ Case+ ⟨\x03⟩
-Case <- "case" Patterns ("if" NamedExpr)? ':' Block
+Case <- "case" (StarPattern ',' Patterns? / Pattern) ("if" NamedExpr)? ':' Block
 Patterns <- StarPattern (',' StarPattern)* ','?
 StarPattern <- '*' Name / Pattern
 Pattern <- OrPattern ("as" Name)?
@@ -260,8 +266,13 @@ StarExprs <- StarExpr (',' StarExpr)* ','?
 StarNamed <- '*' BitOr / NamedExpr
 StarNameds <- StarNamed (',' StarNamed)* ','?
 YieldExpr <- "yield" ("from" Expr / StarExprs)?
-Lambda <- "lambda" (LambdaPart (',' LambdaPart)* ','?)? ':' Expr
-LambdaPart <- '/' / '**' Name / '*' Name? / Name ('=' Expr)?
+Lambda <- "lambda" (LambdaList ','?)? ':' Expr
+LambdaList <- LambdaPlaced (',' LambdaStarred)? / LambdaStarred
+LambdaPlaced <- Names ',' '/' (',' Names)? (',' Givens)? / Names ',' Givens ',' '/' (',' Givens)? / Names (',' Givens)? / Givens ',' '/' (',' Givens)? / Givens
+Names <- Name !⟦=⟧ (',' Name !⟦=⟧)*
+Givens <- Given (',' Given)*
+Given <- Name ⟨=(?!=)⟩ Expr
+LambdaStarred <- '*' Name (',' (Given / Name))* (',' '**' Name)? / '*' (',' (Given / Name))+ (',' '**' Name)? / '**' Name
 Disj <- Inversion (⟨(?:and|or)(?!\w)⟩ Inversion)*
 Inversion <- "not"* BitOr (CompareOp BitOr)*
 CompareOp <- ⟨(?:==|!=|<=|>=|<(?!<)|>(?!>)|not +in(?!\w)|in(?!\w)|is +not(?!\w)|is(?!\w))⟩
