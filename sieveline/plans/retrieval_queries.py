@@ -171,14 +171,14 @@ _IMPORTS = (
 _PROMOTED = f"""leaders AS (
   SELECT r.task_id, r.project, r.file AS src, r.score AS top_score FROM ranked r JOIN tasks k USING (task_id)
   WHERE r.pos = 1 AND NOT k.test_intent AND {S.is_test_path('r.file')}
-), chosen AS (
+), moved AS (
   SELECT task_id, from_pos FROM (
     SELECT r.task_id, min(r.pos) AS from_pos, arg_min(r.score, r.pos) AS sc, any_value(l.top_score) AS top_score
     FROM ranked r JOIN leaders l ON l.task_id = r.task_id AND l.project = r.project JOIN imports i ON i.project = l.project AND i.src = l.src AND i.dst = r.file
     WHERE r.pos > 1 AND NOT {S.is_test_path('r.file')} GROUP BY r.task_id) WHERE sc >= 0.75 * top_score
 ), promoted AS (
   SELECT r.* EXCLUDE (pos), (CASE WHEN c.from_pos IS NULL THEN r.pos WHEN r.pos = c.from_pos THEN 1 WHEN r.pos < c.from_pos THEN r.pos + 1 ELSE r.pos END)::INT AS pos
-  FROM ranked r LEFT JOIN chosen c USING (task_id)
+  FROM ranked r LEFT JOIN moved c USING (task_id)
 )"""
 
 CONFIDENCE = """seen AS (

@@ -60,7 +60,7 @@ def test_one_consistent_table(spark):
     files = frame(spark, rows)
     headers = file_headers(files)
     table = consistent_table(files, headers, changes(headers), "m")
-    got = sorted(((r.batch, r["id"], r["n"], r["r[].k"]) for r in table.collect()), key=str)
+    got = sorted(((r.batch, r["task.id"], r["n"], r["r[].k"]) for r in table.collect()), key=str)
     assert got == [(1, "T1", "1", [True, None]), (2, "T1", "1", [False])]
     assert {(r.path, r.type) for r in fold(headers, "file_kind").where("file_kind = 'm'").collect()} >= {("n", "string"), ("r[].k", "boolean")}
 
