@@ -46,37 +46,13 @@ def _idf(df, n):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def term_scores(postings: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """(task_id, sym_id, file_id, field, term, concept, score): weighted BM25 of each query term in each field."""
-    wanted = terms.select("term").distinct()
-    weight = F.create_map(*[F.lit(x) for pair in C.FIELD_WEIGHTS.items() for x in pair])[F.col("field")]
-    length = F.col("doc_len") / F.greatest(F.col("avgdl"), F.lit(1.0))
-    value = _idf(F.coalesce("df", F.lit(0)), F.col("n")) * (C.K1 + 1) / (1 + C.K1 * (1 - C.B + C.B * length)) * weight
-    scored = (
-        postings.join(wanted, "term", "left_semi")
-        .join(df, "term", "left")
-        .crossJoin(F.broadcast(stats))
-        .select("term", "sym_id", "file_id", "field", value.alias("score"))
-    )
-    return scored.join(terms, "term")
-
-
-def bm25(scores: DataFrame) -> DataFrame:
-    """(task_id, sym_id, file_id, bm25, concepts, path_hits): combined per task and symbol before the shuffle."""
-    return scores.groupBy("task_id", "sym_id", "file_id").agg(
-        F.sum("score").alias("bm25"),
-        F.collect_set("concept").alias("concept_set"),
-        F.count_if(F.col("field") == "path").alias("path_hits"),
-    )
-
-
-def contained_terms(names: DataFrame, name_col: str, terms: DataFrame, equal: float, part: float, least: int) -> DataFrame:
-    """(task_id, name, bonus): query terms that equal a name or occur in it, joined on the name's substrings.
+def contained_terms(names: DataFrame, name_col: str, terms: DataFrame) -> DataFrame:
+    """(name, hits): the query terms that equal a lower-case name or occur in it, joined on the name's substrings.
 
     Only substrings of lengths that some term has are made, once per distinct name.
     """
     lengths = terms.select(F.length("term").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))
-    distinct = names.select(F.lower(name_col).alias("name")).distinct()
+    distinct = names.select(F.col(name_col).alias("name")).distinct()
     spans = F.flatten(
         F.transform(
             F.filter("lengths", lambda n: n <= F.length("name")),
@@ -84,57 +60,140 @@ def contained_terms(names: DataFrame, name_col: str, terms: DataFrame, equal: fl
         )
     )
     pieces = distinct.crossJoin(F.broadcast(lengths)).select("name", F.explode(F.array_distinct(spans)).alias("term"))
-    value = F.when(F.col("name") == F.col("term"), equal).when(F.length("term") >= least, part).otherwise(0.0)
-    return pieces.join(terms, "term").groupBy("task_id", "name").agg(F.sum(value).alias("bonus")).where("bonus > 0")
+    return pieces.join(terms.select("term").distinct(), "term").groupBy("name").agg(F.collect_list("term").alias("hits"))
 
 
-def scores(found: DataFrame, symbols: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """(task_id, sym_id, file_id, lexical, score) of every symbol that a task matches lexically."""
-    terms = task_terms(found)
-    lexical = bm25(term_scores(postings, df, stats, terms))
-    named = contained_terms(symbols, "symbol", terms, 8.0, 2.5, 3)
-    lower = symbols.select("sym_id", "file_id", "file", "symbol", "kind", F.lower("symbol").alias("name"))
-    exact = lower.join(named, "name").select("task_id", "sym_id", "file_id", F.col("bonus").alias("exact"))
-    hits = lexical.join(exact, ["task_id", "sym_id", "file_id"], "full_outer").select(
-        "task_id",
-        "sym_id",
-        "file_id",
-        (F.coalesce("bm25", F.lit(0.0)) + F.coalesce("exact", F.lit(0.0))).alias("lexical"),
-        F.coalesce(F.size("concept_set"), F.lit(0)).alias("concepts"),
-        F.coalesce("path_hits", F.lit(0)).alias("path_hits"),
+def _posting(field: str, tokens, length, bonus) -> F.Column:
+    return F.struct(F.lit(field).alias("field"), tokens.alias("tokens"), length.cast("int").alias("doc_len"), bonus.alias("bonus"))
+
+
+def prepared(symbols: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per symbol with all that scoring needs: token lists, contained terms, and path priors.
+
+    ``group_id`` stands for the distinct (file, symbol) and ``twins`` counts its symbols; rows are
+    partitioned by it, so that neither scoring nor the choice among twins shuffles pairs of task and symbol.
+    """
+    lower = symbols.select(
+        "sym_id", "file", "symbol", "kind", "start", F.lower("symbol").alias("name"), X.base_name(F.col("file")).alias("base")
     )
-    files = symbols.select("file", X.base_name(F.col("file")).alias("base")).distinct()
-    based = contained_terms(files, "base", terms, 10.0, 2.0, 1).select("task_id", F.col("name").alias("base"), F.col("bonus").alias("base_bonus"))
-    intents = found.select("task_id", "test_intent", "sample_intent", "runtime_intent", "config_intent")
-    kind = F.when(F.col("kind").isin("function", "method", "class"), 0.4).when(F.col("kind").isin("interface", "type"), 0.2).otherwise(0.0)
+    named = contained_terms(lower, "name", terms).select("name", F.col("hits").alias("name_hits"))
+    based = contained_terms(lower, "base", terms).select(F.col("name").alias("base"), F.col("hits").alias("base_hits"))
+    groups = symbols.groupBy("file", "symbol").agg(F.min("sym_id").alias("group_id"), F.count(F.lit(1)).alias("twins"))
     path = F.col("file")
+    kind = F.when(F.col("kind").isin("function", "method", "class"), 0.4).when(F.col("kind").isin("interface", "type"), 0.2).otherwise(0.0)
+    return (
+        lower.join(named, "name", "left")
+        .join(based, "base", "left")
+        .join(groups, ["file", "symbol"])
+        .select(
+            "sym_id", "group_id", "twins", "start", "name", "base", "name_hits", "base_hits", kind.alias("kind_boost"),
+            X.static_path_prior(path, F.lit(True)).alias("prior_test"),
+            X.static_path_prior(path, F.lit(False)).alias("prior_plain"),
+            X.intent_path_prior(path, F.lit(False), F.lit(False), F.lit(False)).alias("sample_prior"),
+            X.intent_path_prior(path, F.lit(True), F.lit(True), F.lit(False)).alias("runtime_prior"),
+            X.intent_path_prior(path, F.lit(True), F.lit(False), F.lit(True)).alias("config_prior"),
+            X.is_test_path(path).alias("is_test"),
+        )
+        .join(tokens.select("sym_id", *[F.col(f).alias(f"t_{f}") for f in C.FIELD_WEIGHTS]), "sym_id")
+        .repartition("group_id")
+    )
+
+
+def term_scores(ready: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """(task_id, term, concept, group_id, sym_id, field, score, ...): weighted BM25 of each query term in each field.
+
+    The fields ``exact`` and ``base`` hold the terms that the symbol's and the file's name contain.
+    """
+    none = F.array().cast("array<string>")
+    fields = [_posting(f, F.col(f"t_{f}"), F.size(f"t_{f}"), F.lit(False)) for f in C.FIELD_WEIGHTS]
+    fields += [_posting(f, F.coalesce(hits, none), F.lit(0), F.lit(True)) for f, hits in (("exact", F.col("name_hits")), ("base", F.col("base_hits")))]
+    rest = ["start", "kind_boost", "prior_test", "prior_plain", "sample_prior", "runtime_prior", "config_prior", "is_test"]
+    fielded = ready.select("sym_id", "group_id", "twins", "name", "base", *rest, F.explode(F.array(*fields)).alias("f"))
+    each = fielded.select("sym_id", "group_id", "twins", "name", "base", *rest, "f.field", "f.doc_len", F.explode("f.tokens").alias("term"))
+    weight = F.create_map(*[F.lit(x) for pair in C.FIELD_WEIGHTS.items() for x in pair])[F.col("field")]
+    length = F.col("doc_len") / F.greatest(F.col("avgdl"), F.lit(1.0))
+    bm25 = F.col("idf") * (C.K1 + 1) / (1 + C.K1 * (1 - C.B + C.B * length)) * weight
+    exact = F.when(F.col("name") == F.col("term"), 8.0).when(F.length("term") >= 3, 2.5).otherwise(0.0)
+    base = F.when(F.col("base") == F.col("term"), 10.0).otherwise(2.0)
+    value = F.when(F.col("field") == "exact", exact).when(F.col("field") == "base", base).otherwise(bm25)
+    known = (
+        terms.join(df.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"), "term", "left")
+        .crossJoin(F.broadcast(stats))
+        .select("task_id", "term", "concept", _idf(F.coalesce("df", F.lit(0)), F.col("n")).alias("idf"), "avgdl")
+    )
+    return each.join(F.broadcast(known), "term").select(
+        "task_id", "term", "concept", "group_id", "sym_id", "twins", "field", value.alias("score"), *rest
+    )
+
+
+def sums(scored: DataFrame, most_concepts: int) -> DataFrame:
+    """Per task and symbol: lexical score, bonus of the file name, path hits, concepts, and the symbol's priors.
+
+    Distinct concepts are bits of as many words as the largest task needs, which keeps the aggregation in
+    fixed-width buffers.
+    """
+    indexed = ~F.col("field").isin("exact", "base")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("concept"), F.lit(62)).cast("int"))
+    masks = [
+        F.bit_or(F.when(indexed & (F.floor(F.col("concept") / 62) == w), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}")
+        for w in range(most_concepts // 62 + 1)
+    ]
+    rest = ["twins", "start", "kind_boost", "prior_test", "prior_plain", "sample_prior", "runtime_prior", "config_prior", "is_test"]
+    grouped = scored.groupBy("task_id", "group_id", "sym_id").agg(
+        F.sum(F.when(indexed, F.col("score")).otherwise(0.0)).alias("bm25"),
+        F.sum(F.when(F.col("field") == "exact", F.col("score")).otherwise(0.0)).alias("exact"),
+        F.sum(F.when(F.col("field") == "base", F.col("score")).otherwise(0.0)).alias("base_bonus"),
+        F.count_if(F.col("field") == "path").alias("path_hits"),
+        *masks,
+        *[F.max(c).alias(c) for c in rest],
+    )
+    concepts = sum((F.bit_count(f"m{w}") for w in range(most_concepts // 62 + 1)), F.lit(0))
+    return grouped.withColumn("concepts", concepts).withColumn("lexical", F.col("bm25") + F.col("exact"))
+
+
+def scores(found: DataFrame, symbols: DataFrame, tokens: DataFrame, df: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(task_id, group_id, sym_id, twins, bm25, concepts, path_hits, lexical, score) of every lexical match.
+
+    ``only`` (sym_id) restricts the symbols. Tasks and their terms are broadcast: they are a query set, and
+    a larger one is given in several calls.
+    """
+    terms = task_terms(found)
+    ready = prepared(symbols, tokens, terms)
+    if only is not None:
+        ready = ready.join(only.select("sym_id").distinct(), "sym_id", "left_semi")
+    most = found.select(F.max(F.array_max(F.transform("terms", lambda t: t["concept"])))).first()[0] or 0
+    hits = sums(term_scores(ready, df, stats, terms), most).where("lexical > 0")
+    intents = found.select("task_id", "test_intent", "sample_intent", "runtime_intent", "config_intent")
     prior = (
-        X.static_path_prior(path, F.col("test_intent"))
-        + X.intent_path_prior(path, F.col("sample_intent"), F.col("runtime_intent"), F.col("config_intent"))
-        + F.coalesce("base_bonus", F.lit(0.0))
+        F.when(F.col("test_intent"), F.col("prior_test")).otherwise(F.col("prior_plain"))
+        + F.when(~F.col("sample_intent"), F.col("sample_prior")).otherwise(0.0)
+        + F.when(F.col("runtime_intent"), F.col("runtime_prior")).otherwise(0.0)
+        + F.when(F.col("config_intent"), F.col("config_prior")).otherwise(0.0)
+        + F.col("base_bonus")
         + 2.0 * F.col("path_hits")
     )
-    total = F.col("lexical") + 5.0 * F.least(F.lit(8), F.col("concepts")) + prior + kind
-    demoted = X.is_test_path(path) & ~F.col("test_intent")
-    return (
-        hits.where("lexical > 0")
-        .join(symbols.select("sym_id", "file", "kind", X.base_name(F.col("file")).alias("base")), "sym_id")
-        .join(F.broadcast(intents), "task_id")
-        .join(based, ["task_id", "base"], "left")
-        .select("task_id", "sym_id", "file_id", "lexical", F.round(F.when(demoted, total * 0.75).otherwise(total), 6).alias("score"))
+    total = F.col("lexical") + 5.0 * F.least(F.lit(8), F.col("concepts")) + prior + F.col("kind_boost")
+    demoted = F.col("is_test") & ~F.col("test_intent")
+    score = F.round(F.when(demoted, total * 0.75).otherwise(total), 6)
+    return hits.join(F.broadcast(intents), "task_id").select(
+        "task_id", "group_id", "sym_id", "twins", "start", "bm25", "concepts", "path_hits", "lexical", score.alias("score")
     )
 
 
 def rank(scored: DataFrame, symbols: DataFrame, kept: int = KEPT) -> DataFrame:
-    """The best ``kept`` distinct (file, symbol) of each task, as ``pos`` from 1."""
-    full = scored.where(F.col("score") > MIN_SCORE).join(
-        symbols.select("sym_id", "project", "file", "symbol", "kind", "start"), "sym_id"
-    )
-    order = [F.col("score").desc(), "file", "start", "sym_id"]
-    best = F.row_number().over(W.partitionBy("task_id", "file", "symbol").orderBy(*order))
-    unique = full.withColumn("_same", best).where("_same = 1").drop("_same")
-    pos = F.row_number().over(W.partitionBy("task_id").orderBy(*order))
-    return unique.withColumn("pos", pos).where(F.col("pos") <= kept)
+    """The best ``kept`` distinct (file, symbol) of each task, as ``pos`` from 1.
+
+    Twins are settled where they are. Then every partition passes on its own best ``kept`` of each task
+    (with ties), and only those few meet the names that order ties.
+    """
+    narrow = scored.where(F.col("score") > MIN_SCORE).select("task_id", "group_id", "sym_id", "start", "score")
+    first = F.row_number().over(W.partitionBy("group_id", "task_id").orderBy(F.col("score").desc(), "start", "sym_id"))
+    unique = narrow.withColumn("_same", first).where("_same = 1")
+    near = F.rank().over(W.partitionBy("task_id").orderBy(F.col("score").desc()))
+    best = unique.withColumn("_near", near).where(F.col("_near") <= kept).select("task_id", "sym_id", "score")
+    full = best.join(symbols.select("sym_id", "file_id", "project", "file", "symbol", "kind", "start"), "sym_id")
+    pos = F.row_number().over(W.partitionBy("task_id").orderBy(F.col("score").desc(), "file", "start", "sym_id"))
+    return full.withColumn("pos", pos).where(F.col("pos") <= kept)
 
 
 def promote(ranked: DataFrame, found: DataFrame, imports: DataFrame) -> DataFrame:

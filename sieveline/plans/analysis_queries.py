@@ -83,14 +83,15 @@ class Capsules(Q.Corpus):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
-        self.scored = checkpointed(self.scores())
-        ranked = checkpointed(RK.rank(self.scored, self.symbols))
+        ranked = checkpointed(self.ranked())
         self.chosen = checkpointed(K.levels(RK.confidence(ranked, self.tasks, self.tokens), self.tasks))
-        self.direct = K.direct_symbols(RK.promote(ranked, self.tasks, I.resolved_imports(self.files)), self.chosen)
+        self.direct = checkpointed(K.direct_symbols(RK.promote(ranked, self.tasks, I.resolved_imports(self.files)), self.chosen))
 
     def neighbours(self) -> DataFrame:
-        edges = I.edges(self.files, self.symbols)
-        return K.neighbours(self.direct, self.chosen, self.symbols, self.scored, edges, I.callees(self.files))
+        edges = checkpointed(I.edges(self.files, self.symbols))
+        near = self.direct.select("project", F.col("file").alias("src")).distinct().join(edges, ["project", "src"])
+        some = near.select("project", F.col("dst").alias("file")).distinct().join(self.symbols, ["project", "file"])
+        return K.neighbours(self.direct, self.chosen, self.symbols, self.scores_of(some), edges, I.callees(self.files))
 
     def capsules(self) -> DataFrame:
         return K.pack(self.tasks, self.chosen, K.references(self.direct, self.neighbours(), self.symbols))

@@ -22,7 +22,10 @@ class Corpus:
         self.tasks = checkpointed(R.tasks(read_table(spark, sf_dir, "eval_item"), "item_id", "text"))
 
     def scores(self) -> DataFrame:
-        return R.scores(self.tasks, self.symbols, I.postings(self.tokens), I.doc_freq(self.tokens), I.corpus_stats(self.tokens))
+        return R.scores(self.tasks, self.symbols, self.tokens, I.doc_freq(self.tokens), I.corpus_stats(self.tokens))
+
+    def scores_of(self, some: DataFrame) -> DataFrame:
+        return R.scores(self.tasks, self.symbols, self.tokens, I.doc_freq(self.tokens), I.corpus_stats(self.tokens), some)
 
     def ranked(self) -> DataFrame:
         return R.rank(self.scores(), self.symbols)
@@ -56,9 +59,8 @@ def a2_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Corpus(spark, sf_dir)
-    scored = R.term_scores(I.postings(c.tokens), I.doc_freq(c.tokens), I.corpus_stats(c.tokens), R.task_terms(c.tasks))
-    return R.bm25(scored).select("task_id", "sym_id", F.round("bm25", 6).alias("bm25"), F.size("concept_set").alias("concepts"), "path_hits")
+    scored = Corpus(spark, sf_dir).scores().where("bm25 > 0")
+    return scored.select("task_id", "sym_id", F.round("bm25", 6).alias("bm25"), "concepts", "path_hits")
 
 
 def a10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +228,7 @@ UNION ALL SELECT DISTINCT c.project, c.file, s.file, 'call' FROM callees c JOIN
     ),
     "a1_doc_freq": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT term, df FROM doc_freq"),
     "a2_corpus_stats": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT n, round(avgdl, 6) AS avgdl FROM stats"),
-    "a4_bm25": S.with_(*_BASE, select="SELECT task_id, sym_id, round(bm25, 6) AS bm25, concepts, path_hits FROM bm25"),
+    "a4_bm25": S.with_(*_BASE, select="SELECT task_id, sym_id, round(bm25, 6) AS bm25, concepts::INT AS concepts, path_hits FROM bm25 WHERE bm25 > 0"),
     "a10_scores": S.with_(*_BASE, select="SELECT task_id, sym_id, round(lexical, 6) AS lexical, score FROM scores"),
     "a11_confidence": S.with_(*_BASE, S.RANKED.strip(), CONFIDENCE, select="SELECT * FROM confidence"),
     "t1_rank": S.with_(*_BASE, S.RANKED.strip(), select="SELECT task_id, pos, sym_id, file, symbol, kind, score FROM ranked"),
