@@ -130,6 +130,38 @@ WITH docs AS (
 )
 """
 
+#: Arrays of one part, from an array, a lone object or an array written as text.
+def _as_array(part: str) -> str:
+    return f"""CASE json_type({part}) WHEN 'ARRAY' THEN {part} WHEN 'OBJECT' THEN json_array({part})
+    WHEN 'VARCHAR' THEN CASE WHEN json_valid({part}->>'$') AND json_type(({part}->>'$')::JSON) = 'ARRAY' THEN ({part}->>'$')::JSON END END"""
+
+
+def _elements(name: str, source: str, keys: str, part: str) -> str:
+    """CTE name(keys, ordinal, el): the objects of one part, with their position."""
+    return f"""{name} AS (
+  SELECT {keys}, i - 1 AS ordinal, arr->((i - 1)::INT) AS el FROM (
+    SELECT {keys}, arr, unnest(range(1, json_array_length(arr)::BIGINT + 1)) AS i FROM (SELECT {keys}, {_as_array(part)} AS arr FROM {source}) WHERE arr IS NOT NULL)
+)"""
+
+
+_QUALITY = "WITH docs AS (SELECT record_id, payload::JSON AS doc FROM capsule_quality WHERE json_valid(payload)), " + ", ".join(
+    [
+        _elements("reads_all", "docs", "record_id", "(doc->'readResults')"),
+        "reads AS (SELECT record_id, 'readResults[' || ordinal || ']' AS node, ordinal, el FROM reads_all WHERE json_type(el) = 'OBJECT')",
+        _elements("pages_all", "reads", "record_id, node", "(el->'pages')"),
+        _elements("callees_all", "reads", "record_id, node", "(el->'callees')"),
+    ]
+)
+_FAIR = "WITH docs AS (SELECT record_id, payload::JSON AS doc FROM fair_test WHERE json_valid(payload)), labels AS (SELECT record_id, doc, unnest(json_keys(doc)) AS label FROM docs), " + ", ".join(
+    [
+        "runs AS (SELECT record_id, label AS node, json_extract(doc, '$.\"' || label || '\"') AS el FROM labels)",
+        "objects AS (SELECT * FROM runs WHERE json_type(el) = 'OBJECT')",
+        _elements("attempts_all", "objects", "record_id, node", "(el->'attempts')"),
+        "attempts AS (SELECT record_id, node AS parent, node || '.attempts[' || ordinal || ']' AS node, ordinal, el FROM attempts_all WHERE json_type(el) = 'OBJECT')",
+        _elements("calls_all", "attempts", "record_id, node", "(el->'toolCalls')"),
+    ]
+)
+
 ORACLE_SQL = {
     "p1_reads": _READ_ROWS
     + """
@@ -161,5 +193,30 @@ SELECT 'capsule_quality' AS source_table, record_id, 'readResults[' || read_at |
   'readResults[' || read_at || '].callees[' || ordinal || ']' AS node_path, ordinal::INT AS ordinal,
   el->>'symbol' AS symbol, el->>'relation' AS relation
 FROM each WHERE json_type(el) = 'OBJECT'
+""",
+    "p1_found": f"""
+SELECT * FROM ({_QUALITY}
+  SELECT 'capsule_quality' AS source_table, record_id, '' AS parent_path, node AS node_path FROM reads
+  UNION ALL SELECT 'capsule_quality', record_id, node, node || '.pages[' || ordinal || ']' FROM pages_all WHERE json_type(el) = 'OBJECT'
+  UNION ALL SELECT 'capsule_quality', record_id, node, node || '.callees[' || ordinal || ']' FROM callees_all WHERE json_type(el) = 'OBJECT')
+UNION ALL SELECT * FROM ({_FAIR}
+  SELECT 'fair_test' AS source_table, record_id, '' AS parent_path, node AS node_path FROM objects
+  UNION ALL SELECT 'fair_test', record_id, parent, node FROM attempts
+  UNION ALL SELECT 'fair_test', record_id, node, node || '.toolCalls[' || ordinal || ']' FROM calls_all WHERE json_type(el) = 'OBJECT')
+UNION ALL SELECT 'evaluation_run', record_id, '', 'requests[' || (i - 1) || ']' FROM (
+  SELECT record_id, requests[i] AS r, i FROM (SELECT record_id, requests, unnest(range(1, len(requests) + 1)) AS i FROM evaluation_run)) WHERE r IS NOT NULL
+""",
+    "p1_pages": f"""{_QUALITY}
+SELECT 'capsule_quality' AS source_table, record_id, node AS parent_path, node || '.pages[' || ordinal || ']' AS node_path, ordinal::INT AS ordinal,
+  (el->>'offset')::BIGINT AS "offset", (el->>'nextOffset')::BIGINT AS next_offset, (el->>'done')::BOOLEAN AS done
+FROM pages_all WHERE json_type(el) = 'OBJECT'
+""",
+    "p1_attempts": f"""{_FAIR}
+SELECT 'fair_test' AS source_table, record_id, parent AS parent_path, node AS node_path, ordinal::INT AS ordinal, (el->>'no')::BIGINT AS no, (el->>'inputTokens')::BIGINT AS input_tokens
+FROM attempts
+""",
+    "p1_tool_calls": f"""{_FAIR}
+SELECT 'fair_test' AS source_table, record_id, node AS parent_path, node || '.toolCalls[' || ordinal || ']' AS node_path, ordinal::INT AS ordinal, el->>'tool' AS tool, (el->>'ms')::BIGINT AS ms
+FROM calls_all WHERE json_type(el) = 'OBJECT'
 """,
 }
