@@ -111,4 +111,14 @@ QUERIES = {
     "p8_restored": p8_restored,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_transform(regexp_extract_all({x}, '[\\pL\\pN]+'), lambda w: replace(lower(upper(w)), chr(775), ''))"
+
+ORACLE_SQL: dict[str, str] = {
+    "p6_found": f"""
+WITH items AS (SELECT item_id, {_WORDS.format(x='text')} AS ws FROM eval_item WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, {_WORDS.format(x='text')} AS ws FROM documents WHERE text IS NOT NULL),
+item_runs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 12], ' ') AS run FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM items)),
+doc_runs AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 12], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs))
+SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)
+""",
+}
