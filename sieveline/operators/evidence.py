@@ -104,11 +104,12 @@ def lookup(symbols: DataFrame, names: DataFrame, most: int = 8) -> DataFrame:
     One match is returned with its text at confidence .95, several (the first eight) as signatures at .65.
     """
     wanted = names.select("project", "name", F.element_at(F.split("name", "[.#]"), -1).alias("symbol")).distinct()
-    hits = wanted.join(symbols, ["project", "symbol"])
-    scope = W.partitionBy("project", "name")
+    counts = symbols.groupBy("project", "symbol").agg(F.count(F.lit(1)).alias("matches"))
+    rank = F.row_number().over(W.partitionBy("project", "name").orderBy("sym_id"))
     return (
-        hits.withColumn("matches", F.count(F.lit(1)).over(scope))
-        .withColumn("rank", F.row_number().over(scope.orderBy("sym_id")))
+        wanted.join(counts, ["project", "symbol"])
+        .join(symbols, ["project", "symbol"])
+        .withColumn("rank", rank)
         .where(F.col("rank") <= most)
         .select(
             "project",
