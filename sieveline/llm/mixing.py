@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveline.operators.prefix import value_before
+
 #: Vocabulary file (token in base64 and its rank per line); a path every executor can read.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public vocabulary's tokenizer cuts a text before the merges.
@@ -114,8 +116,7 @@ def ordered(sizes: DataFrame, id_col: str, source: str, seed: int, bucket_rows:
         .drop("_buckets")
     )
     counts = placed.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(source).orderBy("_bucket")) - F.col("_n")
-    offsets = counts.select(source, "_bucket", before.alias("_before"))
+    offsets = value_before(counts, [source], "_bucket", "_n", "_before").drop("_n")
     inside = F.row_number().over(W.partitionBy(source, "_bucket").orderBy(hashed, id_col))
     return (
         placed.withColumn("_inside", inside)
