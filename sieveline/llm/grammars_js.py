@@ -40,7 +40,6 @@ _IDENT = r"(?:[\w$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\}|[^\x00-\x7f\s‘-‟
 
 BASE = (
     r"""
-Program <- Item* End
 End <- !⟦[\s\S]⟧
 Item <- ImportDecl / ExportDecl / Stmt
 NL <- ^newline

@@ -202,8 +202,6 @@ _KEYWORDS = (
 )
 
 PYTHON = r"""
-File <- Stmt* End
-End <- !⟦[\s\S]⟧
 NL <- ⟨\x01⟩
 Stmt <- Compound / SimpleLine
 SimpleLine <- Simple (';' Simple)* ';'? NL

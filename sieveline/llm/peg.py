@@ -213,10 +213,14 @@ class _Writer:
 
 
 class Grammar:
-    """A compiled grammar; ``parse`` gives (ok, furthest failure position)."""
+    """A compiled grammar; ``parse`` gives (ok, furthest failure position).
 
-    def __init__(self, text: str, start: str, trivia: str = r"\s*+", hooks: dict[str, Callable] | None = None):
-        self.rules, self.start = read_grammar(text), start
+    ``start`` is the rule for the whole text. With ``items`` the text is a sequence of that rule, and what
+    is remembered of an item is forgotten behind it, so that memory follows the largest item.
+    """
+
+    def __init__(self, text: str, start: str, trivia: str = r"\s*+", hooks: dict[str, Callable] | None = None, items: bool = False):
+        self.rules, self.start, self.items = read_grammar(text), start, items
         self.skip = re.compile(trivia).match
         hooks = hooks or {}
         self._fast, self._slow = (self._build(trivia, track, hooks) for track in (False, True))
@@ -248,14 +252,23 @@ class Grammar:
         space["G"]["T"], space["G"]["far"] = text, at
         old = sys.getrecursionlimit()
         sys.setrecursionlimit(DEEPEST)
+        rule, memories = space[f"r_{self.start}"], [space[f"M_{name}"] for name in self.rules]
         try:
-            return space[f"r_{self.start}"](at)
+            if not self.items:
+                return rule(at)
+            while True:
+                end = rule(at)
+                if end <= at:
+                    return at
+                at = end
+                for memory in memories:
+                    memory.clear()
         except RecursionError:
             return -1
         finally:
             sys.setrecursionlimit(old)
-            for name in self.rules:
-                space[f"M_{name}"].clear()
+            for memory in memories:
+                memory.clear()
 
     def parse(self, text: str, at: int = 0) -> tuple[bool, int]:
         """Whether the start rule consumes the text from ``at`` to its end, and how far it came."""

@@ -43,13 +43,13 @@ def _grammar(language: str) -> Grammar:
     if language == "json":
         return Grammar(grammars_py.JSON, "Text", grammars_py.JSON_TRIVIA)
     if language == "py":
-        return Grammar(grammars_py.PYTHON, "File", r" *+")
+        return Grammar(grammars_py.PYTHON, "Stmt", r" *+", items=True)
     parts = [grammars_js.BASE]
     if language in ("ts", "tsx"):
         parts.append(grammars_js.TYPES)
     if language == "tsx":
         parts.append(grammars_js.MARKUP)
-    return Grammar("\n".join(parts), "Program", grammars_js.TRIVIA, {"newline": grammars_js.newline_before})
+    return Grammar("\n".join(parts), "Item", grammars_js.TRIVIA, {"newline": grammars_js.newline_before}, items=True)
 
 
 def parse(text: str, language: str) -> tuple[bool, int]:
