@@ -49,6 +49,25 @@ def symbols(files: DataFrame) -> DataFrame:
     )
 
 
+TEST_CASE = r"""(?m)^[ \t]*(?:it|test)(?:\.[a-z]+)*(?:\([^()\n]*\))?\([ ]*["'`]([^"'`\n]+)["'`]"""
+
+
+def test_cases(files: DataFrame) -> DataFrame:
+    """(file_id, project, file, ord, symbol, kind): titles of test calls, kind ``test``, at most 240 characters."""
+    titles = F.posexplode(F.regexp_extract_all("text", F.lit(TEST_CASE), F.lit(1)))
+    found = files.where("text is not null").select("file_id", "project", F.col("relative").alias("file"), titles.alias("ord", "title"))
+    symbol = F.substring(F.trim("title"), 1, 240)
+    return found.select("file_id", "project", "file", "ord", symbol.alias("symbol"), F.lit("test").alias("kind")).where("symbol <> ''")
+
+
+def config_modules(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(file_id, project, file, symbol, kind): configuration files without symbols stand for one module of their name."""
+    configs = files.where("text is not null").where(F.col("relative").rlike(X.CONFIG_NAME))
+    bare = configs.join(found.select("file_id").distinct(), "file_id", "left_anti")
+    name = F.element_at(F.split("relative", "/"), -1)
+    return bare.select("file_id", "project", F.col("relative").alias("file"), name.alias("symbol"), F.lit("module").alias("kind"))
+
+
 def fields(found: DataFrame) -> DataFrame:
     """sym_id with the four token lists."""
     return found.select(
@@ -114,22 +133,53 @@ def normalized_path(path):
     return F.array_join(F.aggregate(segments, empty, step), "/")
 
 
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """(project, src, dst): relative imports joined with the first existing candidate file of the same project."""
+def alias_rules(configs: DataFrame) -> DataFrame:
+    """(project, prefix, exact, target, rule): path aliases of ``configs(project, text)``, compiler options as JSON."""
+    options = F.from_json("text", "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")
+    rules = configs.select("project", options.alias("o")).select(
+        "project", F.coalesce("o.compilerOptions.baseUrl", F.lit("")).alias("base"), F.posexplode("o.compilerOptions.paths").alias("rule", "key", "targets")
+    )
+    target = F.concat_ws("/", F.col("base"), F.col("t"))
+    return rules.select("project", "base", "rule", "key", F.posexplode("targets").alias("nth", "t")).select(
+        "project",
+        F.element_at(F.split("key", r"\*"), 1).alias("prefix"),
+        (~F.col("key").contains("*")).alias("exact"),
+        target.alias("target"),
+        (F.col("rule") * 1000 + F.col("nth")).cast("int").alias("rule"),
+    )
+
+
+def _bases(asked: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """(project, file, specifier, base, nth): where a specifier may point, in the order in which it is tried."""
     folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    base = normalized_path(F.concat(folder, F.lit("/"), F.col("specifier")))
+    key = ["project", "file", "specifier"]
+    near = asked.where("specifier like '.%'").select(*key, F.concat(folder, F.lit("/"), F.col("specifier")).alias("base"), F.lit(0).alias("nth"))
+    rest = F.expr("substring(specifier, 3)")
+    rooted = asked.where("specifier like '@/%' or specifier like '~/%'").select(
+        *key, F.posexplode(F.array(rest, F.concat(F.lit("src/"), rest))).alias("nth", "base")
+    )
+    found = near.unionByName(rooted.select(*key, "base", (F.col("nth") + 1_000_000).alias("nth")))
+    if aliases is None:
+        return found
+    hit = F.when(F.col("exact"), F.col("specifier") == F.col("prefix")).otherwise(F.col("specifier").startswith(F.col("prefix")))
+    tail = F.expr("substring(specifier, length(prefix) + 1)")
+    mapped = asked.where("specifier not like '.%'").join(aliases, "project").where(hit)
+    return found.unionByName(mapped.select(*key, F.replace(F.col("target"), F.lit("*"), tail).alias("base"), F.col("rule").alias("nth")))
+
+
+def resolved_imports(files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(project, src, dst): imports joined with the first existing candidate file of the same project.
+
+    Relative specifiers, ``@/`` and ``~/``, and the path aliases of ``alias_rules``.
+    """
+    asked = import_specifiers(files).select("project", "file", "specifier").distinct()
+    based = _bases(asked, aliases).withColumn("base", normalized_path(F.col("base")))
     bare = F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", "")
     tails = [".ts", ".tsx", ".mts", ".cts", ".d.ts", "/index.ts", "/index.tsx", "/index.mts", "/index.cts"]
     candidates = F.array(F.col("base"), bare, *[F.concat(bare, F.lit(t)) for t in tails])
-    asked = (
-        import_specifiers(files)
-        .where("specifier like './%' or specifier like '../%'")
-        .select("project", "file", "specifier", base.alias("base"))
-        .distinct()
-        .select("project", "file", "specifier", F.posexplode(candidates).alias("ord", "candidate"))
-    )
+    each = based.select("project", "file", "specifier", "nth", F.posexplode(candidates).alias("ord", "candidate"))
     known = files.where("text is not null").select("project", F.col("relative").alias("candidate")).distinct()
-    first = asked.join(known, ["project", "candidate"]).groupBy("project", "file", "specifier").agg(F.min_by("candidate", "ord").alias("dst"))
+    first = each.join(known, ["project", "candidate"]).groupBy("project", "file", "specifier").agg(F.min_by("candidate", F.struct("nth", "ord")).alias("dst"))
     return first.select("project", F.col("file").alias("src"), "dst").where("src <> dst").distinct()
 
 

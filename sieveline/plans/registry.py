@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import analysis_queries, drift_queries, log_queries, nested_queries, retrieval_queries
+from sieveline.plans import analysis_queries, drift_queries, function_queries, log_queries, nested_queries, retrieval_queries
 
-MODULES = [nested_queries, drift_queries, log_queries, retrieval_queries, analysis_queries]
+MODULES = [nested_queries, drift_queries, log_queries, retrieval_queries, analysis_queries, function_queries]
 
 
 def queries() -> dict:

@@ -86,6 +86,6 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """``spread`` only where the scan gives fewer splits than two per core."""
-    narrow = df.rdd.getNumPartitions() < 2 * df.sparkSession.sparkContext.defaultParallelism
+    """``spread`` only where the scan gives fewer splits than there are cores."""
+    narrow = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
     return spread(df) if narrow else df

@@ -74,3 +74,46 @@ def test_scores_of_some_symbols_only(spark, corpus):
     assert got == {(s, v) for s, v in every if s in {r.sym_id for r in some.collect()}}
     assert R.scores(found.limit(0), *rest[1:]).count() == 0
     assert F.col("x") is not None
+
+
+def test_aliases_tests_and_configs(spark):
+    rows = [
+        (1, "p", "src/a.ts", 'import { b } from "@/lib/b";\nimport { c } from "#c/x";\nimport d from "exact";\nimport e from "pkg";\n'),
+        (2, "p", "src/lib/b.ts", "export const b = 1;\n"),
+        (3, "p", "code/c/x.ts", "export const c = 1;\n"),
+        (4, "p", "code/d.ts", "export const d = 1;\n"),
+        (5, "p", "test/a.test.ts", "it('adds', () => {});\ntest.only(\"subtracts\", f);\n  it.each([1, 2])('each one', f);\nedit('no');\n"),
+        (6, "p", "package.json", "{}"),
+    ]
+    files = spark.createDataFrame(rows, "file_id bigint, project string, relative string, text string")
+    config = spark.createDataFrame([("p", '{"compilerOptions": {"baseUrl": "code", "paths": {"#c/*": ["c/*"], "exact": ["d"]}}}')], "project string, text string")
+    got = {(r.src, r.dst) for r in I.resolved_imports(files, I.alias_rules(config)).collect()}
+    assert got == {("src/a.ts", "src/lib/b.ts"), ("src/a.ts", "code/c/x.ts"), ("src/a.ts", "code/d.ts")}
+    assert {(r.dst) for r in I.resolved_imports(files).collect()} == {"src/lib/b.ts"}
+    assert [r.symbol for r in I.test_cases(files).orderBy("ord").collect()] == ["adds", "subtracts", "each one"]
+    assert [(r.symbol, r.kind) for r in I.config_modules(files, I.symbols(files)).collect()] == [("package.json", "module")]
+
+
+def test_toolbox(spark):
+    from sieveline.plans.toolbox import Toolbox
+
+    files = spark.createDataFrame(FILES, "file_id bigint, project string, relative string, text string")
+    tools = Toolbox(files)
+    requests = spark.createDataFrame([(1, "response cache reads the store key"), (2, "sort the import order")], "task_id bigint, task string")
+    capsules = {r.task_id: r for r in tools.context_capsules(requests).collect()}
+    assert capsules[1].symbols and capsules[1].estimated_tokens >= 1 and capsules[2].level == 0
+    assert capsules[1].files[0] == capsules[1].symbols[0].file
+    hard = {r.task_id: r for r in tools.context_capsules(requests, level=3, tokens=200, attempt=3).collect()}
+    assert hard[1].handoff_required and len(hard[1].criteria) >= 1
+    for wrong in ({"level": 4}, {"tokens": 100}, {"attempt": -1}):
+        with pytest.raises(ValueError):
+            tools.context_capsules(requests, **wrong)
+    with pytest.raises(ValueError):
+        tools.context_capsules(requests.withColumn("task", F.lit(" ")))
+    names = spark.createDataFrame([("p", "X.read"), ("p", "nothing")], "project string, name string")
+    assert [(r.name, r.matches, r.confidence) for r in tools.read_symbols(names).collect()] == [("X.read", 1, 0.95)]
+    records = spark.createDataFrame([(1, "p", "f", "s", None, None, "x" * 3000)], "evidence_id bigint, project string, file string, snapshot string, kind string, symbol string, text string")
+    first = tools.read_evidence(records, 300)
+    assert first.count() == 4
+    again = tools.read_evidence(records, 300, first.select("ref")).collect()
+    assert [(r.unchanged, r.source) for r in again] == [(True, "")]
