@@ -1,6 +1,7 @@
 """Mix sources to target weights by systematic sampling.
 
-The documents of a source are put into a fixed pseudo-random order. Each has the same number of
+The documents of a source are put into a fixed order: pseudo-random buckets, and inside a bucket by size, so
+that the sample takes all sizes evenly and its tokens come close to their expectation. Each has the same number of
 expected copies ``f = min(target tokens / tokens of the source, max_repeats)``. With the prefix sum
 ``S`` of the expected copies and one random offset ``u`` in [0, 1) per mix and source, a document is
 taken once for each integer that ``S + u`` crosses at it: between floor(f) and ceil(f) times, and
@@ -102,10 +103,11 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, source: str) -> DataFrame:
 
 
 def ordered(sizes: DataFrame, id_col: str, source: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``place``: the position (from 1) in the pseudo-random order of the document's source.
+    """Adds ``place``: the position (from 1) in the order of the document's source.
 
     The number of buckets follows the size of the table; a source of any size is spread over all.
     """
+    sizes = sizes.select(id_col, source, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     rows = sizes.groupBy().agg(F.count(F.lit(1)).alias("n_rows"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(bucket_rows)))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
@@ -117,7 +119,7 @@ def ordered(sizes: DataFrame, id_col: str, source: str, seed: int, bucket_rows:
     )
     counts = placed.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = value_before(counts, [source], "_bucket", "_n", "_before").drop("_n")
-    inside = F.row_number().over(W.partitionBy(source, "_bucket").orderBy(hashed, id_col))
+    inside = F.row_number().over(W.partitionBy(source, "_bucket").orderBy("n_tokens", hashed, id_col))
     return (
         placed.withColumn("_inside", inside)
         .join(offsets, [source, "_bucket"])

@@ -69,11 +69,11 @@ def test_against_brute_force(spark):
     dd = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id bigint, text string, item_id string")
     ii = spark.createDataFrame(items, "item_id bigint, text string")
     for span, errors, block in ((6, 0, 10**6), (6, 1, 40)):
-        got = find_leaks(dd.select("doc_id", "text"), ii, min_words=span, max_errors=errors, block_words=block).collect()
+        got = find_leaks(dd, ii, min_words=span, max_errors=errors, block_words=block).collect()
         assert {(r.doc_id, r.item_id) for r in got if r.longest_run >= span} == brute(docs, items, span)
         assert all(r.distance == 0 for r in got if r.longest_run >= span)
-    assert find_leaks(dd.select("doc_id", "text"), ii.limit(0)).count() == 0
-    assert find_leaks(dd.select("doc_id", "text").limit(0), ii).count() == 0
+    assert find_leaks(dd, ii.limit(0)).count() == 0
+    assert find_leaks(dd.limit(0), ii).count() == 0
 
 
 def test_edited_windows_are_found():

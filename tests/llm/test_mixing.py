@@ -40,6 +40,21 @@ def test_places_are_a_permutation_and_do_not_depend_on_partitions(spark):
     assert one == two and {p for d, p in one if d < 500} == set(range(1, 501))
 
 
+def test_clashing_columns_nulls_and_repeated_rows(spark):
+    rows = [(1, "a", 5, "m", 9), (1, "a", 5, "m", 9), (2, "a", None, None, None), (3, None, 7, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, mix_name string, place int")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2, 1.0), (None, "a", 0.5, 1, 0.1)], TARGETS)
+    got = sample_mix(docs, targets).where("mix_name = 'm'").collect()
+    assert sum(r.copies for r in got) in (5, 6) and max(r.copies for r in got) <= 2
+
+
+def test_sizes_are_taken_evenly(spark):
+    docs = spark.createDataFrame([(i, "a", 1 + (i * 37) % 1000) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2, 0.3)], TARGETS)
+    report = mix_report(docs, targets, sample_mix(docs, targets)).first()
+    assert report.tokens == pytest.approx(report.target_tokens, rel=0.01)
+
+
 def test_empty_tables(spark):
     docs = sizes(spark, [("a", 1, 1)])
     targets = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], TARGETS)
