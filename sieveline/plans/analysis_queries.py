@@ -435,6 +435,15 @@ FROM (SELECT evidence_id, text, unnest(range(0, greatest(1, ceil(length(text) /
   SELECT evidence_id, text, lag(evidence_id) OVER (PARTITION BY project, file ORDER BY evidence_id) AS prev_id FROM evidence_record WHERE text IS NOT NULL) WHERE prev_id IS NOT NULL""",
     "m1_resolved": S.with_(S.SYMBOLS.strip(), _OPERATIONS, select='SELECT op_id, file_id, operation, start, "end", code, length(value) AS value_chars FROM resolved'),
     "m3_plan": S.with_(S.SYMBOLS.strip(), _OPERATIONS, select="SELECT * FROM plan"),
+    "m4_splice": S.with_(
+        S.SYMBOLS.strip(),
+        _OPERATIONS,
+        select="""SELECT file_id, md5(string_agg(piece, '' ORDER BY n) || max(tail)) AS patched_md5 FROM (
+  SELECT f.file_id, r.n, f.text[coalesce(r.prev, 0) + 1:r.start] || r.value AS piece, f.text[r.last + 1:] AS tail FROM (
+    SELECT *, lag("end") OVER w AS prev, row_number() OVER w AS n, max("end") OVER (PARTITION BY file_id) AS last FROM resolved
+    WINDOW w AS (PARTITION BY file_id ORDER BY start, "end", op_id DESC)) r
+  JOIN indexed_file f USING (file_id) JOIN plan p USING (file_id) WHERE p.applicable) GROUP BY file_id""",
+    ),
     "v1_cosine_topk": """SELECT query_id, vec_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",

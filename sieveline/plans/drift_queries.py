@@ -107,3 +107,4 @@ SELECT file_kind, path, CASE WHEN bool_or(type = 'array') THEN 'array' WHEN coun
       WHERE json_valid(r.payload) AND json_type(r.payload) = 'OBJECT') GROUP BY ALL) f USING (file_kind, path)) GROUP BY file_kind, path, n_files
 """,
 }
+ORACLE_SQL["p3_change_counts"] = f"SELECT file_kind, change_kind, field_path, new_path, count(*) AS n FROM ({ORACLE_SQL['p3_found']}) GROUP BY ALL"

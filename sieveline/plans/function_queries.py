@@ -92,4 +92,6 @@ FROM (SELECT DISTINCT relative AS file FROM indexed_file)""",
         select="SELECT task_id, array_to_string(list(file ORDER BY pos)[1:12], ',') AS files FROM (SELECT task_id, file, min(pos) AS pos FROM ranked GROUP BY ALL) GROUP BY task_id",
     ),
     "t10_representative": S.with_(S.SYMBOLS.strip(), select="SELECT file_id, arg_min(symbol, sym_id) AS symbol, min(sym_id) AS sym_id FROM symbols GROUP BY file_id"),
+    "fn_p23_diagnostics": """SELECT DISTINCT stream_id, line_no, sha256(replace(regexp_extract(line, p, 1), chr(92), '/') || ':' || regexp_extract(line, p, 2) || ':' || trim(regexp_extract(line, p, 3))) AS signature
+FROM run_output, (SELECT '(?m)^(.+?)\\(\\d+,\\d+\\): error (TS\\d+): (.+)$' AS p) WHERE line IS NOT NULL AND regexp_matches(line, p)""",
 }

@@ -218,5 +218,19 @@ FROM attempts
     "p1_tool_calls": f"""{_FAIR}
 SELECT 'fair_test' AS source_table, record_id, node AS parent_path, node || '.toolCalls[' || ordinal || ']' AS node_path, ordinal::INT AS ordinal, el->>'tool' AS tool, (el->>'ms')::BIGINT AS ms
 FROM calls_all WHERE json_type(el) = 'OBJECT'
+""",
+    "p1_runs": f"""{_FAIR}
+SELECT 'fair_test' AS source_table, record_id, '' AS parent_path, node AS node_path, 0 AS ordinal, el->>'label' AS label, (el->>'durationMs')::BIGINT AS duration_ms,
+  CASE WHEN (el->>'inputTokens')::BIGINT >= 0 THEN (el->>'inputTokens')::BIGINT END AS input_tokens,
+  CASE WHEN (el->>'outputTokens')::BIGINT >= 0 THEN (el->>'outputTokens')::BIGINT END AS output_tokens,
+  CASE WHEN (el->>'cacheReadTokens')::BIGINT >= 0 THEN (el->>'cacheReadTokens')::BIGINT END AS cache_read_tokens,
+  (el->>'exitCode')::BIGINT AS exit_code, el->>'note' AS note, replace((el->'toolsUsed')::VARCHAR, '","', '", "') AS tools_used
+FROM objects
+""",
+    "p1_records": """
+SELECT 'capsule_quality' AS source_table, record_id, NULL::VARCHAR AS parent_path, '' AS node_path, 0 AS ordinal, doc->>'taskId' AS task_id, doc->>'task' AS task, doc->>'worktree' AS worktree,
+  (doc->>'capsuleTimeMs')::BIGINT AS capsule_time_ms, (doc->>'readTimeMs')::BIGINT AS read_time_ms, (doc->>'capsuleTokens')::BIGINT AS capsule_tokens,
+  (doc->>'confidence')::DOUBLE AS confidence, (doc->>'symbolCount')::BIGINT AS symbol_count, replace((doc->'probableFiles')::VARCHAR, '","', '", "') AS probable_files
+FROM (SELECT record_id, payload::JSON AS doc FROM capsule_quality WHERE json_valid(payload))
 """,
 }
