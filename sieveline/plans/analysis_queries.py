@@ -431,6 +431,16 @@ FROM indexed_file WHERE text IS NOT NULL""",
     "e5_pages": f"""SELECT evidence_id, page, (page * {880})::INT AS "offset", CASE WHEN (page + 1) * 880 < length(text) THEN ((page + 1) * 880)::INT END AS next_offset, length(text)::INT AS total_chars,
   (page + 1) * 880 >= length(text) AS done, md5(text[page * 880 + 1:(page + 1) * 880]) AS source_md5
 FROM (SELECT evidence_id, text, unnest(range(0, greatest(1, ceil(length(text) / 880))::BIGINT))::INT AS page FROM evidence_record WHERE text IS NOT NULL)""",
+    "e7_deltas": """WITH pairs AS (
+  SELECT evidence_id, prev_id, a.text AS after, b.text AS before FROM (
+    SELECT evidence_id, text, lag(evidence_id) OVER (PARTITION BY project, file ORDER BY evidence_id) AS prev_id FROM evidence_record WHERE text IS NOT NULL) a
+  JOIN (SELECT evidence_id AS prev_id, text FROM evidence_record) b USING (prev_id)
+), heads AS (
+  SELECT *, (SELECT max(n) FROM range(0, least(length(before), length(after)) + 1) t(n) WHERE starts_with(after, before[1:n])) AS k FROM pairs
+), tails AS (
+  SELECT *, (SELECT max(n) FROM range(0, least(length(before), length(after)) - k + 1) t(n) WHERE ends_with(after, before[length(before) - n + 1:])) AS m FROM heads
+)
+SELECT evidence_id, prev_id, k::INT AS "offset", (length(before) - k - m)::INT AS delete_chars, (length(after) - k - m)::INT AS insert_chars FROM tails""",
     "e8_delta_apply": """SELECT evidence_id, prev_id, md5(text) AS after_md5, true AS intact FROM (
   SELECT evidence_id, text, lag(evidence_id) OVER (PARTITION BY project, file ORDER BY evidence_id) AS prev_id FROM evidence_record WHERE text IS NOT NULL) WHERE prev_id IS NOT NULL""",
     "m1_resolved": S.with_(S.SYMBOLS.strip(), _OPERATIONS, select='SELECT op_id, file_id, operation, start, "end", code, length(value) AS value_chars FROM resolved'),
