@@ -161,16 +161,18 @@ def changes(headers: DataFrame) -> DataFrame:
 def _renames(headers: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """Pairs of a gone and a come path whose content goes on, one to one, the best supported first."""
     group = ["harness", "file_kind"]
-    files = headers.where("content is not null").select(*group, "batch", "file_name", "path", "content").distinct()
+    files = headers.where("content is not null").select(*group, "batch", "file_name", "path", "content")
     before = (
         files.withColumnsRenamed({"batch": "from_batch", "path": "old_path", "content": "_old"})
         .join(gone, [*group, "from_batch", "old_path"])
         .select(*group, "batch", "from_batch", "file_name", "old_path", "type", "_old")
+        .distinct()
     )
     after = (
         files.withColumnsRenamed({"path": "new_path", "content": "_new"})
         .join(come, [*group, "batch", "new_path"])
         .select(*group, "batch", "file_name", "new_path", "type", "_new")
+        .distinct()
     )
     pair = [*group, "batch", "from_batch", "old_path", "new_path", "type"]
     shown = (
