@@ -199,6 +199,24 @@ def _marked(tokens: list[tuple[str, str, int, bool]]) -> list[str]:
     return ["^", *((" " if blank else "") + token for token, _, _, blank in tokens), "$"]
 
 
+def _layout(tokens: list[tuple[str, str, int, bool]], i: int) -> str:
+    """The head up to the name at token i as a context: names are ``<w>``, all else as typed."""
+    return "".join((" " if blank else "") + ("<w>" if _is_name(token) else token) for token, _, _, blank in tokens[: i + 1])
+
+
+def _mark_run(tokens: list[tuple[str, str, int, bool]], i: int) -> tuple[str, int]:
+    """What follows the name at token i, marks without a blank between them as one, and where it ends."""
+    if i + 1 >= len(tokens):
+        return "$", i + 1
+    token, _, _, blank = tokens[i + 1]
+    end, lead = i + 2, " " if blank else ""
+    if token[0] in "<_" and len(token) > 1 or token[0].isalnum():
+        return lead + ("<w>" if _is_name(token) else token), end
+    while end < len(tokens) and not tokens[end][3] and re.fullmatch(r"[^\w\s]", tokens[end][0]):
+        token, end = token + tokens[end][0], end + 1
+    return lead + token, end
+
+
 class Dictionary:
     """Which words are constants: context -> (its most frequent word, that word's share)."""
 
@@ -212,6 +230,11 @@ class Dictionary:
                 return known[0] == word and known[1] >= CONSTANT_SHARE
         return False
 
+    def separator(self, layout: str, run: str) -> bool:
+        """The marks ``run`` are a constant of the layout behind its name slot."""
+        known = self.contexts.get((layout, "\x00"))
+        return known is not None and known[0] == run and known[1] >= CONSTANT_SHARE
+
 
 # For the vectorised pass, without look-around: where a time may stand at the start of a line.
 _BEFORE = rf"(?:[\[(<]?(?i:{_LEVEL_WORDS})[\])>:]?[ \t]+)?[\[(<]?"
@@ -274,7 +297,10 @@ def count_keys(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def count_ngrams(keys: DataFrame) -> DataFrame:
-    """(before, word, after, n): weighted trigrams over all keys, and bigrams with after = ''."""
+    """(before, word, after, n): weighted trigrams over all keys, and bigrams with after = ''.
+
+    With after = NUL, before is the whole layout up to a name and word the marks that follow the name.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[tuple[str, str, str]] = Counter()
@@ -285,6 +311,10 @@ def count_ngrams(keys: DataFrame) -> DataFrame:
                     for before, word, after in zip(marked, marked[1:], marked[2:]):
                         total[before, word, after] += n
                         total[before, word, ""] += n
+                    tokens = head_tokens(head)
+                    for i in range(1, len(tokens)):
+                        if _is_name(tokens[i][0]) and not _is_name(tokens[i - 1][0]):
+                            total[_layout(tokens, i), _mark_run(tokens, i)[0], "\x00"] += n
         if total:
             yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["before", "word", "after", "n"])
 
@@ -293,7 +323,7 @@ def count_ngrams(keys: DataFrame) -> DataFrame:
 
 
 def learn_dictionary(keys: DataFrame) -> Dictionary:
-    """The frequent contexts; at most 2 * HEAD_TOKENS / LEAST_SHARE of them whatever the number of lines."""
+    """The frequent contexts; at most 3 * HEAD_TOKENS / LEAST_SHARE of them whatever the number of lines."""
     counts = count_ngrams(keys)
     contexts = counts.groupBy("before", "after").agg(
         F.sum("n").alias("total"), F.max(F.struct("n", "word")).alias("top")
@@ -417,6 +447,15 @@ def _component_end(tokens: list[tuple[str, str, int, bool]], i: int) -> tuple[in
     return None
 
 
+def _learned_end(tokens: list[tuple[str, str, int, bool]], i: int, dictionary: Dictionary) -> tuple[int, str] | None:
+    """Like ``_component_end`` for marks that the dictionary knows as the layout's constant; sentence and opening marks separate nothing."""
+    run, end = _mark_run(tokens, i)
+    marks = run.strip()
+    if end < len(tokens) and not tokens[end][3] or re.search(r"[\w\s.,;!?\"'`(\[{$]", marks) or not dictionary.separator(_layout(tokens, i), run):
+        return None
+    return end, (_GAP if run[0] == " " else "") + re.escape(marks) + _STOP
+
+
 def parse_head(line: str, year: int, dictionary: Dictionary) -> Head | None:
     """The head of one plain line, or None if no date with a time of day stands there."""
     if not line or line[0] in " \t>|\"'`#":
@@ -492,6 +531,8 @@ def parse_head(line: str, year: int, dictionary: Dictionary) -> Head | None:
         elif _is_name(this) and not component:
             ending = _component_end(tokens, i)
             fixed = dictionary.constant(marked[i], marked[i + 1], marked[i + 2])
+            if ending is None:
+                ending = _learned_end(tokens, i, dictionary)
             if ending is not None:
                 component = text
                 shown.append(f"{this if fixed else '<*>'}{''.join(t[0] for t in tokens[i + 1 : ending[0]])}")

@@ -94,3 +94,18 @@ def test_templates_read_like_the_parser(spark, data):
         want = G.parse_head(plain, year, dictionary)
         got = reader.read(plain, year) if want else None
         assert (want and (want.ts_ms, want.level, want.component, want.message)) == (got and (got.ts_ms, got.level, got.component, got.message))
+
+
+def test_the_dictionary_finds_the_mark_behind_a_component(spark):
+    at = datetime(2026, 3, 1)
+    text = [f"2026-01-01 00:00:0{i} INFO {name} => item {i} done" for i, name in enumerate(["alpha", "b.c", "delta", "echo", "fox"])]
+    want = {(1, i, i, 1, i * 1000, "info", name) for i, name in enumerate(["alpha", "b.c", "delta", "echo", "fox"])}
+    assert run(spark, [(1, i, t, at, None) for i, t in enumerate(text)], 8) == want
+    assert G.parse_head(text[0], 2026, NONE).component == ""
+
+
+def test_marks_inside_a_message_are_no_constants(spark):
+    at = datetime(2026, 3, 1)
+    text = ["INFO read => 1", "INFO read four lines", "INFO wrote two lines", "INFO count=3 left", "INFO done."]
+    rows = [(1, i, f"2026-01-01 00:00:00 {t}", at, None) for i, t in enumerate(text)]
+    assert {r[6] for r in run(spark, rows, 8)} == {""}
