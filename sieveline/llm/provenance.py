@@ -4,11 +4,15 @@ Every file is reduced to its identifiers, literals and line shapes. Over all fil
 trigram model of identifiers is trained per language; each trigram counts once per file, so that one
 machine-made file cannot teach the model its own names. Then
 
-* ``minified``   the identifiers' mean cross-entropy per character is high and most are very short,
-* ``generated``  the lines are template-like: one line shape makes up most of the code; or the leading
-  comment is a generator's banner, or the code carries a compiler's or lock tool's marks,
+* ``minified``   the identifiers' mean cross-entropy per character is high and most are very short; or it
+  alone is far above the median of the file's own project (of the language, where the project is small) and
+  nothing else explains it,
+* ``generated``  the lines are template-like: one line shape makes up most of the code; or the identifiers
+  have little diversity, as they differ in their numbers only; or the leading comment is a generator's
+  banner, or the code carries a compiler's or lock tool's marks,
 * ``vendored``   the naming is foreign: runs of declared names that also occur in several other
-  projects, under a third party's directory, or under a third party's licence banner,
+  projects, or in one other project where the naming style is not the own project's; or the file is
+  under a third party's directory, or under a third party's licence banner,
 * ``data``       most of the code is numbers, encoded strings or word lists.
 
 Scale: features need no shuffle. The model is a table of distinct trigrams above a fixed share,
@@ -41,6 +45,12 @@ MANGLED_BITS, MANGLED_SHORT, LEAST_NAMES = 3.0, 0.55, 8
 TEACHER_SHORT = 0.5
 TEMPLATE_SHARE, TEMPLATE_LINES = 0.75, 5
 DATA_SHARE, DATA_CHARS = 0.5, 600
+#: Bits above the own project's median from which cross-entropy alone tells a file; a project of fewer files is compared with its language.
+OUTLIER_BITS, LEAST_FILES = 2.0, 8
+#: Long identifiers, and the share of them that is left without numbers, from which a file is numbered through.
+NUMBERED_NAMES, STEM_SHARE = 12, 0.25
+#: Distance of the share of compound names to the own project's median from which a style is foreign.
+STYLE_DISTANCE = 0.25
 RUN_LENGTH, FOREIGN_PROJECTS, FOREIGN_SHARE = 3, 3, 0.5
 #: Parts that the files of one hot name run are spread over.
 SALTS = 16
@@ -64,6 +74,7 @@ _DECLARED = re.compile(
     r"^(?:export )?(?:default )?(?:abstract )?(?:async )?(?:function\*?|class|interface|enum|type|const|let|var|def) +([A-Za-z_$][\w$]*)", re.M
 )
 _COMPOUND = re.compile(r"[a-z][A-Z]|[a-z]_[a-z]")
+_CAMEL, _SNAKE = re.compile(r"[a-z][A-Z]"), re.compile(r"[A-Za-z0-9]_[A-Za-z]")
 _LEADING = re.compile(r"\A(?:﻿|#![^\n]*\n|\s+|[\"']use strict[\"'];?|//[^\n]*\n?|/\*[\s\S]*?\*/|#[^\n]*\n?|\"\"\"[\s\S]*?\"\"\")*")
 _BANNER = re.compile(
     r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)|automatically (?:generated|created)|\bautogenerated\b"
@@ -130,6 +141,20 @@ def trigrams_of(name: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def diversity(names: list[str]) -> tuple[int, int, int]:
+    """Distinct identifiers, those of them with more than three characters besides numbers, and what these are without numbers."""
+    distinct = set(names)
+    stems = [stem for n in distinct if len(stem := re.sub(r"\d+", "", n)) > 3]
+    return len(distinct), len(stems), len(set(stems))
+
+
+def naming_style(names: list[str]) -> tuple[float, float]:
+    """Shares of the distinct identifiers that are camelCase and snake_case."""
+    distinct = set(names)
+    total = len(distinct) or 1
+    return sum(bool(_CAMEL.search(n)) for n in distinct) / total, sum(bool(_SNAKE.search(n)) for n in distinct) / total
+
+
 def line_shapes(text: str, language: str) -> tuple[int, float]:
     """Lines of code and the share of the most frequent line shape."""
     bare = re.sub(r"/\*[\s\S]*?\*/", "", text) if language != "py" else text
@@ -227,7 +252,7 @@ def cross_entropy(names: list[str], model: dict[str, float]) -> float:
 
 FEATURES = (
     "language string, names int, bits double, short_share double, lines int, shape_share double, code_chars int, data_chars int, "
-    "literals int, banner boolean, compiled boolean, product boolean, runs array<bigint>"
+    "literals int, distinct_names int, long_names int, stems int, camel_share double, snake_share double, banner boolean, compiled boolean, product boolean, runs array<bigint>"
 )
 
 
@@ -250,7 +275,7 @@ def file_features(
                 lead = leading_comment(text)
                 rows.append((
                     key, project, path, language, len(names), cross_entropy(names, shared.value.get(language, {})), short_share(names),
-                    lines, share, code, data, literals, has_banner(lead), bool(_COMPILED.search(text)),
+                    lines, share, code, data, literals, *diversity(names), *naming_style(names), has_banner(lead), bool(_COMPILED.search(text)),
                     product_banner(lead, project), name_runs(text),
                 ))
             yield pd.DataFrame(rows, columns=columns)
@@ -265,7 +290,7 @@ def file_features(
 
 
 def foreign_shares(features: DataFrame) -> DataFrame:
-    """(file_id, foreign_share): share of a file's name runs that occur in several projects.
+    """(file_id, foreign_share, other_share): shares of a file's name runs that occur in several projects, and in any other one.
 
     A run may occur in a third of all files: projects are made distinct inside the tasks before they are
     counted, and the way back to the files is salted.
@@ -274,28 +299,60 @@ def foreign_shares(features: DataFrame) -> DataFrame:
     runs = features.select("file_id", "project", F.explode("runs").alias("run"), salt.alias("salt"))
     spread = runs.select("run", "project").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("projects"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    common = spread.where(F.col("projects") >= FOREIGN_PROJECTS).select("run", salts, F.lit(1).alias("foreign"))
+    common = spread.where("projects >= 2").select("run", salts, "projects")
     marked = runs.join(common, ["run", "salt"], "left")
-    return marked.groupBy("file_id").agg(F.avg(F.coalesce("foreign", F.lit(0))).alias("foreign_share"))
+
+    def share(least: int) -> F.Column:
+        return F.avg(F.when(F.col("projects") >= least, 1).otherwise(0))
+
+    return marked.groupBy("file_id").agg(share(FOREIGN_PROJECTS).alias("foreign_share"), share(2).alias("other_share"))
+
+
+def with_own_style(features: DataFrame) -> DataFrame:
+    """Adds bits_above and style_distance, against the medians of the file's own project in its language.
+
+    Medians, so that the files looked for do not move what they are compared with.
+    """
+    columns = ("bits", "camel_share", "snake_share")
+    told = features.where(F.col("distinct_names") >= LEAST_NAMES)
+
+    def medians(name: str) -> list[F.Column]:
+        return [F.percentile_approx(c, 0.5, 1000).alias(f"_{name}_{c}") for c in columns]
+
+    own = told.groupBy("project", "language").agg(F.count(F.lit(1)).alias("_files"), *medians("own"))
+    own = own.where(F.col("_files") >= LEAST_FILES).drop("_files")
+    every = told.groupBy("language").agg(*medians("all"))
+    both = features.join(own, ["project", "language"], "left").join(F.broadcast(every), "language", "left")
+    above = {c: F.col(c) - F.coalesce(f"_own_{c}", f"_all_{c}") for c in columns}
+    added = both.withColumn("bits_above", F.coalesce(above["bits"], F.lit(0.0))).withColumn(
+        "style_distance", F.coalesce(F.greatest(F.abs(above["camel_share"]), F.abs(above["snake_share"])), F.lit(0.0))
+    )
+    return added.select(*features.columns, "bits_above", "style_distance")
 
 
 def classify(features: DataFrame) -> DataFrame:
     """file_id, kinds (of generated, minified, vendored, data) and the features of every file.
 
-    ``features`` is read twice: hand in a checkpointed or stored table.
+    ``features`` is read several times: hand in a checkpointed or stored table.
     """
     path = F.col("relative")
     bulk = (F.col("data_chars") >= DATA_SHARE * F.col("code_chars")) & (F.col("data_chars") >= DATA_CHARS)
+    foreign = (F.coalesce("foreign_share", F.lit(0.0)) >= FOREIGN_SHARE) | (
+        (F.coalesce("other_share", F.lit(0.0)) >= FOREIGN_SHARE) & (F.col("style_distance") >= STYLE_DISTANCE)
+    )
     kinds = {
         "minified": (F.col("names") >= LEAST_NAMES) & (F.col("short_share") >= MANGLED_SHORT) & (F.col("bits") >= MANGLED_BITS),
         "generated": F.col("banner") | F.col("compiled") | path.rlike(_jvm(_LOCK))
         | (F.col("shape_share") >= TEMPLATE_SHARE) & (F.col("lines") >= TEMPLATE_LINES) & ~bulk
+        | (F.col("long_names") >= NUMBERED_NAMES) & (F.col("stems") <= STEM_SHARE * F.col("long_names")) & ~bulk
         | path.rlike(_jvm(_GENERATED_PATH)) & (F.col("shape_share") >= 0.5),
-        "vendored": path.rlike(_jvm(_VENDOR_DIR)) | F.col("product") | (F.coalesce("foreign_share", F.lit(0.0)) >= FOREIGN_SHARE),
+        "vendored": path.rlike(_jvm(_VENDOR_DIR)) | F.col("product") | foreign,
         "data": bulk,
     }
+    outlier = (F.col("distinct_names") >= LEAST_NAMES) & (F.col("bits_above") >= OUTLIER_BITS)
+    kinds["minified"] = kinds["minified"] | outlier & ~(kinds["generated"] | kinds["vendored"] | kinds["data"])
     labels = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in kinds.items()]))
-    return features.join(foreign_shares(features), "file_id", "left").withColumn("kinds", labels).drop("runs")
+    return with_own_style(features).join(foreign_shares(features), "file_id", "left").withColumn("kinds", labels).drop("runs")
 
 
 def _jvm(pattern: re.Pattern) -> str:

@@ -73,3 +73,34 @@ def test_empty_table(spark):
 def test_entropy_tells_mangled_names():
     good = V._log_model({t: n for n, w in enumerate(["sortItems", "limitOrder", "orderItems"], 5) for t in V.trigrams_of(w)})
     assert V.cross_entropy(["orderItems"], good) < V.cross_entropy(["xq3", "zj9"], good)
+
+
+def classified(spark, rows):
+    df = spark.createDataFrame(rows, "file_id bigint, project string, relative string, text string")
+    features = V.file_features(df, V.train_names(df)).cache()
+    return {r.file_id: set(r.kinds) for r in V.classify(features).collect()}
+
+
+def test_cross_entropy_above_the_own_project_tells_alone(spark):
+    words = "Budget Query Capsule Order Symbol Ledger Digest Runner Window Probe".split()
+    rows = [(i, "p", f"src/{i}.js", HAND.format(w + words[i // 10], i)) for i, w in enumerate(words * 4)]
+    random.seed(5)
+    odd = ["".join(random.choice("zxqjkvwZXQJKVW") for _ in range(9)) for _ in range(30)]
+    rows.append((90, "p", "src/odd.js", "\n".join(f"  {a}.{b}({c});" if i % 2 else f"if ({a}) {{ {b} = {c} }}" for i, (a, b, c) in enumerate(zip(odd, odd[1:], odd[2:])))))
+    found = classified(spark, rows)
+    assert found.pop(90) == {"minified"}
+    assert set().union(*found.values()) == set()
+
+
+def test_identifiers_that_differ_in_numbers_only(spark):
+    uneven = "".join(f"run(item{i}Handler" + ", 1" * (i % 7) + ");\n" for i in range(14))
+    assert classified(spark, [(1, "p", "src/a.js", uneven), (2, "p", "src/b.js", HAND.format("Probe", 1))]) == {1: {"generated"}, 2: set()}
+
+
+def test_a_copy_in_two_projects_with_a_style_of_its_own(spark):
+    words = "Budget Query Capsule Order Symbol Ledger Digest Runner Window Probe".split()
+    rows = [(i * 10 + p, f"p{p}", f"src/{i}.js", HAND.format(w + words[(i + p + 1) % 10], i)) for p in (0, 1) for i, w in enumerate(words)]
+    copy = "".join(f"export function read_{w.lower()}_edge(a_{w.lower()}_b) {{\n  return {{0}};\n}}\n\n" for w in words[:6])
+    rows += [(500 + p, f"p{p}", "lib/t.js", copy.replace("{0}", "1 + 2" if p else "3")) for p in (0, 1)]
+    found = classified(spark, rows)
+    assert {k for k, v in found.items() if "vendored" in v} == {500, 501}
