@@ -35,8 +35,8 @@ def type_dependencies(direct: DataFrame, symbols: DataFrame) -> DataFrame:
 
     The words of the direct texts are joined with the names, instead of testing every name on every text.
     """
-    words = direct.join(symbols.select("sym_id", "body"), "sym_id").select(
-        "task_id", "project", F.explode(F.array_distinct(F.split("body", r"[^A-Za-z0-9_$]+"))).alias("symbol")
+    words = direct.join(symbols.select("sym_id", "source_text"), "sym_id").select(
+        "task_id", "project", F.explode(F.array_distinct(F.split("source_text", r"[^A-Za-z0-9_$]+"))).alias("symbol")
     )
     types = symbols.where(F.col("kind").isin("interface", "type", "enum", "class")).select("project", "symbol", "sym_id")
     return words.where("symbol <> ''").distinct().join(types, ["project", "symbol"]).select("task_id", "sym_id").distinct()

@@ -119,7 +119,7 @@ def lookup(symbols: DataFrame, names: DataFrame, most: int = 8) -> DataFrame:
             "sym_id",
             "file",
             "signature",
-            F.when(F.col("matches") == 1, F.col("body")).alias("source"),
+            F.when(F.col("matches") == 1, F.col("source_text")).alias("source"),
             F.when(F.col("matches") == 1, 0.95).otherwise(0.65).alias("confidence"),
         )
     )

@@ -22,7 +22,10 @@ SYMBOLS_PER_FILE = 100_000
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """One row per declaration of ``files(file_id, project, relative, text)``."""
+    """One row per declaration of ``files(file_id, project, relative, text)``.
+
+    ``body`` is what the index reads of it, ``source_text`` the whole declaration.
+    """
     parts = F.split(F.regexp_replace("text", DECLARATION, MARK + "$0"), MARK)
     chunks = (
         files.where("text is not null")
@@ -46,6 +49,7 @@ def symbols(files: DataFrame) -> DataFrame:
         (before + F.length("chunk")).alias("end"),
         F.trim(signature).alias("signature"),
         F.substring("chunk", 1, C.BODY_CHARS).alias("body"),
+        F.col("chunk").alias("source_text"),
     )
 
 

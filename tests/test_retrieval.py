@@ -117,3 +117,19 @@ def test_toolbox(spark):
     assert first.count() == 4
     again = tools.read_evidence(records, 300, first.select("ref")).collect()
     assert [(r.unchanged, r.source) for r in again] == [(True, "")]
+
+
+def test_a_long_declaration_is_whole(spark):
+    from sieveline.operators import capsule as K
+    from sieveline.operators import evidence as E
+
+    long = "export function read(a) {\n" + "  a.step();\n" * 500 + "  return new Late(a);\n}\n"
+    files = spark.createDataFrame([(1, "p", "a.ts", long + "export class Late {\n}\n")], "file_id bigint, project string, relative string, text string")
+    found = I.symbols(files)
+    read = found.where("symbol = 'read'")
+    assert read.select(F.length("body")).first()[0] == 4000
+    names = spark.createDataFrame([("p", "read")], "project string, name string")
+    assert E.lookup(found, names).first().source == long
+    direct = read.select(F.lit(1).alias("task_id"), "project", "sym_id")
+    late = found.where("symbol = 'Late'").first().sym_id
+    assert [r.sym_id for r in K.type_dependencies(direct, found).collect()] == [late]
