@@ -33,7 +33,7 @@ def s2_scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_id",
         X.is_source_path(path).alias("is_source"),
         X.in_skipped_directory(path).alias("is_skipped"),
-        X.is_bundle(F.col("text"), 2_000, 200).alias("is_bundle"),
+        X.is_bundle(F.col("text")).alias("is_bundle"),
         X.is_test_path(path).alias("is_test"),
     )
 
