@@ -24,6 +24,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -71,8 +72,12 @@ LEAST_RATIO = 1.5
 #: Sum of the log ratios from which a line counts as garbled, and what a trigram of correct text takes off.
 LINE_SCORE, KNOWN_PENALTY = 8.0, 2.0
 
+#: Most that a garbled trigram with symbols adds to a line, as one drawing may look like a frequent trigram.
+SYMBOL_RATIO = 2.5
+
 _QUOTED = re.compile(r"`(?!\s)[^`\n]{1,60}(?<!\s)`")
 _WORD = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7f][^\W\d_]*")
+_SIGNS = re.compile(r"[A-Za-z\u0080-\U0010ffff]{3,}")
 _RANK = {name: i for i, name in enumerate(UTF8_READERS)}
 _CLOSING = "»”“’‘«„…—–‚•™"
 
@@ -151,8 +156,18 @@ def _trigrams(text: str) -> Iterator[str]:
                 yield tri
 
 
+def _symbol_trigrams(text: str) -> Iterator[str]:
+    """Trigrams of letters and of signs beyond ASCII, with at least one such sign."""
+    for run in _SIGNS.findall(text):
+        if not run.isalpha():
+            for i in range(len(run) - 2):
+                tri = run[i : i + 3]
+                if not tri.isalpha() and not tri.isascii():
+                    yield tri
+
+
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(trigram, n) over all texts without garbled UTF-8: letter trigrams with a letter beyond ASCII.
+    """(trigram, n) over all texts without garbled UTF-8: trigrams with a letter or a sign beyond ASCII.
 
     Each task counts its own batches first, so the shuffle carries distinct trigrams only.
     """
@@ -164,6 +179,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             for text in batch["t"]:
                 if not text.isascii() and not tool.garbled_utf8(text):
                     total.update(_trigrams(text))
+                    total.update(_symbol_trigrams(text))
             if len(total) > 500_000:
                 yield pd.DataFrame({"trigram": list(total.keys()), "n": list(total.values())})
                 total = Counter()
@@ -175,26 +191,31 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def trigram_model(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Trigram -> share per million. At most 1e6 / LEAST_PPM rows, whatever the corpus."""
-    counts = trigram_counts(df, text_col)
-    total = counts.groupBy().agg(F.sum("n").alias("total"))
-    share = F.col("n") * F.lit(1e6) / F.col("total")
-    kept = counts.crossJoin(F.broadcast(total)).select("trigram", share.alias("ppm")).where(F.col("ppm") >= LEAST_PPM)
+    """Trigram -> per million of all letter trigrams. At most 1e6 / LEAST_PPM rows with signs and as many without, whatever the corpus."""
+    counts = trigram_counts(df, text_col).withColumn("word", F.col("trigram").rlike(r"^\p{L}+$"))
+    total = counts.groupBy().agg(
+        F.sum(F.when(F.col("word"), F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(F.col("word"), 0).otherwise(F.col("n"))).alias("signs")
+    )
+    share = F.col("n") * F.lit(1e6) / F.greatest("words", F.lit(1))
+    own = F.col("n") * F.lit(1e6) / F.when(F.col("word"), F.col("words")).otherwise(F.col("signs"))
+    kept = counts.crossJoin(F.broadcast(total)).where(own >= LEAST_PPM).select("trigram", share.alias("ppm"))
     return {r["trigram"]: r["ppm"] for r in kept.collect()}
 
 
 def byte_sequences(model: dict[str, float]) -> dict[str, dict[tuple[str, str], float]]:
-    """Garbled trigram -> {(right, read as): log ratio of the right form to the garbled one}."""
+    """Garbled trigram -> {(right, read as): log ratio of the right form to the garbled one}; garbled forms may hold any sign."""
     found: dict[str, dict[tuple[str, str], float]] = defaultdict(dict)
+    right = [(tri, ppm) for tri, ppm in model.items() if tri.isalpha()]
     for pair in BYTE_PAIRS:
         back = {good: bad for bad, good in _byte_table(*pair).items()}
-        for tri, ppm in model.items():
+        for tri, ppm in right:
             garbled = "".join(back.get(c, c) for c in tri)
-            if garbled == tri or not all(c.isalnum() or c in "³²¹º°ª¼½¾" for c in garbled) or any(c > "\x7f" and c not in back and not _same(c, pair) for c in tri):
+            if garbled == tri or any(c > "\x7f" and c not in back and not _same(c, pair) for c in tri):
                 continue
             ratio = math.log((ppm + SMOOTH_PPM) / (model.get(garbled, 0.0) + SMOOTH_PPM))
             if ratio >= LEAST_RATIO:
-                found[garbled][pair] = ratio
+                plain = all(c.isalnum() or c in "³²¹º°ª¼½¾" for c in garbled)
+                found[garbled][pair] = ratio if plain else min(ratio, SYMBOL_RATIO)
     return dict(found)
 
 
@@ -281,7 +302,7 @@ class Repairer:
             high = text.find("\n", low)
             high = len(text) if high < 0 else high
             table = _byte_table(*pair)
-            for tri in _trigrams(text[low:high]):
+            for tri in chain(_trigrams(text[low:high]), _symbol_trigrams(text[low:high])):
                 if tri in self.model and pair not in self.bytes.get(tri, ()) and any(c in table for c in tri):
                     best -= KNOWN_PENALTY
             if best >= LINE_SCORE:

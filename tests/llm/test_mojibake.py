@@ -49,3 +49,19 @@ def test_one_byte_encodings_by_the_corpus_own_trigrams(spark):
     assert found == {120: turkish, 121: russian}
     assert repair(df.limit(0), model={}).count() == 0
     assert len(trigram_model(df)) > 20
+
+
+@pytest.mark.parametrize(("right", "wrong"), [("koi8_r", "cp866"), ("koi8_r", "cp437"), ("cp866", "latin-1"), ("cp1251", "cp437"), ("koi8_r", "mac_roman"), ("cp1252", "cp437")])
+def test_pairs_whose_garbled_form_holds_signs(right, wrong):
+    from collections import Counter
+
+    from sieveline.llm import mojibake as J
+
+    russian = "отчёт сохранён, уровень доверия низкий, нужно сократить бюджет и повторить запуск"
+    german = "größere Größe, außer für Grüße müßte das Gefäß größer und süßer sein, schöne größte Straße"
+    drawing = "├── src\n│   └── a.ts\n┌──────┐\n│ “x” │ → ≤ 5 „größer“ …"
+    counts = Counter(t for text in (russian, german, drawing) for t in (*J._trigrams(text), *J._symbol_trigrams(text)))
+    tool = Repairer({t: n * 1e6 / sum(counts.values()) for t, n in counts.items()})
+    text = german if right == "cp1252" else russian.replace("ё", "е") if right == "koi8_r" else russian
+    assert tool.restore(misread(text.encode(right), wrong))[0] == text
+    assert tool.restore(drawing) == (drawing, 0, 0, "")
