@@ -171,7 +171,7 @@ def line_shapes(text: str, language: str) -> tuple[int, float]:
 
 def leading_comment(text: str) -> str:
     """Comments before the first code, without quoted text."""
-    return _LEADING.match(text).group()[:4000]
+    return _LEADING.match(text).group()
 
 
 def has_banner(lead: str) -> bool:

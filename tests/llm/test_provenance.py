@@ -104,3 +104,8 @@ def test_a_copy_in_two_projects_with_a_style_of_its_own(spark):
     rows += [(500 + p, f"p{p}", "lib/t.js", copy.replace("{0}", "1 + 2" if p else "3")) for p in (0, 1)]
     found = classified(spark, rows)
     assert {k for k, v in found.items() if "vendored" in v} == {500, 501}
+
+
+def test_a_banner_below_a_long_licence_counts():
+    licence = "/*\n" + " * Licensed under the Apache License, Version 2.0 with all of its text.\n" * 160 + " */\n"
+    assert V.has_banner(V.leading_comment(licence + "// Code generated by loom 3.1. DO NOT EDIT.\nexport const a = 1;\n"))
