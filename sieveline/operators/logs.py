@@ -1,14 +1,18 @@
 """Log lines of many programs into entries with time, level, component and message.
 
-1. *Token n-gram dictionary.* The head of each line (from its time to the first words after it) is reduced
-   to a key in which times and numbers are typed; equal keys are counted inside the tasks and summed up.
-   Trigrams and bigrams of tokens are counted over all keys with these weights. A word that fills most of
-   its context is a constant of the layout, one that shares its context with many others is a variable.
-2. *Templates.* Constants stay, variables become ``<*>``; each slot gets a role by type: the first ``<ts>``
-   is the time, the first ``<lvl>`` of the head the level, the name slot that is no host, thread, process
-   or line number the component, the rest of the line the message. A template is also a regular
-   expression, and all lines are read with the templates, the most specific first. JSON objects and
-   key=value pairs are templates whose keys are the constants.
+1. *Token n-gram dictionary.* The head of a line (from its time through the first words after it) becomes a
+   shape: times, levels, numbers, names and names with digits are typed, marks stay. Shapes are counted inside
+   the tasks and summed up. From them n-grams are counted over all lines: a token behind the whole head before
+   it, behind the two tokens before it (trigram) and behind the one before it (bigram), the shorter ones for
+   heads that are rare. JSON objects and key=value lines give (key, type of value) pairs in the same table.
+2. *Templates.* Only the counts say what a head is. A mark, level or number is a constant of the layout where it
+   holds its share of what follows the head before it. A name is a slot where the token behind it is a constant
+   border, or where nearly all that ever follows are borders (layouts that begin alike); where words follow, the
+   name is the first word of the message and the head ends.
+   Slots get roles by type: the time, the first level, names mostly with digits (host, thread, request) and
+   numbers (process, line) none, the first name the component. Where a template has several name slots, their
+   words are counted too; a slot with one constant word is no field. In objects the majority of a key's value
+   types gives its role. An empty dictionary yields times and nothing else.
 3. *Entries.* A line with a time at its own head starts an entry that lasts until the next one. Lines
    are numbered within their stream, so a stream is cut into blocks of fixed length, and the lines are
    shuffled once, by stream and block. Entries are formed inside each block; what an entry has in later
@@ -16,7 +20,8 @@
 
 Defined results: null lines start no entry; empty and very long lines are ordinary lines; a line
 that was delivered again counts once, with its earliest received_at; a line whose date does not
-exist starts no entry; lines before the first entry belong to none; extra columns are ignored.
+exist starts no entry; lines before the first entry belong to none; extra columns are ignored; a layout of which
+the lines hold too small a share for a context of its own is read with the trigrams and bigrams of all layouts.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 import json
 import re
 from calendar import timegm
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,14 +44,18 @@ from sieveline.operators.prefix import value_before
 
 #: Lines of a stream that one block holds.
 BLOCK_LINES = 4096
-#: Tokens of a line's head that are looked at.
-HEAD_TOKENS = 16
-#: Words after the time that belong to a key.
-HEAD_WORDS = 5
-#: Share of all lines from which a context is kept in the dictionary; it bounds the dictionary's size.
+#: Words after the time in a shape at first; doubled while heads are found that go on beyond them.
+HEAD_WORDS = 6
+#: Share of all heads from which an n-gram is kept; it bounds the dictionary: at most 3 x tokens of a shape / LEAST_SHARE rows.
 LEAST_SHARE = 0.0002
-#: Share of its context from which a word is a constant.
+#: Share of its place from which a token is a possible part of a layout.
+BRANCH_SHARE = 0.02
+#: Share of its place from which a token is the constant border of a slot, and a word the constant of its slot.
 CONSTANT_SHARE = 0.5
+#: Share of its place from which a name is always followed by another name, or by some border.
+CHAIN_SHARE = 0.8
+#: Weight of the shorter n-grams in the share of a longer one, in lines.
+BACK_OFF = 1.0
 
 _MONTHS = {m: i for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)}
 _MONTH = "|".join(_MONTHS)
@@ -75,15 +84,16 @@ _LEVEL_KEYS = {"level", "severity", "lvl", "levelname", "loglevel", "log.level"}
 _NAME_KEYS = {"component", "logger", "name", "module", "target", "logger_name", "category", "subsystem"}
 _TEXT_KEYS = {"msg", "message", "text", "event"}
 
-#: Stands for a time in a key.
-TIME_MARK = "\x02"
+#: Typed tokens of a shape: a time, a level, and where the line goes on beyond the shape.
+TIME, LEVEL, CUT = "\x02", "\x03", "\x06"
 _LEVEL_WORDS = "|".join(LEVELS)
-_NAME = r"[A-Za-z_]\w*(?:(?:::|[.\-/])\w+)*"
 _CONTROL = re.compile(r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\))")
+_PAIR = re.compile(r'(?P<k>[\w.@]+)=(?P<v>"(?:[^"\\]|\\.)*"|\S*)\s*')
 _TOKEN = re.compile(
-    r"(?P<blank>\s+)|(?P<word>[A-Za-z_]\w*(?:(?:::|[.\-/])\w+)*)|(?P<number>\d+(?:\.\d+)?(?![\w.]))|(?P<mixed>\w+)|(?P<mark>[^\w\s])"
+    rf"(?P<gap>\s+)|(?P<T>{TIME})|(?P<L>{LEVEL})|(?P<C>{CUT})|(?P<w>[^\W\d]\w*(?:(?:::|[.\-/])\w+)*)|(?P<n>\d+(?:\.\d+)?(?![\w.]))|(?P<m>\d\w*)"
+    rf"|(?P<mark>[^\w\s{TIME}{LEVEL}{CUT}]+)"
 )
-_PAIR = re.compile(r'(?P<k>[\w.@]+)=(?P<v>"(?:[^"\\]|\\.)*"|\S*)\s*')
+_NAME = re.compile(r"[^\W\d]\w*(?:(?:::|[.\-/])\w+)*")
 
 
 def plain_line(line: str) -> str:
@@ -157,85 +167,6 @@ def _time_at(line: str, at: int) -> re.Match | None:
     return None
 
 
-def head_tokens(line: str) -> list[tuple[str, str, int, bool]]:
-    """(token, text, end, blank before) of the head: typed tokens for times, levels and numbers."""
-    found: list[tuple[str, str, int, bool]] = []
-    at, blank = 0, False
-    timed = False
-    while at < len(line) and len(found) < HEAD_TOKENS:
-        if line[at] == TIME_MARK:
-            if found and found[-1][1] in _LETTERS and at == found[-1][2]:
-                found[-1] = ("<lvl>", *found[-1][1:])
-            found.append(("<ts>", TIME_MARK, at + 1, blank))
-            at, blank, timed = at + 1, False, True
-            continue
-        if not timed and (line[at].isdigit() or line[at].isupper()):
-            m = _time_at(line, at)
-            if m:
-                if m.groupdict().get("letter"):
-                    found.append(("<lvl>", m.group("letter"), at + 1, blank))
-                    blank = False
-                found.append(("<ts>", m.group(), m.end(), blank))
-                at, blank, timed = m.end(), False, True
-                continue
-        m = _TOKEN.match(line, at)
-        at = m.end()
-        kind, text = m.lastgroup, m.group()
-        if kind == "blank":
-            blank = True
-            continue
-        if kind == "word" and text.lower() in LEVELS:
-            token = "<lvl>"
-        elif kind == "number":
-            token = "<n>"
-        else:
-            token = re.sub(r"\d+", "#", text) if kind != "mark" else text
-        found.append((token, text, at, blank))
-        blank = False
-    return found
-
-
-def _marked(tokens: list[tuple[str, str, int, bool]]) -> list[str]:
-    return ["^", *((" " if blank else "") + token for token, _, _, blank in tokens), "$"]
-
-
-def _layout(tokens: list[tuple[str, str, int, bool]], i: int) -> str:
-    """The head up to the name at token i as a context: names are ``<w>``, all else as typed."""
-    return "".join((" " if blank else "") + ("<w>" if _is_name(token) else token) for token, _, _, blank in tokens[: i + 1])
-
-
-def _mark_run(tokens: list[tuple[str, str, int, bool]], i: int) -> tuple[str, int]:
-    """What follows the name at token i, marks without a blank between them as one, and where it ends."""
-    if i + 1 >= len(tokens):
-        return "$", i + 1
-    token, _, _, blank = tokens[i + 1]
-    end, lead = i + 2, " " if blank else ""
-    if token[0] in "<_" and len(token) > 1 or token[0].isalnum():
-        return lead + ("<w>" if _is_name(token) else token), end
-    while end < len(tokens) and not tokens[end][3] and re.fullmatch(r"[^\w\s]", tokens[end][0]):
-        token, end = token + tokens[end][0], end + 1
-    return lead + token, end
-
-
-class Dictionary:
-    """Which words are constants: context -> (its most frequent word, that word's share)."""
-
-    def __init__(self, contexts: dict[tuple[str, str], tuple[str, float]]):
-        self.contexts = contexts
-
-    def constant(self, before: str, word: str, after: str) -> bool:
-        for context in ((before, after), (before, "")):
-            known = self.contexts.get(context)
-            if known:
-                return known[0] == word and known[1] >= CONSTANT_SHARE
-        return False
-
-    def separator(self, layout: str, run: str) -> bool:
-        """The marks ``run`` are a constant of the layout behind its name slot."""
-        known = self.contexts.get((layout, "\x00"))
-        return known is not None and known[0] == run and known[1] >= CONSTANT_SHARE
-
-
 # For the vectorised pass, without look-around: where a time may stand at the start of a line.
 _BEFORE = rf"(?:[\[(<]?(?i:{_LEVEL_WORDS})[\])>:]?[ \t]+)?[\[(<]?"
 _PLAIN_ZONE = r"(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d))?"
@@ -259,22 +190,88 @@ def plain_lines(lines: pa.Array) -> pa.Array:
     return lines
 
 
-def head_keys(lines: pa.Array) -> pa.Array:
-    """Keys of the lines that may start an entry: typed times and numbers, no values, the first words only."""
-    text = pc.filter(lines, pc.match_substring_regex(lines, _TEXT_HEAD))
-    text = pc.replace_substring_regex(text, rf"^({_BEFORE}){_PLAIN_TIME}", "\\1" + TIME_MARK)
-    text = pc.replace_substring_regex(text, rf"^([TDIWEF]){_GLUED_TIME}", "\\1" + TIME_MARK)
-    text = pc.replace_substring_regex(text, rf"(?s)^([^{TIME_MARK}]*{TIME_MARK}(?:\S*\s+){{0,{HEAD_WORDS}}}\S{{0,64}}).*$", "\\1")
-    text = pc.replace_substring_regex(text, r"\d+", "0")
-    objects = pc.filter(lines, pc.match_substring_regex(lines, _OBJECT_HEAD))
-    objects = pc.replace_substring_regex(objects, r'("(?:[^"\\]|\\.)*"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[-\d.eE+]+)', "\\1_")
-    pairs = pc.filter(lines, pc.match_substring_regex(lines, _PAIR_HEAD))
-    pairs = pc.replace_substring_regex(pairs, r'([\w.@]+)=(?:"(?:[^"\\]|\\.)*"|\S*)', "\\1=_")
-    return pa.chunked_array([text, pc.utf8_slice_codeunits(objects, 0, 400), pc.utf8_slice_codeunits(pairs, 0, 400)], type=pa.string())
+def shapes(heads: pa.Array, words: int = HEAD_WORDS) -> pa.Array:
+    """The shapes of lines that begin with a time: letters are ``a`` and digits ``0`` until they are typed."""
+    text = pc.replace_substring_regex(heads, r"[\x02-\x06]", " ")
+    text = pc.replace_substring_regex(text, rf"^({_BEFORE}){_PLAIN_TIME}", "\\1" + TIME)
+    text = pc.replace_substring_regex(text, rf"^[TDIWEF]{_GLUED_TIME}", LEVEL + TIME)
+    if words <= 900:
+        text = pc.replace_substring_regex(text, rf"(?s)^([^{TIME}]*{TIME}(?:\S*\s+){{{words}}}\S*)\s.*$", "\\1 " + CUT)
+    text = pc.replace_substring_regex(text, rf"(^|[\s\[(<|{{{TIME}])(?i:{_LEVEL_WORDS})([\s\])>|:,}}]|$)", "\\1" + LEVEL + "\\2")
+    text = pc.replace_substring_regex(text, r"[A-Za-z_]+", "a")
+    return pc.replace_substring_regex(text, r"\d+", "0")
+
+
+@lru_cache(maxsize=1 << 16)
+def tokens_of(shape: str) -> tuple[str, ...]:
+    """Typed tokens: ``T L w x n m C`` and runs of marks; a blank before and, for marks, ``_`` for a blank behind."""
+    found: list[str] = []
+    blank = False
+    for m in _TOKEN.finditer(shape):
+        kind = m.lastgroup
+        if kind == "gap":
+            if found and found[-1][-1] not in "TLwxnmC":
+                found[-1] += "_"
+            blank = True
+            continue
+        text = m.group()
+        if kind == "w" and re.search(r"\d", text):
+            kind = "x"
+        found.append((" " if blank else "") + (text if kind == "mark" else kind))
+        blank = False
+    if found and found[-1][-1] not in "TLwxnmC_":
+        found[-1] += "_"
+    return tuple(found)
+
 
+def value_type(value: object) -> str:
+    """time, level, number, name, id (a name with digits), text or other."""
+    if isinstance(value, bool) or value is None:
+        return "other"
+    if _value_ms(value, 2000) is not None:
+        return "time"
+    if isinstance(value, (int, float)):
+        return "level" if value in (10, 20, 30, 40, 50, 60) else "number"
+    if not isinstance(value, str):
+        return "other"
+    if level_name(value):
+        return "level"
+    if _NAME.fullmatch(value):
+        return "id" if re.search(r"\d", value) else "name"
+    return "text" if re.search(r"\s", value) else "other"
+
+
+def _object_pairs(line: str) -> list[tuple[str, object]]:
+    try:
+        record = json.loads(line)
+    except (ValueError, RecursionError):
+        return []
+    return list(record.items()) if isinstance(record, dict) else []
 
-def count_keys(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """(head, n): how often each key occurs over all lines; counted inside each task first."""
+
+def _plain_pairs(line: str) -> list[tuple[str, object]]:
+    pairs, at = [], 0
+    while at < len(line):
+        m = _PAIR.match(line, at)
+        if not m:
+            break
+        value = m.group("v")
+        if value.startswith('"') and len(value) > 1:
+            try:
+                value = json.loads(value)
+            except ValueError:
+                value = value[1:-1]
+        pairs.append((m.group("k"), value))
+        at = m.end()
+    return pairs if len(pairs) > 1 else []
+
+
+def _fields_of(line: str) -> list[tuple[str, object]]:
+    return _object_pairs(line) if line[0] == "{" else _plain_pairs(line)
+
+
+def count_keys(lines: DataFrame, line_col: str = "line", words: int = HEAD_WORDS) -> DataFrame:
+    """(head, n): how often each shape occurs over all lines, and for objects their keys with types of values."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -283,9 +280,14 @@ def count_keys(lines: DataFrame, line_col: str = "line") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["head", "n"])
 
         for batch in batches:
-            counted = pc.value_counts(head_keys(plain_lines(batch.column(0).cast(pa.string()))))
+            plain = plain_lines(batch.column(0).cast(pa.string()))
+            counted = pc.value_counts(shapes(pc.filter(plain, pc.match_substring_regex(plain, _TEXT_HEAD)), words))
             for key, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
                 total[key] += n
+            for line in pc.filter(plain, pc.match_substring_regex(plain, rf"{_OBJECT_HEAD}|{_PAIR_HEAD}")).to_pylist():
+                pairs = _fields_of(line)
+                if pairs:
+                    total["{" + "\x1f".join(f"{k}\x1e{value_type(v)}" for k, v in pairs)] += 1
             if len(total) > 300_000:
                 yield rows()
                 total.clear()
@@ -297,350 +299,434 @@ def count_keys(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def count_ngrams(keys: DataFrame) -> DataFrame:
-    """(before, word, after, n): weighted trigrams over all keys, and bigrams with after = ''.
-
-    With after = NUL, before is the whole layout up to a name and word the marks that follow the name.
-    """
+    """(context, token, n): what follows the whole head, the two tokens and the one token before a place."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[tuple[str, str, str]] = Counter()
+        total: Counter[tuple[str, str]] = Counter()
         for batch in batches:
             for head, n in zip(batch["head"], batch["n"]):
-                if TIME_MARK in head:
-                    marked = _marked(head_tokens(head))
-                    for before, word, after in zip(marked, marked[1:], marked[2:]):
-                        total[before, word, after] += n
-                        total[before, word, ""] += n
-                    tokens = head_tokens(head)
-                    for i in range(1, len(tokens)):
-                        if _is_name(tokens[i][0]) and not _is_name(tokens[i - 1][0]):
-                            total[_layout(tokens, i), _mark_run(tokens, i)[0], "\x00"] += n
+                for context, token in ngrams_of(head):
+                    total[context, token] += n
         if total:
-            yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["before", "word", "after", "n"])
+            yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["context", "token", "n"])
+
+    counts = keys.mapInPandas(count, "context string, token string, n bigint")
+    return counts.groupBy("context", "token").agg(F.sum("n").alias("n"))
+
+
+def ngrams_of(head: str) -> Iterator[tuple[str, str]]:
+    if head[0] == "{":
+        pairs = [p.split("\x1e") for p in head[1:].split("\x1f")]
+        layout = "{" + "\x1f".join(sorted(k for k, _ in pairs))
+        for key, kind in pairs:
+            yield layout + "\x1e" + key, kind
+            yield "{\x1e" + key, kind
+        return
+    tokens = tokens_of(head)
+    for i in range(1, len(tokens) + 1):
+        after = tokens[i] if i < len(tokens) else "$"
+        for context in _contexts(tokens, i):
+            yield context, after
 
-    counts = keys.mapInPandas(count, "before string, word string, after string, n bigint")
-    return counts.groupBy("before", "word", "after").agg(F.sum("n").alias("n"))
 
+def _contexts(tokens: tuple[str, ...], i: int) -> tuple[str, str, str]:
+    """The contexts of place i: the whole head before it, two tokens, one token."""
+    return "^" + "".join(tokens[:i]), "3" + "".join(tokens[max(i - 2, 0) : i]), "2" + tokens[i - 1]
+
+
+class Dictionary:
+    """The n-gram counts: (context, token) -> n, and the total of each context."""
+
+    def __init__(self, counts: dict[tuple[str, str], int], totals: dict[str, int], words: int = HEAD_WORDS, constant_slots: dict[tuple[str, int], bool] | None = None):
+        self.counts, self.totals, self.words = counts, totals, words
+        self.constant_slots = constant_slots or {}
+        self.borders: Counter[str] = Counter()
+        for (context, token), n in counts.items():
+            if context[0] in "^32" and _type(token) in ("mark", "L"):
+                self.borders[context] += n
+
+    def n(self, context: str, token: str) -> int:
+        return self.counts.get((context, token), 0)
+
+    def share(self, tokens: tuple[str, ...], i: int, token: str | None) -> float:
+        """Share of ``token`` at place i behind tokens[:i], each n-gram backed off to the next shorter one; None: of all borders."""
+        value = 0.0
+        for context in reversed(_contexts(tokens, i)):
+            total = self.totals.get(context, 0)
+            if total:
+                n = self.borders[context] if token is None else self.n(context, token)
+                value = (n + BACK_OFF * value) / (total + (BACK_OFF if value else 0))
+        return value
+
+    def type_of(self, layout: str, key: str) -> str:
+        """The type that most values of a key have, in this layout or, where it is rare, in all of them."""
+        for context in (layout + "\x1e" + key, "{\x1e" + key):
+            total = self.totals.get(context, 0)
+            for kind in ("time", "level", "number", "name", "id", "text"):
+                if total and self.n(context, kind) >= CONSTANT_SHARE * total:
+                    return kind
+            if total:
+                return "other"
+        return ""
 
-def learn_dictionary(keys: DataFrame) -> Dictionary:
-    """The frequent contexts; at most 3 * HEAD_TOKENS / LEAST_SHARE of them whatever the number of lines."""
+
+EMPTY = Dictionary({}, {})
+
+
+def learn_dictionary(keys: DataFrame, words: int = HEAD_WORDS) -> Dictionary:
+    """The frequent n-grams of the keys; their number is bounded by LEAST_SHARE, whatever the number of lines."""
     counts = count_ngrams(keys)
-    contexts = counts.groupBy("before", "after").agg(
-        F.sum("n").alias("total"), F.max(F.struct("n", "word")).alias("top")
-    )
-    starts = keys.where(F.col("head").contains(TIME_MARK)).agg(F.sum("n").alias("lines"))
-    kept = (
-        contexts.crossJoin(F.broadcast(starts))
-        .where(F.col("total") >= F.col("lines") * LEAST_SHARE)
-        .select("before", "after", "top.word", (F.col("top.n") / F.col("total")).alias("share"))
-    )
-    return Dictionary({(r["before"], r["after"]): (r["word"], r["share"]) for r in kept.collect()})
+    totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
+    heads = keys.agg(F.sum("n").alias("heads"))
+    kept = counts.join(totals, "context").crossJoin(F.broadcast(heads)).where(F.col("n") >= F.col("heads") * LEAST_SHARE)
+    rows = kept.select("context", "token", "n", "total").collect()
+    return Dictionary({(r["context"], r["token"]): r["n"] for r in rows}, {r["context"]: r["total"] for r in rows}, words)
+
+
+def learn(lines: DataFrame, stored=lambda df: df) -> tuple[DataFrame, Dictionary]:
+    """Keys and dictionary; the shapes are taken wider while heads of a notable share go on beyond them.
+
+    ``stored`` cuts the lineage of the keys, which are read several times.
+    """
+    words = HEAD_WORDS
+    while True:
+        keys = stored(count_keys(lines, words=words))
+        dictionary = learn_dictionary(keys, words)
+        if words > 900:
+            break
+        layouts = learn_templates(keys, dictionary)
+        cut = layouts.agg(F.sum(F.when(F.col("is_cut"), F.col("n"))).alias("cut"), F.sum("n").alias("heads")).first()
+        if not cut["cut"] or cut["cut"] < LEAST_SHARE * cut["heads"]:
+            break
+        words *= 2
+    several = layouts if words <= 900 else learn_templates(keys, dictionary)
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    templates = [r["template"] for r in several.where((F.col("names") > 1) & (F.col("n") >= F.lit(total * LEAST_SHARE))).select("template").distinct().collect()]
+    if templates:
+        dictionary.constant_slots = constant_slots(lines, dictionary, templates)
+    return keys, dictionary
 
 
 def learn_templates(keys: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """(template, pattern, n): the layouts of all keys with the number of their lines."""
-    shared = keys.sparkSession.sparkContext.broadcast(dictionary.contexts)
+    """(template, names, is_cut, n): the layouts of all keys, their name slots and the number of their lines."""
+    shared = keys.sparkSession.sparkContext.broadcast(dictionary)
 
     def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Dictionary(shared.value)
-        total: Counter[tuple[str, str]] = Counter()
+        known = shared.value
+        total: Counter[tuple[str, int, bool]] = Counter()
         for batch in batches:
             for head, n in zip(batch["head"], batch["n"]):
-                if TIME_MARK in head:
-                    found = parse_head(head, 2000, known)
-                    if found:
-                        total[found.template, found.pattern] += n
+                if head[0] == "{":
+                    pairs = [tuple(p.split("\x1e")) for p in head[1:].split("\x1f")]
+                    roles = field_roles(tuple(k for k, _ in pairs), known)
+                    if roles is not None:
+                        total["fields: " + " ".join(f"{k}=<{roles.get(k, '*')}>" for k, _ in pairs), 1, False] += n
                 else:
-                    total[head, ""] += n
-        yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["template", "pattern", "n"])
+                    template = template_of(head, known)
+                    if template is not None:
+                        total[template.label, len(template.names), template.is_cut] += n
+        yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["template", "names", "is_cut", "n"])
 
-    derived = keys.mapInPandas(derive, "template string, pattern string, n bigint")
-    return derived.groupBy("template", "pattern").agg(F.sum("n").alias("n"))
+    derived = keys.mapInPandas(derive, "template string, names int, is_cut boolean, n bigint")
+    return derived.groupBy("template", "names", "is_cut").agg(F.sum("n").alias("n"))
 
 
-class Head:
-    """What a line's head says: ts_ms, level, component, message, the template it follows and its pattern."""
+def constant_slots(lines: DataFrame, dictionary: Dictionary, templates: list[str]) -> dict[tuple[str, int], bool]:
+    """Which name slots of these templates hold one constant word: (slot, word) bigrams counted over all lines.
 
-    __slots__ = ("ts_ms", "level", "component", "message", "template", "pattern")
-
-    def __init__(self, ts_ms: int, level: str, component: str, message: str, template: str, pattern: str = ""):
-        self.ts_ms, self.level, self.component = ts_ms, level, component
-        self.message, self.template, self.pattern = message, template, pattern
+    Only templates with several name slots are asked for; one row per template and slot comes back.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast((dictionary, frozenset(templates)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = shared.value
+        reader = Reader(known)
+        total: Counter[tuple[str, int, str]] = Counter()
+        for batch in batches:
+            plain = plain_lines(batch.column(0).cast(pa.string()))
+            heads = pc.filter(plain, pc.match_substring_regex(plain, _TEXT_HEAD))
+            for line, shape in zip(heads.to_pylist(), shapes(heads, known.words).to_pylist()):
+                template = reader.template(shape)
+                hit = template.match(line) if template is not None and template.label in wanted else None
+                if hit:
+                    for slot in template.names:
+                        total[template.label, slot, hit.group(f"c{slot}")] += 1
+        rows = list(total.items())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
+            ["template", "slot", "word", "n"],
+        )
 
-def _json_head(line: str, year: int) -> Head | None:
-    try:
-        record = json.loads(line)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(record, dict):
-        return None
-    return _keyed_head([(k, v) for k, v in record.items()], year, "json")
-
-
-def _keyed_head(pairs: list[tuple[str, object]], year: int, kind: str) -> Head | None:
-    ts = level = component = message = None
-    roles = []
-    for key, value in pairs:
-        name = key.lower()
-        role = "*"
-        if ts is None and name in _TIME_KEYS and (ms := _value_ms(value, year)) is not None:
-            ts, role = ms, "ts"
-        elif level is None and name in _LEVEL_KEYS and level_name(value):
-            level, role = level_name(value), "lvl"
-        elif name in _NAME_KEYS and isinstance(value, str) and component is None:
-            component, role = value, "name"
-        elif name in _TEXT_KEYS and message is None and isinstance(value, str):
-            message, role = value, "msg"
-        roles.append(f"{key}=<{role}>")
-    if ts is None or level is None and message is None:
-        return None
-    return Head(ts, level or "", component or "", message or "", f"{kind}: " + " ".join(roles))
+    texts = lines.select(F.col("line").cast("string").alias("l")).where("l is not null and l <> ''")
+    words = texts.mapInArrow(count, "template string, slot int, word string, n bigint").groupBy("template", "slot", "word").agg(F.sum("n").alias("n"))
+    slots = words.groupBy("template", "slot").agg((F.max("n") / F.sum("n")).alias("top"))
+    return {(r["template"], r["slot"]): r["top"] >= CONSTANT_SHARE for r in slots.collect()}
 
 
-def _pair_head(line: str, year: int) -> Head | None:
-    pairs, at = [], 0
-    while at < len(line):
-        m = _PAIR.match(line, at)
-        if not m:
-            break
-        value = m.group("v")
-        if value.startswith('"') and len(value) > 1:
-            try:
-                value = json.loads(value)
-            except ValueError:
-                value = value[1:-1]
-        pairs.append((m.group("k"), value))
-        at = m.end()
-    return _keyed_head(pairs, year, "pairs") if len(pairs) > 1 else None
+_GAP, _STOP = r"[ \t]+", r"(?=\s|\Z)"
+_PIECES = {
+    "w": r"[^\W\d]+(?:(?:::|[.\-/])[^\W\d]+)*(?!\w)",
+    "x": r"(?=[^\W\d])(?:[^\W\d]+(?:::|[.\-/]))*[^\W\d]*\d\w*(?:(?:::|[.\-/])\w+)*",
+    "n": r"\d+(?:\.\d+)?(?![\w.])",
+    "m": r"\d\w*",
+}
+_SHOWN = {"T": "<ts>", "L": "<lvl>", "w": "<*>", "x": "<id>", "n": "<n>", "m": "<id>"}
+_OPENING, _CLOSING = "[(<", "])>"
 
 
-def _is_name(token: str) -> bool:
-    return token[0].isalpha() or token[0] == "_"
+class Template:
+    """A layout: its label, the pattern of what follows the time, and the name slots of the pattern."""
 
+    __slots__ = ("label", "pattern", "names", "slot", "is_cut")
 
-_NUMBER, _GAP, _STOP = r"\d+(?:\.\d+)?", r"[ \t]+", r"(?=\s|\Z)"
+    def __init__(self, label: str, pattern: str, names: list[int], is_cut: bool):
+        self.label, self.pattern, self.names, self.is_cut = label, re.compile(pattern), names, is_cut
+        self.slot: int | None = names[0] if names else None
 
+    def match(self, line: str) -> re.Match | None:
+        m = _START.match(line)
+        return self.pattern.match(line, m.end()) if m else None
 
-def _component_end(tokens: list[tuple[str, str, int, bool]], i: int) -> tuple[int, str] | None:
-    """Where a component name at token i ends with its mark, and the pattern of what follows the name."""
 
-    def at(k: int) -> str:
-        return tokens[k][0] if k < len(tokens) else ""
+def _type(token: str) -> str:
+    return token.strip(" _") if token[-1] in "TLwxnmC$" else "mark"
 
-    def tight(k: int) -> bool:
-        return k < len(tokens) and not tokens[k][3]
 
-    def stops(k: int) -> bool:
-        return k >= len(tokens) or tokens[k][3]
+def _closes(tokens: tuple[str, ...], i: int, known: Dictionary) -> bool:
+    """The name at place i is a slot: what follows it is a constant border, or always a name that is a slot itself."""
+    while i < len(tokens):
+        after = tokens[i + 1] if i + 1 < len(tokens) else "$"
+        kind = _type(after)
+        share = known.share(tokens, i + 1, after)
+        if kind in ("mark", "L"):
+            return share >= CONSTANT_SHARE or share >= BRANCH_SHARE and known.share(tokens, i + 1, None) >= CHAIN_SHARE
+        if kind not in "wx" or share < CHAIN_SHARE:
+            return False
+        i += 1
+    return False
+
+
+def _is_id(tokens: tuple[str, ...], i: int, known: Dictionary) -> bool:
+    """Most names in this slot carry digits, as those of hosts, threads and requests do."""
+    after = tokens[i + 1] if i + 1 < len(tokens) else "$"
+    blank = " " * tokens[i].startswith(" ")
+    n = {k: known.n("^" + "".join(tokens[:i]) + blank + k, after) for k in "wx"}
+    return n["x"] > n["w"] or n["x"] == n["w"] and tokens[i].endswith("x")
+
+
+def template_of(shape: str, known: Dictionary) -> Template | None:
+    """The layout of a shape as the dictionary tells it; None where the time is not the line's own."""
+    tokens = tokens_of(shape)
+    start = next((i for i, t in enumerate(tokens) if _type(t) == "T"), None)
+    if start is None:
+        return None
+    i = end = start + 1
+    if start and tokens[start - 1].strip(" _")[-1:] in tuple(_OPENING) and not tokens[start].startswith(" "):
+        if i >= len(tokens) or tokens[i][0] not in _CLOSING:
+            return None
+        end = i + 1
+        i += 1
+    level = any(_type(t) == "L" for t in tokens[:start])
+    fork = i
+    slots: list[int] = []
+    is_cut = after_slot = False
+    while i < len(tokens):
+        token, kind = tokens[i], _type(tokens[i])
+        share = known.share(tokens, i, token)
+        part = share > 0 if i == fork else share >= BRANCH_SHARE
+        if kind == "C":
+            is_cut = True
+            break
+        if not part:
+            break
+        if kind in "wx":
+            if not _closes(tokens, i, known):
+                break
+            slots.append(i)
+            end = i + 1
+        elif kind == "L":
+            after = tokens[i + 1] if i + 1 < len(tokens) else "$"
+            if level or known.share(tokens, i + 1, after) < BRANCH_SHARE:
+                break
+            level, end = True, i + 1
+        elif kind == "mark" and not token.startswith(" "):
+            end = i + 1
+        elif kind == "mark" and token.endswith("_"):
+            if share < CONSTANT_SHARE and i > fork and not after_slot:
+                break
+            end = i + 1 if share >= CONSTANT_SHARE or after_slot else end
+        after_slot = kind in "wx"
+        i += 1
+    names = [k for k, at in enumerate(slots) if at < end and not _is_id(tokens, at, known)]
+    pieces: list[str] = []
+    for k in range(start + 1, end):
+        token, kind = tokens[k], _type(tokens[k])
+        if kind == "mark":
+            text = token.strip(" _")
+            piece = re.escape(text) + (_STOP if token.endswith("_") else "")
+        elif kind == "L":
+            piece = rf"(?P<l>(?i:{_LEVEL_WORDS}))(?!\w)"
+        else:
+            slot = slots.index(k) if k in slots else None
+            piece = rf"(?P<c{slot}>{_PIECES[kind]})" if slot in names else _PIECES[kind]
+        pieces.append((_GAP if token.startswith(" ") else "") + piece)
+    label = "".join((" " if t.startswith(" ") else "") + _SHOWN.get(_type(t), t.strip(" _")) for t in tokens[:end])
+    found = Template(label, "".join(pieces), names, is_cut)
+    open_slots = [k for k in names if not known.constant_slots.get((label, k))]
+    found.slot = open_slots[0] if open_slots else found.slot
+    return found
 
-    if at(i + 1) == ":" and tight(i + 1):
-        if at(i + 2) == "<n>" and tight(i + 2) and at(i + 3) in (":", "]", ")"):
-            return i + 4, rf":{_NUMBER}[:\])]"
-        if stops(i + 2):
-            return i + 2, rf":{_STOP}"
-    if at(i + 1) == "[" and tight(i + 1) and at(i + 2) == "<n>" and at(i + 3) == "]":
-        colon = at(i + 4) == ":" and tight(i + 4)
-        return (i + 5 if colon else i + 4), rf"\[{_NUMBER}\]" + (":" if colon else "")
-    if at(i + 1) in ("-", "|") and not tight(i + 1) and stops(i + 2):
-        return i + 2, rf"{_GAP}[-|]{_STOP}"
-    return None
 
+def field_roles(keys: tuple[str, ...], known: Dictionary) -> dict[str, str] | None:
+    """Roles of an object's keys by the types of their values; customary names decide between keys of one type.
 
-def _learned_end(tokens: list[tuple[str, str, int, bool]], i: int, dictionary: Dictionary) -> tuple[int, str] | None:
-    """Like ``_component_end`` for marks that the dictionary knows as the layout's constant; sentence and opening marks separate nothing."""
-    run, end = _mark_run(tokens, i)
-    marks = run.strip()
-    if end < len(tokens) and not tokens[end][3] or re.search(r"[\w\s.,;!?\"'`(\[{$]", marks) or not dictionary.separator(_layout(tokens, i), run):
+    None where the object is no log entry: it has no time, or neither a level nor a text.
+    """
+    layout = "{" + "\x1f".join(sorted(keys))
+    types = {k: known.type_of(layout, k) for k in keys}
+    roles: dict[str, str] = {}
+    for role, kinds, customary in (("ts", ("time",), _TIME_KEYS), ("lvl", ("level",), _LEVEL_KEYS), ("msg", ("text", "other", "name", "id"), _TEXT_KEYS), ("name", ("name",), _NAME_KEYS)):
+        able = [k for k in keys if k not in roles and types[k] in kinds and (role == "msg" or k.lower() not in _TEXT_KEYS)]
+        best = [k for k in able if k.lower() in customary] or [k for k in able if role != "msg" or types[k] == "text"]
+        if best:
+            roles[best[0]] = role
+    if "ts" not in roles.values() or not {"lvl", "msg"} & set(roles.values()):
         return None
-    return end, (_GAP if run[0] == " " else "") + re.escape(marks) + _STOP
+    return roles
 
 
-def parse_head(line: str, year: int, dictionary: Dictionary) -> Head | None:
-    """The head of one plain line, or None if no date with a time of day stands there."""
-    if not line or line[0] in " \t>|\"'`#":
-        return None
-    if line[0] == "{":
-        return _json_head(line, year)
-    if re.match(r"[\w.@]+=\S", line):
-        return _pair_head(line, year)
-    tokens = head_tokens(line)
-    start = next((i for i, t in enumerate(tokens) if t[0] == "<ts>"), None)
-    if start is None or any(t[0] not in ("[", "(", "<lvl>", "]", ")", "<", ">", ":") for t in tokens[:start]):
-        return None
-    if tokens[start][1] == TIME_MARK:
-        ts: int | None = 0
-    else:
-        ts = _time_ms(_time_at(line, tokens[start][2] - len(tokens[start][1])), year)
-    if ts is None:
-        return None
-    marked = _marked(tokens)
-    before = [t[0] for t in tokens[:start]]
-    level = next((level_name(t[1]) for t in tokens[:start] if t[0] == "<lvl>"), "")
-    shown, pieces = [*before, "<ts>"], []
-    component = ""
-    i, end = start + 1, tokens[start][2]
-    if before and before[-1] in ("[", "(", "<"):
-        if i >= len(tokens) or tokens[i][0] not in ("]", ")", ">"):
-            return None
-        shown.append(tokens[i][0])
-        pieces.append(re.escape(tokens[i][0]))
-        end, i = tokens[i][2], i + 1
+class Head:
+    """What a line's head says: ts_ms, level, component, message and the template it follows."""
 
-    def at(k: int) -> str:
-        return tokens[k][0] if k < len(tokens) else ""
+    __slots__ = ("ts_ms", "level", "component", "message", "template")
 
-    while i < len(tokens):
-        this, text, stop, blank = tokens[i]
-        gap = _GAP if blank else ""
-        if this in ("-", "|", ":", "—", "–") and (blank or this == ":"):
-            shown.append(this)
-            pieces.append(gap + re.escape(text))
-            end, i = stop, i + 1
-        elif this == "<n>" and blank and not component and (
-            at(i + 1) in ("<lvl>", "[", "(") or _is_name(at(i + 1) or " ") and _component_end(tokens, i + 1)
-        ):
-            shown.append("<n>")
-            pieces.append(gap + _NUMBER + r"(?![\w.])")
-            end, i = stop, i + 1
-        elif this == "<lvl>" and not level and (i + 1 >= len(tokens) or tokens[i + 1][3] or at(i + 1) == ":"):
-            level = level_name(text)
-            colon = at(i + 1) == ":" and not tokens[i + 1][3]
-            shown.append("<lvl>" + ":" * colon)
-            pieces.append(rf"{gap}(?P<l>(?i:{_LEVEL_WORDS}))" + (":" if colon else _STOP))
-            i += 1 + colon
-            end = tokens[i - 1][2]
-        elif this in ("[", "(") and at(i + 2) in ("]", ")") and (at(i + 1) in ("<lvl>", "<n>") or _is_name(at(i + 1) or " ")):
-            inner, word = at(i + 1), tokens[i + 1][1]
-            if inner == "<lvl>" and not level:
-                level, piece = level_name(word), rf"(?P<l>(?i:{_LEVEL_WORDS}))"
-            elif inner == "<n>":
-                piece = _NUMBER
-            elif re.search(r"[#\d]", word):
-                piece = rf"(?=[^\])\s]*\d){_NAME}"
-            elif inner != "<lvl>" and not component:
-                component, piece = word, rf"(?P<c>(?![^\])\s]*\d){_NAME})"
-            else:
-                break
-            fixed = inner.startswith("<") or dictionary.constant(marked[i + 1], marked[i + 2], marked[i + 3])
-            colon = at(i + 3) == ":" and not tokens[i + 3][3]
-            shown.append(f"{this}{inner if fixed else '<*>'}{at(i + 2)}" + ":" * colon)
-            pieces.append(rf"{gap}[\[(]\s*{piece}\s*[\])]" + ":" * colon)
-            i += 3 + colon
-            end = tokens[i - 1][2]
-        elif _is_name(this) and not component:
-            ending = _component_end(tokens, i)
-            fixed = dictionary.constant(marked[i], marked[i + 1], marked[i + 2])
-            if ending is None:
-                ending = _learned_end(tokens, i, dictionary)
-            if ending is not None:
-                component = text
-                shown.append(f"{this if fixed else '<*>'}{''.join(t[0] for t in tokens[i + 1 : ending[0]])}")
-                pieces.append(rf"{gap}(?P<c>{_NAME}){ending[1]}")
-                i = ending[0]
-                end = tokens[i - 1][2]
-            elif re.search(r"\d", text) and blank and i + 1 < len(tokens) and tokens[i + 1][3] and _is_name(at(i + 1) or " ") and _component_end(tokens, i + 1):
-                shown.append("<host>")
-                pieces.append(rf"{gap}(?=\S*\d){_NAME}")
-                end, i = stop, i + 1
-            else:
-                break
-        else:
-            break
-    pattern = "".join(before) + "\x00" + "".join(pieces)
-    return Head(ts, level, component, line[end:].strip(), " ".join(shown), pattern)
+    def __init__(self, ts_ms: int, level: str, component: str, message: str, template: str):
+        self.ts_ms, self.level, self.component = ts_ms, level, component
+        self.message, self.template = message, template
+
+
+_START = re.compile(
+    rf"(?P<before>{_BEFORE})(?:(?P<iso>\d{{4}}[-/]\d\d[-/]\d\d[T ]{_PLAIN_CLOCK}{_PLAIN_ZONE}(?![\w:]))|(?P<any>{_PLAIN_TIME}(?![\w:])))|(?P<glued>[TDIWEF]{_GLUED_TIME}(?![\w:]))"
+)
 
 
-class Templates:
-    """Reads lines with the learned templates, the most specific first; a line that fits none is parsed afresh."""
+class Reader:
+    """Reads lines by the dictionary; the template of a shape and the roles of an object's keys are found once."""
 
-    def __init__(self, learned: list[tuple[str, str]], dictionary: Dictionary):
-        self.dictionary = dictionary
-        self.by_class: dict[str, list[tuple[re.Pattern, str]]] = defaultdict(list)
-        order = sorted(learned, key=lambda x: (-x[1].count(_GAP) - x[1].count("(?P<"), -len(x[1]), x[1]))
-        for template, pattern in order:
-            kind, _, tail = pattern.partition("\x00")
-            self.by_class[kind].append((re.compile(tail), template))
+    def __init__(self, known: Dictionary):
+        self.known = known
+        self.templates: dict[str, Template | None] = {}
+        self.roles: dict[tuple[str, ...], dict[str, str] | None] = {}
         self.days: dict[str, int | None] = {}
 
-    def _fast_ms(self, text: str) -> int | None:
-        """Epoch milliseconds of the plain ISO form, by its day and its clock; None for all other forms."""
+    def template(self, shape: str) -> Template | None:
+        if shape not in self.templates:
+            if len(self.templates) > 100_000:
+                self.templates.clear()
+            self.templates[shape] = template_of(shape, self.known)
+        return self.templates[shape]
+
+    def _iso_ms(self, text: str) -> int | None:
+        """Epoch milliseconds of the plain ISO form, by its day and its clock."""
         day = text[:10]
         if day not in self.days:
-            ok = re.fullmatch(r"\d{4}[-/.]\d\d[-/.]\d\d", day)
-            self.days[day] = _day_ms(int(day[:4]), int(day[5:7]), int(day[8:])) if ok else None
-        base, hour = self.days[day], int(text[11:13])
-        if base is None or hour > 23:
+            self.days[day] = _day_ms(int(day[:4]), int(day[5:7]), int(day[8:]))
+        base, hour, minute, second = self.days[day], int(text[11:13]), int(text[14:16]), int(text[17:19])
+        if base is None or hour > 23 or minute > 59 or second > 60:
             return None
-        return base + hour * 3_600_000 + int(text[14:16]) * 60_000 + int(text[17:19]) * 1000
-
-    def read(self, line: str, year: int) -> Head | None:
-        first = line[0]
-        if first == "{":
-            return _json_head(line, year)
+        ms, rest = base + hour * 3_600_000 + minute * 60_000 + second * 1000, text[19:]
+        if rest and rest[0] in ".,":
+            digits = rest[1:]
+            k = 0
+            while k < len(digits) and digits[k].isdigit():
+                k += 1
+            ms += int((digits[:k] + "00")[:3])
+            rest = digits[k:]
+        return ms - _zone_ms(rest.strip() or None)
+
+    def text_head(self, line: str, shape: str, year: int) -> Head | None:
         m = _START.match(line)
         if not m:
-            return _pair_head(line, year) if re.match(r"[\w.@]+=\S", line) else parse_head(line, year, self.dictionary)
-        if m.lastgroup == "iso" and m.start("iso") <= 1:
-            text = m.group("iso")
-            ms = self._fast_ms(text)
-            kind = line[: m.start("iso")]
-            if ms is None:
-                return parse_head(line, year, self.dictionary)
-            rest = text[19:]
-            if rest:
-                if rest[0] in ".,":
-                    digits = rest[1:]
-                    k = 0
-                    while k < len(digits) and digits[k].isdigit():
-                        k += 1
-                    ms += int((digits[:k] + "00")[:3])
-                    rest = digits[k:]
-                ms -= _zone_ms(rest.strip() or None)
-            level = ""
+            return None
+        if m.lastgroup == "iso" or m.group("iso"):
+            ms = self._iso_ms(m.group("iso"))
         else:
-            full = _time_at(line, m.start("any")) if m.lastgroup == "any" else _TIMES[3].match(line)
+            full = _TIMES[3].match(line) if m.group("glued") else _time_at(line, m.start("any"))
             ms = _time_ms(full, year) if full else None
-            if ms is None:
-                return parse_head(line, year, self.dictionary)
-            kind, level = ("<lvl>", level_name(first)) if m.lastgroup == "glued" else (line[: m.start("any")], "")
-        for pattern, template in self.by_class.get(kind, ()):
-            hit = pattern.match(line, m.end())
-            if hit:
-                named = hit.groupdict()
-                word = named.get("l")
-                return Head(ms, level or (LEVELS[word.lower()] if word else ""), named.get("c") or "", line[hit.end() :].strip(), template)
-        return parse_head(line, year, self.dictionary)
+        template = self.template(shape) if ms is not None else None
+        if template is None:
+            return None
+        level = ""
+        if m.group("glued"):
+            level = level_name(line[0])
+        elif m.end("before") > 1:
+            level = level_name(m.group("before").strip("[(<>)]: \t"))
+        hit = template.pattern.match(line, m.end())
+        if not hit:
+            return Head(ms, level, "", line[m.end() :].strip(), "")
+        named = hit.groupdict()
+        if named.get("l"):
+            level = level or LEVELS[named["l"].lower()]
+        component = named[f"c{template.slot}"] if template.slot is not None else ""
+        return Head(ms, level, component, line[hit.end() :].strip(), template.label)
+
+    def field_head(self, line: str, year: int) -> Head | None:
+        pairs = _fields_of(line)
+        keys = tuple(k for k, _ in pairs)
+        if keys not in self.roles:
+            if len(self.roles) > 100_000:
+                self.roles.clear()
+            self.roles[keys] = field_roles(keys, self.known) if keys else None
+        roles = self.roles[keys]
+        if roles is None:
+            return None
+        at = {roles[k]: v for k, v in pairs if k in roles}
+        ms = _value_ms(at["ts"], year)
+        if ms is None:
+            return None
+        name, text = at.get("name"), at.get("msg")
+        label = "fields: " + " ".join(f"{k}=<{roles.get(k, '*')}>" for k in keys)
+        return Head(ms, level_name(at.get("lvl")), name if isinstance(name, str) else "", text if isinstance(text, str) else "", label)
 
+    def read(self, line: str, year: int) -> Head | None:
+        """One plain line; batches take the shapes of many lines at once."""
+        array = pa.array([line], pa.string())
+        if pc.match_substring_regex(array, _TEXT_HEAD)[0].as_py():
+            return self.text_head(line, shapes(array, self.known.words)[0].as_py(), year)
+        return self.field_head(line, year) if line and (line[0] == "{" or _PAIR.match(line)) else None
 
-_START = re.compile(
-    rf"[\[(<]?(?P<iso>\d{{4}}[-/]\d\d[-/]\d\d[T ]{_PLAIN_CLOCK}{_PLAIN_ZONE}(?![\w:]))|[\[(<]?(?P<any>{_PLAIN_TIME}(?![\w:]))|(?P<glued>[TDIWEF]{_GLUED_TIME}(?![\w:]))"
-)
 
 HEADS = "stream_id bigint, line_no int, received_at timestamp_ntz, ts_ms bigint, level string, component string"
 
 
-def parse_lines(lines: DataFrame, dictionary: Dictionary, templates: list[tuple[str, str]], with_message: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, dictionary: Dictionary, with_message: bool = False) -> DataFrame:
     """Each delivered line with what its head says; ts_ms is null where no entry starts. No shuffle."""
-    shared = lines.sparkSession.sparkContext.broadcast((dictionary.contexts, templates))
+    shared = lines.sparkSession.sparkContext.broadcast(dictionary)
     extra = ["message", "template"] if with_message else []
     schema = HEADS + "".join(f", {c} string" for c in extra)
-    heads_of = rf"{_TEXT_HEAD}|{_OBJECT_HEAD}|{_PAIR_HEAD}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, known = shared.value
-        reader = Templates(known, Dictionary(contexts))
+        reader = Reader(shared.value)
         for batch in batches:
             text = plain_lines(batch.column("line").cast(pa.string()))
-            at = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(text, heads_of), False))
-            years = pc.take(batch.column("_year"), at).to_pylist()
+            years = batch.column("_year")
+            is_text = pc.fill_null(pc.match_substring_regex(text, _TEXT_HEAD), False)
+            is_fields = pc.and_not(pc.fill_null(pc.match_substring_regex(text, rf"{_OBJECT_HEAD}|{_PAIR_HEAD}"), False), is_text)
             found: list[list] = [[None] * len(text) for _ in range(3 + len(extra))]
-            for i, line, year in zip(at.to_pylist(), pc.take(text, at).to_pylist(), years):
-                head = reader.read(line, year)
+
+            def put(i: int, head: Head | None) -> None:
                 if head is not None:
                     found[0][i], found[1][i], found[2][i] = head.ts_ms, head.level, _clean(head.component)
                     if extra:
                         found[3][i], found[4][i] = _clean(head.message), head.template
+
+            at = pc.indices_nonzero(is_text)
+            heads = pc.take(text, at)
+            for i, line, shape, year in zip(at.to_pylist(), heads.to_pylist(), shapes(heads, reader.known.words).to_pylist(), pc.take(years, at).to_pylist()):
+                put(i, reader.text_head(line, shape, year))
+            at = pc.indices_nonzero(is_fields)
+            for i, line, year in zip(at.to_pylist(), pc.take(text, at).to_pylist(), pc.take(years, at).to_pylist()):
+                put(i, reader.field_head(line, year))
             columns = [batch.column(c) for c in ("stream_id", "line_no", "received_at")]
             columns += [pa.array(found[0], pa.int64()), *[pa.array(f, pa.string()) for f in found[1:]]]
             yield pa.RecordBatch.from_arrays(columns, ["stream_id", "line_no", "received_at", "ts_ms", "level", "component", *extra])

@@ -7,7 +7,6 @@ import pytest
 
 from sieveline.operators import logs as G
 
-NONE = G.Dictionary({})
 DAY = 1767225600000  # 2026-01-01
 
 
@@ -30,8 +29,8 @@ DAY = 1767225600000  # 2026-01-01
         ('{"severity": "CRITICAL", "message": "m", "ts": "2026-01-01T03:00:08.1+03:00"}', 8100, "fatal", "", "m"),
     ],
 )
-def test_layouts(line, ms, level, component, message):
-    head = G.parse_head(G.plain_line(line), 2026, NONE)
+def test_layouts(known, line, ms, level, component, message):
+    head = G.Reader(known).read(G.plain_line(line), 2026)
     assert (head.ts_ms - DAY, head.level, head.component, head.message) == (ms, level, component, message)
     assert G.plain_lines(pa.array([line]))[0].as_py() == G.plain_line(line)
 
@@ -41,11 +40,49 @@ def test_layouts(line, ms, level, component, message):
     [
         "", "{", "}", "    at a.b (c.ts:1:2)", "12:48:34 still waiting", "2026-01-01 was the last day", "> 2026-01-01T00:00:00Z ERROR a: b",
         "  | 2026-01-01T00:00:00Z ERROR a: b", "    2026-01-01T00:00:00Z ERROR a: b", '  "at": "2026-01-01T00:00:00Z",', '{"ok": true, "at": "2026-01-01T00:00:00Z"}',
-        "2026-02-30 00:00:00,000 - a - INFO - no such day", "x" * 100_000,
+        "2026-02-30 00:00:00,000 - a - INFO - no such day", "2026-01-01 25:00:00 INFO a: no such hour", "x" * 100_000,
     ],
 )
-def test_lines_that_start_nothing(line):
-    assert G.parse_head(G.plain_line(line), 2026, NONE) is None
+def test_lines_that_start_nothing(known, line):
+    assert G.Reader(known).read(G.plain_line(line), 2026) is None
+
+
+MESSAGES = ["left: 4", "read 4", "cache loose, 4 entries", "stage=x took=4ms", "edit rejected: no such block", "gone \"b\" away", "ref 4 started at level info", "request ab12 finished", "{} of 4", "boom at once", "src/a.ts: no"]
+NAMES = ["mcp.stdio", "walk.go", "a::b", "budget", "c.v.Plan", "lint-runner"]
+LAYOUTS = [
+    "2026-01-01 00:00:01,250 - {c} - WARNING - {m}",
+    "2026/01/01 00:00:01 {c}:768: INFO {m}",
+    "[2026-01-01 00:00:01.5] [debug] [{c}] {m}",
+    "[2026-01-01 00:00:01.5] [debug] {m}",
+    "2026-01-01T01:00:01.000999+01:00  INFO {c}: {m}",
+    "01 Jan 2026 00:00:03.004 FATAL [worker-2] {c} - {m}",
+    "I0101 00:00:04.881751 65934 {c}:546] {m}",
+    "Jan  1 00:00:05 runner-17 {c}[9095]: warning: {m}",
+    "Jan  1 00:00:05 runner-17 {c}[9095]: {m}",
+    'time=2026-01-01T00:00:06Z level=trace component={c} msg="{m}"',
+    'level=error time=2026-01-01T00:00:06Z msg="{m}"',
+    '{{"level":60,"time":1767225607001,"pid":1,"name":"{c}","msg":"{m}"}}',
+    '{{"severity": "CRITICAL", "message": "{m}", "ts": "2026-01-01T03:00:08.1+03:00"}}',
+]
+
+
+def corpus(*layouts):
+    return [
+        layout.format(c=c, m=m.replace('"', '\\"') if layout.endswith(('"', "}}")) else m)
+        for layout in layouts
+        for c in NAMES
+        for m in MESSAGES
+    ]
+
+
+def learned(spark, text):
+    at = datetime(2026, 3, 1)
+    return G.learn(lines_frame(spark, [(1, i, t, at, None) for i, t in enumerate(text)]))[1]
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    return learned(spark, corpus(*LAYOUTS))
 
 
 def lines_frame(spark, rows):
@@ -54,10 +91,7 @@ def lines_frame(spark, rows):
 
 def run(spark, rows, block):
     lines = lines_frame(spark, rows)
-    keys = G.count_keys(lines)
-    dictionary = G.learn_dictionary(keys)
-    patterns = [(r.template, r.pattern) for r in G.learn_templates(keys, dictionary).where("pattern <> ''").collect()]
-    once = G.delivered_once(G.parse_lines(lines, dictionary, patterns), block)
+    once = G.delivered_once(G.parse_lines(lines, G.learn(lines)[1]), block)
     found = G.entries(G.segments(once))
     return {(r.stream_id, r.line_no, r.last_line_no, r.n_lines, r.ts_ms - DAY, r.level, r.component) for r in found.collect()}
 
@@ -84,16 +118,42 @@ def test_empty_table(spark):
     assert run(spark, [], 8) == set()
 
 
-def test_templates_read_like_the_parser(spark, data):
-    from sieveline.plans.log_queries import _learned
+def test_the_dictionary_decides(spark, data):
+    lines = spark.read.parquet(f"{data}/run_output.parquet")
+    known = G.learn(lines)[1]
+    with_it, without = (G.parse_lines(lines, d).where("ts_ms is not null").cache() for d in (known, G.EMPTY))
+    assert with_it.where("level <> ''").count() > 0.9 * with_it.count()
+    assert with_it.where("component <> ''").count() > 0.7 * with_it.count()
+    assert 0 < without.count() < with_it.count()
+    assert without.where("component <> ''").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("layout", "component", "level", "message"),
+    [
+        ("2026-01-01 00:00:00 | {c} | ERROR | {m}", "budget", "error", "left: 4"),
+        ("2026-01-01 00:00:00 <{c}> (WARN) {m}", "budget", "warn", "left: 4"),
+        ("2026-01-01 00:00:00 INFO {c} => {m}", "budget", "info", "left: 4"),
+        ("2026-01-01 00:00:00 [main] INFO {c}: {m}", "budget", "info", "left: 4"),
+        ("2026-01-01 00:00:00 4711 77 88 99 100 101 102 INFO {c}: {m}", "budget", "info", "left: 4"),
+        ("[2026-01-01 00:00:00] {{{c}}} #12 ERROR: {m}", "budget", "error", "left: 4"),
+    ],
+)
+def test_layouts_that_only_the_counts_tell(spark, layout, component, level, message):
+    known = learned(spark, corpus(*LAYOUTS, layout))
+    head = G.Reader(known).read(layout.format(c=component, m=message), 2026)
+    assert (head.component, head.level, head.message) == (component, level, message)
+    assert G.Reader(G.EMPTY).read(layout.format(c=component, m=message), 2026).component == ""
+
+
+def test_a_slot_with_one_constant_word_is_no_component(spark):
+    known = learned(spark, corpus("2026-01-01 00:00:00 INFO module {c}: {m}"))
+    assert {G.Reader(known).read(f"2026-01-01 00:00:00 INFO module {c}: x", 2026).component for c in NAMES} == set(NAMES)
+
 
-    lines, templates, dictionary = _learned(spark, data)
-    reader = G.Templates([(r.template, r.pattern) for r in templates.where("pattern <> ''").collect()], dictionary)
-    for row in lines.where("line is not null and line <> ''").collect():
-        plain, year = G.plain_line(row.line), row.received_at.year
-        want = G.parse_head(plain, year, dictionary)
-        got = reader.read(plain, year) if want else None
-        assert (want and (want.ts_ms, want.level, want.component, want.message)) == (got and (got.ts_ms, got.level, got.component, got.message))
+def test_a_word_and_a_mark_in_messages_make_no_component(spark):
+    known = learned(spark, corpus("2026-01-01 00:00:00 INFO {m}"))
+    assert {G.Reader(known).read(f"2026-01-01 00:00:00 INFO {m}", 2026).component for m in MESSAGES} == {""}
 
 
 def test_the_dictionary_finds_the_mark_behind_a_component(spark):
@@ -101,7 +161,6 @@ def test_the_dictionary_finds_the_mark_behind_a_component(spark):
     text = [f"2026-01-01 00:00:0{i} INFO {name} => item {i} done" for i, name in enumerate(["alpha", "b.c", "delta", "echo", "fox"])]
     want = {(1, i, i, 1, i * 1000, "info", name) for i, name in enumerate(["alpha", "b.c", "delta", "echo", "fox"])}
     assert run(spark, [(1, i, t, at, None) for i, t in enumerate(text)], 8) == want
-    assert G.parse_head(text[0], 2026, NONE).component == ""
 
 
 def test_marks_inside_a_message_are_no_constants(spark):
