@@ -14,7 +14,7 @@ def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(checkpointed(_headers(spark, sf_dir)))
+    return changes(checkpointed(_headers(spark, sf_dir)), checkpointed)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p3_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table(file_kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         headers = checkpointed(_headers(spark, sf_dir))
-        return consistent_table(read_table(spark, sf_dir, "run_file"), headers, changes(headers), file_kind)
+        return consistent_table(read_table(spark, sf_dir, "run_file"), headers, changes(headers, checkpointed), file_kind)
 
     return query
 

@@ -67,3 +67,46 @@ def test_one_consistent_table(spark):
 
 def test_empty_table(spark):
     assert log(spark, []) == set()
+
+
+def table_of(spark, rows, kind="m"):
+    files = frame(spark, rows)
+    headers = file_headers(files).cache()
+    return consistent_table(files, headers, changes(headers), kind)
+
+
+def test_a_rename_elsewhere_merges_no_two_fields_of_one_file(spark):
+    rows = [
+        ("a", "m", 1, "f", {"timedOut": True}),
+        ("a", "m", 2, "f", {"timed_out": True}),
+        ("b", "m", 1, "f", {"timedOut": True, "timed_out": False}),
+        ("c", "m", 1, "f", {"timed_out": False}),
+    ]
+    got = {(r.harness, r.batch, r.timedOut, r.timed_out) for r in table_of(spark, rows).collect()}
+    assert got == {("a", 1, None, True), ("a", 2, None, True), ("b", 1, True, False), ("c", 1, None, False)}
+
+
+def test_numbers_keep_their_digits(spark):
+    wide = 9007199254740993
+    rows = [
+        ("h", "m", 1, "a", {"n": wide, "x": 1, "y": wide, "z": 10**30}),
+        ("h", "m", 1, "b", {"n": 2, "x": 0.5, "y": 0.5, "z": 1}),
+    ]
+    table = table_of(spark, rows)
+    assert dict(table.dtypes)["n"] == "bigint" and dict(table.dtypes)["x"] == "double"
+    assert {(r.n, r.x, r.y, r.z) for r in table.collect()} == {(wide, 1.0, str(wide), str(10**30)), (2, 0.5, "0.5", "1")}
+
+
+def test_no_value_of_a_path_is_lost(spark):
+    rows = [
+        ("h", "m", 1, "a", {"r": [{"id": 1}, {"id": 2}], "a.b": 1, "a": {"b": 2}}),
+        ("h", "m", 2, "a", {"id": [1, 2], "a": {"b": 3}}),
+        ("h", "m", 3, "a", {"r": [{"id": 7}, {"id": 8}]}),
+    ]
+    got = {r.batch: r for r in table_of(spark, rows).collect()}
+    assert got[1]["r[].id"] == [1, 2] and got[1]["a.b"] == [1, 2] and got[2]["id"] == ["1", "2"] and got[3]["r[].id"] == [7, 8]
+
+
+def test_fields_that_come_back_and_batches_without_them(spark):
+    rows = [("h", "m", b, "f", {"k": 1, **({"v": b} if b in (1, 3, 7) else {})}) for b in (1, 2, 3, 7, 9)]
+    assert log(spark, rows) == {("h", 2, "removed", "v", ""), ("h", 3, "added", "v", ""), ("h", 9, "removed", "v", "")}
