@@ -1,8 +1,9 @@
 """Deeply nested JSON records into related flat tables.
 
-Each record is parsed into *triples* (node, field, value) with the ordinal of the node inside its
-array; triples are grouped by their repeated ancestor (``readResults``, ``readResults.pages`` ...)
-and every group is pivoted into one flat table whose rows carry the key of their parent.
+Each record is read by a streaming parser, token by token and without a tree, into *triples* (node, field,
+value) with the ordinal of the node inside its array; triples are grouped by their repeated ancestor
+(``readResults``, ``readResults.pages`` ...) and every group is pivoted into one flat table whose rows
+carry the key of their parent. The columns of a table are the fields found in its group.
 
 Shapes that count as the same part:
 
@@ -10,16 +11,19 @@ Shapes that count as the same part:
 * a lone object in place of an array, which is element 0,
 * an array written as JSON text.
 
-Defined results for odd input: a null payload, a payload that is not JSON (also one with NaN or a
-nesting deeper than the parser's stack) and a payload without nested objects give no nodes. A
-repeated record gives its nodes under each of its ids. Extra columns of the input are ignored.
+Defined results for odd input: a null payload, a payload that is not JSON (also one with NaN) and a
+payload without nested objects give no nodes. Nesting may be of any depth. Of a key that occurs twice in an
+object the last value counts. A repeated record gives its nodes under each of its ids. Extra columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,14 +47,17 @@ def _text(value: str) -> str:
     return value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
 
 
-def _array_text(value: object) -> list | None:
-    if isinstance(value, str) and value[:64].lstrip()[:1] == "[":
-        try:
-            parsed = json.loads(value, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
-            return None
-        return parsed if isinstance(parsed, list) else None
-    return None
+_BLANK = re.compile(r"[ \t\n\r]*").match
+_NUMBER = re.compile(r"(-?(?:0|[1-9]\d*))(\.\d+)?([eE][-+]?\d+)?").match
+_LITERALS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+class _NotJson(Exception):
+    pass
+
+
+class _RepeatedKey(Exception):
+    pass
 
 
 def _plain(value: object) -> tuple[str | None, str]:
@@ -60,52 +67,185 @@ def _plain(value: object) -> tuple[str | None, str]:
         return ("true" if value else "false"), "boolean"
     if isinstance(value, (int, float)):
         return json.dumps(value), "number"
-    if isinstance(value, str):
-        return _text(value), "string"
-    return _text(json.dumps(value, ensure_ascii=False)), "array"
+    return _text(value), "string"
+
+
+class _Object:
+    """An open object: its node, and the key whose value comes next."""
+
+    __slots__ = ("group", "parent", "node", "ordinal", "key", "keys")
+
+    def __init__(self, group: str, parent: str | None, node: str, ordinal: int):
+        self.group, self.parent, self.node, self.ordinal = group, parent, node, ordinal
+        self.key, self.keys = "", set()
+
+
+class _Array:
+    """An open array: whose part it is, how many elements came, and its plain values while it has no objects."""
+
+    __slots__ = ("outer", "group", "parent", "path", "place", "values", "nested")
+
+    def __init__(self, outer: _Object | _Array | None, group: str, parent: str | None, path: str | None):
+        self.outer, self.group, self.parent, self.path = outer, group, parent, path
+        self.place, self.values, self.nested = 0, [], False
+
+    def path_of(self) -> str:
+        """Where the array lies; for arrays inside arrays it is put together only when an object needs it."""
+        steps, array = [], self
+        while array.path is None:
+            array = array.outer
+            steps.append(f"[{array.place}]")
+        return array.path + "".join(reversed(steps))
+
+
+def _stream(text: str, rows: list[tuple], outermost: _Object | _Array | None, labelled: bool) -> _Array | None:
+    """Appends the triples of one JSON text while it is read. With ``outermost`` the text must be an array, a part of that object."""
+    open_parts: list[_Object | _Array] = []
+    at, end = _BLANK(text, 0).end(), len(text)
+    part: _Object | _Array | None = None
+    first = True
+    while True:
+        # Here a value begins, or, behind an opening bracket, the part may end at once.
+        c = text[at : at + 1]
+        closing = first and part is not None and c == ("}" if type(part) is _Object else "]")
+        if not closing:
+            if type(part) is _Object:
+                if c != '"':
+                    raise _NotJson
+                try:
+                    key, at = scanstring(text, at + 1)
+                except ValueError:
+                    raise _NotJson from None
+                if text[at : at + 1] <= " ":
+                    at = _BLANK(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise _NotJson
+                if key in part.keys:
+                    raise _RepeatedKey
+                part.keys.add(key)
+                part.key = _text(key)
+                at += 1
+                c = text[at : at + 1]
+                if c <= " ":
+                    at = _BLANK(text, at).end()
+                    c = text[at : at + 1]
+            if c == "{" or c == "[":
+                if part is None:
+                    group, parent, path, place = "", None, "", 0
+                    if outermost is not None:
+                        if c == "{":
+                            raise _NotJson
+                        group, parent, path = outermost.group, outermost.parent, outermost.path
+                elif type(part) is _Object:
+                    label = labelled and part.parent is None and not part.node
+                    name = "*" if label else part.key
+                    group, parent, place = (f"{part.group}.{name}" if part.group else name), part.node, 0
+                    path = f"{part.node}.{part.key}" if part.node else part.key
+                    if c == "{" and not label:
+                        path += "[0]"
+                else:
+                    group, parent, place = part.group, part.parent, part.place
+                    path = f"{part.path_of()}[{place}]" if c == "{" else None
+                    part.nested = part.nested or c == "{"
+                open_parts.append(part)
+                if c == "{":
+                    part = _Object(group, parent, path, place)
+                    rows.append((group, parent, path, place, "", None, "node"))
+                else:
+                    part = _Array(part, group, parent, path)
+                at, first = _BLANK(text, at + 1).end(), True
+                continue
+            if c == '"':
+                try:
+                    value, at = scanstring(text, at + 1)
+                except ValueError:
+                    raise _NotJson from None
+            elif c in _LITERALS and c:
+                word, value = _LITERALS[c]
+                if not text.startswith(word, at):
+                    raise _NotJson
+                at += len(word)
+            else:
+                m = _NUMBER(text, at)
+                if not m:
+                    raise _NotJson
+                value = float(m.group()) if m.group(2) or m.group(3) else int(m.group(1)) if len(m.group(1)) < 4000 else m.group(1)
+                at = m.end()
+            if type(part) is _Object:
+                _put(part, value, rows)
+            elif part is not None:
+                part.values.append(value)
+        # Here a value or an empty part is complete; parts that end with it are closed.
+        first = False
+        while True:
+            c = text[at : at + 1]
+            if c <= " ":
+                at = _BLANK(text, at).end()
+                c = text[at : at + 1]
+            if part is None:
+                if at != end:
+                    raise _NotJson
+                return None
+            if c == ",":
+                at += 1
+                if text[at : at + 1] <= " ":
+                    at = _BLANK(text, at).end()
+                if type(part) is _Array:
+                    part.place += 1
+                break
+            if c != ("}" if type(part) is _Object else "]"):
+                raise _NotJson
+            at += 1
+            done, part = part, open_parts.pop()
+            if type(done) is _Array:
+                if part is None and outermost is not None:
+                    if _BLANK(text, at).end() != end:
+                        raise _NotJson
+                    return done
+                if type(part) is _Array:
+                    part.nested = part.nested or done.nested
+                    if not done.nested:
+                        part.values.append(done.values)
+                elif type(part) is _Object and not done.nested:
+                    rows.append((part.group, part.parent, part.node, part.ordinal, part.key, _text(json.dumps(done.values, ensure_ascii=False)), "array"))
+
+
+def _put(part: _Object, value: object, rows: list[tuple]) -> None:
+    """A plain value of an object, or the array that its text spells."""
+    if type(value) is str and value.lstrip(" \t\n\r").startswith("["):
+        group = f"{part.group}.{part.key}" if part.group else part.key
+        inner = _Array(None, group, part.node, f"{part.node}.{part.key}" if part.node else part.key)
+        found: list[tuple] = []
+        try:
+            array = _stream(value, found, inner, False)
+        except (_NotJson, _RepeatedKey):
+            array = None
+        if array is not None and array.nested:
+            rows.extend(found)
+            return
+    text, kind = _plain(value)
+    rows.append((part.group, part.parent, part.node, part.ordinal, part.key, text, kind))
 
 
-def record_triples(payload: str | None, labelled_root: bool) -> Iterator[tuple]:
+def record_triples(payload: str | None, labelled_root: bool) -> list[tuple]:
     """(group, parent, node, ordinal, field, value, type) of one payload, in document order.
 
     A row with field '' announces the node itself, so that an object without fields has a row too.
     With ``labelled_root`` the keys of the record are labels: an object below one is the node of
     that name, in the group ``*``.
     """
-    if payload is None:
-        return
+    rows: list[tuple] = []
     try:
-        root = json.loads(payload, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return
-    #: (value, group, parent, node, ordinal, prefix of the field)
-    stack: list[tuple] = [(root, "", None, "", 0)]
-    while stack:
-        value, group, parent, node, ordinal = stack.pop()
-        if isinstance(value, list):
-            below = [
-                (x, group, parent, f"{node}[{i}]", i) for i, x in enumerate(value) if isinstance(x, (dict, list))
-            ]
-            stack.extend(reversed(below))
-            continue
-        if not isinstance(value, dict):
-            continue
-        yield group, parent, node, ordinal, "", None, "node"
-        below = []
-        for key, inner in value.items():
-            key = _text(key)
-            label = labelled_root and parent is None
-            path, name = (f"{node}.{key}" if node else key), ("*" if label else key)
-            inner_group = f"{group}.{name}" if group else name
-            items = _array_text(inner) if isinstance(inner, str) else inner
-            if isinstance(items, dict):
-                below.append((items, inner_group, node, path if label else f"{path}[0]", 0))
-            elif isinstance(items, list) and any(isinstance(x, (dict, list)) for x in items):
-                below.append((items, inner_group, node, path, 0))
-            else:
-                text, kind = _plain(inner)
-                yield group, parent, node, ordinal, key, text, kind
-        stack.extend(reversed(below))
+        if payload is not None:
+            _stream(payload, rows, None, labelled_root)
+    except _NotJson:
+        return []
+    except _RepeatedKey:
+        try:
+            return record_triples(json.dumps(json.loads(payload, parse_constant=_no_constant)), labelled_root)
+        except (ValueError, RecursionError):
+            return []
+    return rows
 
 
 def triples(
@@ -148,26 +288,73 @@ def nodes(found: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """One flat table: the group it comes from and its columns (name -> (field, SQL type))."""
+    """One flat table: its group, and the columns it has in any case (name -> (field, SQL type))."""
 
     group: str
-    columns: dict[str, tuple[str, str]]
+    columns: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def _column_name(name: str, taken: set[str]) -> str:
+    """The field in small letters with underscores; a name that is taken gets a number."""
+    plain = re.sub(r"\W+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).lower().strip("_") or "field"
+    found, n = plain, 2
+    while found in taken:
+        found, n = f"{plain}_{n}", n + 1
+    return found
+
+
+def derived_columns(found: DataFrame, spec: TableSpec) -> dict[str, tuple[str, str]]:
+    """The columns of a group: those of ``spec``, then every other field that its triples hold, typed by its values.
+
+    Whole numbers become ``bigint`` (``decimal(38,0)`` where they are wider), numbers ``double``, mixed types ``string``.
+    A part that has a table of its own is no column, unless somewhere it holds a value that is neither null nor an
+    empty array. One row per field name comes to the driver, because a table's columns must be known there.
+    """
+    value = F.col("value")
+    child = F.concat(F.lit(f"{spec.group}." if spec.group else ""), F.col("field"))
+    kinds = (
+        found.where((F.col("group_path") == spec.group) & (F.col("field") != ""))
+        .groupBy("field")
+        .agg(
+            F.count_if(F.col("value_type").isin("string", "array")).alias("texts"),
+            F.count_if(F.col("value_type") == "boolean").alias("booleans"),
+            F.count_if(F.col("value_type") == "number").alias("numbers"),
+            F.count_if((F.col("value_type") == "number") & ~value.rlike(r"^-?\d+$")).alias("fractions"),
+            F.count_if((F.col("value_type") == "number") & (F.length("value") > 18)).alias("wide"),
+            F.count_if(value.isNotNull() & (value != "[]")).alias("filled"),
+        )
+        .join(found.where("field = ''").select(F.col("group_path").alias("_child")).distinct(), child == F.col("_child"), "left")
+        .collect()
+    )
+    columns, known = dict(spec.columns), {f for f, _ in spec.columns.values()}
+    taken = {"source_table", "record_id", "parent_path", "node_path", "ordinal", *columns}
+    for row in sorted(kinds, key=lambda r: r["field"]):
+        if row["field"] in known or row["_child"] is not None and not row["filled"]:
+            continue
+        if row["texts"] or row["booleans"] and row["numbers"] or not row["booleans"] and not row["numbers"] or row["fractions"] and row["wide"]:
+            kind = "string"
+        else:
+            kind = "boolean" if row["booleans"] else "double" if row["fractions"] else "decimal(38,0)" if row["wide"] else "bigint"
+        name = _column_name(row["field"], taken)
+        taken.add(name)
+        columns[name] = (row["field"], kind)
+    return columns
 
 
-def pivot_group(found: DataFrame, spec: TableSpec) -> DataFrame:
-    """The triples of one group pivoted into one row per node.
+def pivot_group(found: DataFrame, spec: TableSpec, stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The triples of one group pivoted into one row per node, with a column for every field of the group.
 
-    Partial aggregation combines the fields of a node before the shuffle. Values that do not cast
-    to the declared type become null (numbers written as text do cast).
+    Partial aggregation combines the fields of a node before the shuffle. Values that do not cast to the type that
+    ``spec`` declares become null (numbers written as text do cast). The group is read twice: ``stored`` cuts its lineage.
     """
-    group = found.where(F.col("group_path") == spec.group)
-    picks = [
-        F.max(F.when(F.col("field") == field, F.col("value"))).try_cast(kind).alias(name)
-        for name, (field, kind) in spec.columns.items()
-    ]
+    below = (F.col("field") == "") & F.col("group_path").startswith(f"{spec.group}." if spec.group else "")
+    kept = stored(found.where((F.col("group_path") == spec.group) | below))
+    columns = derived_columns(kept, spec)
+    group = kept.where(F.col("group_path") == spec.group)
+    picks = [F.max(F.when(F.col("field") == name, F.col("value"))).try_cast(kind).alias(alias) for alias, (name, kind) in columns.items()]
     keys = ["source_table", "record_id", "node_path", "ordinal"]
     parent = F.max("parent_path").alias("parent_path")
-    return group.groupBy(*keys).agg(parent, *picks).select(*keys[:2], "parent_path", *keys[2:], *spec.columns)
+    return group.groupBy(*keys).agg(parent, *picks).select(*keys[:2], "parent_path", *keys[2:], *columns)
 
 
 def group_fields(found: DataFrame) -> DataFrame:

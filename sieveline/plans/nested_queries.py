@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators.nested import TableSpec, group_fields, nodes, pivot_group, struct_payload, triples
-from sieveline.session import read_table
+from sieveline.session import checkpointed, read_table
 
 READS = TableSpec(
     "readResults",
@@ -90,13 +90,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled runs; -1 stands for unmeasured token counts and becomes null."""
-    table = pivot_group(fair_triples(spark, sf_dir), RUNS)
+    table = pivot_group(fair_triples(spark, sf_dir), RUNS, checkpointed)
     unknown = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("input_tokens", "output_tokens", "cache_read_tokens")}
     return table.withColumns(unknown)
 
 
 def _table(source, spec: TableSpec):
-    return lambda spark, sf_dir: pivot_group(source(spark, sf_dir), spec)
+    return lambda spark, sf_dir: pivot_group(source(spark, sf_dir), spec, checkpointed)
 
 
 QUERIES = {
@@ -234,3 +234,29 @@ SELECT 'capsule_quality' AS source_table, record_id, NULL::VARCHAR AS parent_pat
 FROM (SELECT record_id, payload::JSON AS doc FROM capsule_quality WHERE json_valid(payload))
 """,
 }
+
+
+def _fields(source: str, group: str, objects: str) -> str:
+    """Fields of the objects ``el``: keys whose value is neither an object nor an array of objects, also when written as text."""
+    return f"""SELECT '{source}' AS source_table, '{group}' AS group_path, field, count(*) AS nodes, count(*) FILTER (WHERE json_type(v) <> 'NULL') AS present
+  FROM (SELECT k AS field, json_extract(el, '$."' || k || '"') AS v FROM (SELECT el, unnest(json_keys(el)) AS k FROM {objects} WHERE json_type(el) = 'OBJECT'))
+  WHERE NOT (json_type(v) = 'OBJECT' OR json_type(v) = 'ARRAY' AND contains(v::VARCHAR, '{{')
+    OR json_type(v) = 'VARCHAR' AND CASE WHEN json_valid(v->>'$') THEN json_type((v->>'$')::JSON) = 'ARRAY' AND contains(v->>'$', '{{') ELSE false END)
+  GROUP BY ALL"""
+
+
+_REQUEST_FIELDS = ("input", "output", "cache_read", "cache_write", "input_includes_cache")
+ORACLE_SQL["p1_group_fields"] = (
+    f"SELECT * FROM ({_QUALITY} "
+    + " UNION ALL ".join(
+        _fields("capsule_quality", g, o)
+        for g, o in (("", "(SELECT doc AS el FROM docs)"), ("readResults", "reads"), ("readResults.pages", "pages_all"), ("readResults.callees", "callees_all"))
+    )
+    + f") UNION ALL SELECT * FROM ({_FAIR} "
+    + " UNION ALL ".join(_fields("fair_test", g, o) for g, o in (("", "(SELECT doc AS el FROM docs)"), ("*", "objects"), ("*.attempts", "attempts"), ("*.attempts.toolCalls", "calls_all")))
+    + ") UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'evaluation_run', 'requests', '{f}', count(*), count(r.{f}) FROM (SELECT unnest(requests) AS r FROM evaluation_run) WHERE r IS NOT NULL" for f in _REQUEST_FIELDS
+    )
+    + " UNION ALL SELECT 'evaluation_run', '', 'requests', count(*), count(*) FROM evaluation_run WHERE requests IS NOT NULL AND len(list_filter(requests, lambda r: r IS NOT NULL)) = 0 HAVING count(*) > 0"
+)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ def paths(payload, labelled=False):
     return [(t[1], t[2]) for t in record_triples(payload, labelled) if t[4] == "" and t[1] is not None]
 
 
-@pytest.mark.parametrize("payload", [None, "", "{", "[1, 2", '{"a": NaN}', '{"a": 1}', "3", "null", '{"a": [1, [2, 3]]}', "[" * 100_000])
+@pytest.mark.parametrize("payload", [None, "", "{", "[1, 2", '{"a": NaN}', '{"a": 1}', "3", "null", '{"a": [1, [2, 3]]}', "[" * 100_000, "[" * 100_000 + "]" * 100_000])
 def test_no_nodes(payload):
     assert paths(payload) == []
 
@@ -66,3 +67,47 @@ def test_long_text_and_many_elements(spark):
     payload = json.dumps({"r": [{"s": "x" * 1000}] * 30_000})
     df = spark.createDataFrame([(1, payload)], "record_id bigint, payload string")
     assert nodes(triples(df, "t")).agg(F.countDistinct("node_path")).first()[0] == 30_000
+
+
+def test_an_array_written_as_text_behind_many_blanks():
+    assert paths(json.dumps({"r": " " * 5000 + '[{"a": 1}]'})) == [("", "r[0]")]
+
+
+def test_values_of_plain_arrays_of_arrays_are_kept():
+    assert ("", None, "", 0, "m", "[[1, 2], [3]]", "array") in record_triples('{"m": [[1, 2], [3]]}', False)
+    assert paths('{"m": [[1, {"a": 1}], 3, [[{"b": 2}]]]}') == [("", "m[0][1]"), ("", "m[2][0][0]")]
+
+
+def test_the_last_value_of_a_repeated_key_counts():
+    rows = record_triples('{"a": {"x": 1}, "b": 2, "a": {"y": 3}}', False)
+    assert {(t[2], t[4]) for t in rows} == {("", ""), ("", "b"), ("a[0]", ""), ("a[0]", "y")}
+
+
+def test_deep_objects_are_read_to_the_end():
+    depth = 3000
+    assert len(paths('{"a":' * depth + "1" + "}" * depth)) == depth - 1
+
+
+def test_the_streaming_parser_takes_what_json_takes():
+    rnd = random.Random(7)
+    good = ['{"a": [1, -2.5e3, {"b": null}, "x\\u00e9\\n"], "c": {}, "d": [], "e": true}', '{"r":[{"s":"[1]"},null,{"t":[[]]}],"n":0}', ' {"k" : "[{\\"q\\": 1}]" } ']
+    for _ in range(6000):
+        text = list(rnd.choice(good))
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(text))
+            text[at : at + rnd.randint(0, 2)] = rnd.choice(['"', "{", "}", "[", "]", ",", ":", "1", "0", "-", " ", "\n", "e", "\x00", "t", ""])
+        text = "".join(text)
+        try:
+            fits = isinstance(json.loads(text, parse_constant=lambda c: 1 / 0), dict)
+        except (ValueError, ZeroDivisionError):
+            fits = False
+        assert bool([t for t in record_triples(text, False) if t[1] is None and t[2] == ""]) == fits, text
+
+
+def test_a_new_field_and_clashing_names_get_columns(spark):
+    rows = [(1, json.dumps({"r": [{"s": 1, "newField": 5, "ordinal": True, "big": 10**20, "w": 0.5, "mix": 1}]})), (2, json.dumps({"r": [{"newField": 6, "mix": "x", "w": 2}]}))]
+    found = triples(spark.createDataFrame(rows, "record_id bigint, payload string"), "t")
+    table = pivot_group(found, TableSpec("r", {"s": ("s", "string")}))
+    kinds = dict(table.dtypes)
+    assert (kinds["new_field"], kinds["ordinal_2"], kinds["big"], kinds["w"], kinds["mix"]) == ("bigint", "boolean", "decimal(38,0)", "double", "string")
+    assert {(r.record_id, r.s, r.new_field, r.ordinal_2, r.mix, r.w) for r in table.collect()} == {(1, "1", 5, True, "1", 0.5), (2, None, 6, None, "x", 2.0)}
