@@ -41,7 +41,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents that a bucket holds on average.
 BUCKET_ROWS = 20_000
-#: Texts longer than this are counted in pieces that end at line breaks, to keep merges fast.
+#: Longer texts are counted in pieces, cut only where no token can reach over: before a blank behind a word, and between letter and digit.
 PIECE_CHARS = 20_000
 
 
@@ -52,7 +52,18 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_PIECES = re.compile(rf"[\s\S]{{1,{PIECE_CHARS}}}(?=\n|\Z)|[\s\S]{{1,{PIECE_CHARS}}}")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        m = _CUT.search(text, at + PIECE_CHARS)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
@@ -60,9 +71,7 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
     if not text:
         return 0
     encoding = _encoding(path)
-    if len(text) <= PIECE_CHARS:
-        return len(encoding.encode_ordinary(text))
-    return sum(len(encoding.encode_ordinary(piece)) for piece in _PIECES.findall(text))
+    return sum(len(encoding.encode_ordinary(piece)) for piece in _pieces(text))
 
 
 def token_sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path: str = TOKENIZER) -> DataFrame:

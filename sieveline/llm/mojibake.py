@@ -4,11 +4,13 @@ Two kinds of *garbled sequences* are precomputed for every pair of encodings:
 
 * UTF-8 bytes read with a one-byte encoding: every letter of a target alphabet gives one fixed
   sequence of two to four characters (``ü`` read as Windows-1252 is ``Ã¼``);
-* one one-byte encoding read as another: the sequences are the garbled forms of the letter
-  trigrams that the corpus itself uses, weighted by how much more often the right form occurs.
+* one encoding read as another one-byte encoding, also the multi-byte encodings of Chinese, Japanese and
+  Korean: the sequences are the garbled forms of the letter trigrams that the corpus itself uses, weighted by
+  how much more often the right form occurs, each counted within its script.
 
 One multi-pattern automaton finds all of them in a single pass over the text. Only matched spans
-are replaced, so correct text around them stays as it is. Sequences that also occur in correct text
+are replaced, so correct text around them stays as it is; a word that is not explained as a whole, because
+letters of it belong to no sequence, is reported and left as it is. Sequences that also occur in correct text
 (two Cyrillic letters, box drawings, a capital before a closing quote) count only in a run.
 
 U+FFFD marks damage that cannot be restored. Characters between backticks are quoted examples.
@@ -31,8 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One-byte encodings that UTF-8 is read with.
-UTF8_READERS = ("cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
+#: One-byte encodings that UTF-8 is read with. Left out: cp874 and iso8859_5, in which correct Thai and Russian read as UTF-8.
+UTF8_READERS = (
+    "cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r",
+    "cp1253", "cp1255", "cp1256", "cp1257", "cp852", "iso8859_2", "iso8859_7", "koi8_u", "mac_cyrillic",
+)
 #: Of these, the ones for which Chinese, Japanese and Korean text is looked for too.
 WIDE_READERS = ("latin-1", "cp1252", "cp1254", "cp1251", "mac_roman", "cp437", "cp850")
 #: One-byte encodings that are confused with each other: (right, read as).
@@ -42,28 +47,28 @@ BYTE_PAIRS = tuple(
     for wrong in ("latin-1", "cp1252", "cp1254", "cp1250", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman")
     if right != wrong
 )
-#: Code points that a garbled sequence may stand for.
+#: Multi-byte encodings that are read with a one-byte encoding: (right, read as).
+MULTI_PAIRS = tuple((right, wrong) for right in ("gb18030", "shift_jis", "euc_jp", "euc_kr", "big5") for wrong in ("latin-1", "cp1252"))
+#: Code points that a garbled sequence may stand for: the alphabets from Latin to Georgian, punctuation, signs, drawings, emoji.
 ALPHABET = (
-    (0x80, 0x180),
-    (0x218, 0x21C),
-    (0x386, 0x3CF),
-    (0x401, 0x460),
-    (0x490, 0x492),
+    (0x80, 0x300),
+    (0x370, 0x590),
     (0x5D0, 0x5EB),
-    (0x620, 0x64B),
-    (0x1E00, 0x1F00),
+    (0x620, 0x6D4),
+    (0x900, 0x1100),
+    (0x1E00, 0x2000),
     (0x2010, 0x203B),
-    (0x20AC, 0x20AD),
-    (0x2116, 0x2117),
-    (0x2122, 0x2123),
-    (0x2190, 0x2300),
+    (0x20A0, 0x20C1),
+    (0x2100, 0x2300),
     (0x2500, 0x27C0),
     (0xFF00, 0xFF62),
     (0xFFFD, 0xFFFE),
     (0x1F300, 0x1FB00),
 )
 WIDE_ALPHABET = ((0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
-#: A trigram is part of the model from this share of all trigrams on (per million).
+#: Letters whose two-byte sequences look like correct words in other scripts; they count only in a run.
+RUN_ONLY = ((0x180, 0x218), (0x21C, 0x300), (0x370, 0x386), (0x3CF, 0x401), (0x460, 0x490), (0x492, 0x5D0), (0x64B, 0x6D4))
+#: A trigram is part of the model from this share of all trigrams of its script on (per million).
 LEAST_PPM = 3.0
 #: Added to each share, so that an unseen trigram has a share too.
 SMOOTH_PPM = 0.5
@@ -75,7 +80,7 @@ LINE_SCORE, KNOWN_PENALTY = 8.0, 2.0
 #: Most that a garbled trigram with symbols adds to a line, as one drawing may look like a frequent trigram.
 SYMBOL_RATIO = 2.5
 
-_QUOTED = re.compile(r"`(?!\s)[^`\n]{1,60}(?<!\s)`")
+_QUOTED = re.compile(r"`(?!\s)[^`\n]+(?<!\s)`")
 _WORD = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7f][^\W\d_]*")
 _SIGNS = re.compile(r"[A-Za-z\u0080-\U0010ffff]{3,}")
 _RANK = {name: i for i, name in enumerate(UTF8_READERS)}
@@ -100,6 +105,17 @@ def _byte_table(right: str, wrong: str) -> dict[str, str]:
     return table
 
 
+def script_of(char: str) -> int:
+    """A number for the script of a letter beyond ASCII: Latin, Chinese and Japanese, or the block of 128 code points."""
+    code = ord(char)
+    return 0 if code < 0x250 or 0x1E00 <= code < 0x1F00 else 1 if 0x3000 <= code < 0xA000 else code >> 7
+
+
+def _script(trigram: str) -> int:
+    """The script of a trigram's first character beyond ASCII; trigrams with signs are one class."""
+    return script_of(next(c for c in trigram if c > "\x7f")) if trigram.isalpha() else -1
+
+
 @lru_cache(maxsize=1)
 def utf8_sequences() -> dict[str, dict[str, str]]:
     """Garbled sequence -> {encoding: right character}."""
@@ -119,6 +135,23 @@ def utf8_sequences() -> dict[str, dict[str, str]]:
     return dict(found)
 
 
+def _run_only(seq: str) -> bool:
+    """All characters that the sequence may stand for are rare ones, and no encoding's own, which text garbled twice holds."""
+    return all(c not in _readable() and any(low <= ord(c) < high for low, high in RUN_ONLY) for c in utf8_sequences().get(seq, {"": "\x00"}).values())
+
+
+@lru_cache(maxsize=1 << 16)
+def _weight(char: str, length: int) -> float:
+    """What a sequence counts for a reading: its length, half of it for the Latin letters of few languages."""
+    rare = "ƀ" <= char < "ʰ" and char not in "ƠơƯưȘșȚț" and char not in _readable()
+    return length / 2 if rare else length
+
+
+@lru_cache(maxsize=1)
+def _readable() -> frozenset[str]:
+    return frozenset(misread(bytes([b]), e) for e in WIDE_READERS for b in range(0x80, 0x100))
+
+
 def _drawn(text: str) -> bool:
     """Only box drawings and blocks."""
     return all("─" <= c <= "▟" for c in text)
@@ -139,7 +172,9 @@ def _least_run(seq: str) -> int:
         return 1 if seq[0].islower() and seq[1:].isupper() else 3
     if len(seq) == 3 and _cyrillic(seq[0]) and all(_cyrillic(c) or c in _CLOSING for c in seq[1:]):
         return 1 if seq[0].islower() and seq[1].isupper() else 2
-    if seq[0] in "–—×" or ("Ѐ" <= seq[0] <= "ӿ" and seq[1] in _CLOSING and len(seq) == 2):
+    if len(seq) == 2 and (_run_only(seq) or all(c >= "Ͱ" and c.isalpha() for c in seq)):
+        return 3
+    if seq[0] in "–—×" or (seq[0] >= "Ͱ" and seq[0].isalpha() and seq[1] in _CLOSING and len(seq) == 2):
         return 2
     return 1
 
@@ -167,11 +202,14 @@ def _symbol_trigrams(text: str) -> Iterator[str]:
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(trigram, n) over all texts without garbled UTF-8: trigrams with a letter or a sign beyond ASCII.
+    """(script, trigram, n) over all texts without garbled UTF-8: trigrams with a letter or a sign beyond ASCII.
 
     Each task counts its own batches first, so the shuffle carries distinct trigrams only.
     """
 
+    def rows(total: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame([(_script(t), t, n) for t, n in total.items()], columns=["script", "trigram", "n"])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = _repairer(())
         total: Counter[str] = Counter()
@@ -181,27 +219,40 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
                     total.update(_trigrams(text))
                     total.update(_symbol_trigrams(text))
             if len(total) > 500_000:
-                yield pd.DataFrame({"trigram": list(total.keys()), "n": list(total.values())})
+                yield rows(total)
                 total = Counter()
         if total:
-            yield pd.DataFrame({"trigram": list(total.keys()), "n": list(total.values())})
+            yield rows(total)
 
     texts = df.select(F.col(text_col).cast("string").alias("t")).where("t is not null and t <> ''")
-    return texts.mapInPandas(count, "trigram string, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(count, "script int, trigram string, n bigint").groupBy("script", "trigram").agg(F.sum("n").alias("n"))
 
 
 def trigram_model(df: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Trigram -> per million of all letter trigrams. At most 1e6 / LEAST_PPM rows with signs and as many without, whatever the corpus."""
-    counts = trigram_counts(df, text_col).withColumn("word", F.col("trigram").rlike(r"^\p{L}+$"))
-    total = counts.groupBy().agg(
-        F.sum(F.when(F.col("word"), F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(F.col("word"), 0).otherwise(F.col("n"))).alias("signs")
+    """Trigram -> per million of the trigrams of its script; those with signs per million of all letter trigrams.
+
+    A script adds at most 1e6 / LEAST_PPM rows, however large the corpus and however small the script's part in it.
+    """
+    counts = trigram_counts(df, text_col)
+    totals = counts.groupBy("script").agg(F.sum("n").alias("own"))
+    words = counts.where("script >= 0").groupBy().agg(F.sum("n").alias("words"))
+    kept = (
+        counts.join(F.broadcast(totals), "script")
+        .crossJoin(F.broadcast(words))
+        .where(F.col("n") * 1e6 >= F.col("own") * LEAST_PPM)
+        .select("trigram", (F.col("n") * 1e6 / F.when(F.col("script") >= 0, F.col("own")).otherwise(F.greatest("words", F.lit(1)))).alias("ppm"))
     )
-    share = F.col("n") * F.lit(1e6) / F.greatest("words", F.lit(1))
-    own = F.col("n") * F.lit(1e6) / F.when(F.col("word"), F.col("words")).otherwise(F.col("signs"))
-    kept = counts.crossJoin(F.broadcast(total)).where(own >= LEAST_PPM).select("trigram", share.alias("ppm"))
     return {r["trigram"]: r["ppm"] for r in kept.collect()}
 
 
+@lru_cache(maxsize=1 << 20)
+def _encoded(text: str, right: str) -> bytes | None:
+    try:
+        return text.encode(right)
+    except UnicodeEncodeError:
+        return None
+
+
 def byte_sequences(model: dict[str, float]) -> dict[str, dict[tuple[str, str], float]]:
     """Garbled trigram -> {(right, read as): log ratio of the right form to the garbled one}; garbled forms may hold any sign."""
     found: dict[str, dict[tuple[str, str], float]] = defaultdict(dict)
@@ -216,6 +267,11 @@ def byte_sequences(model: dict[str, float]) -> dict[str, dict[tuple[str, str], f
             if ratio >= LEAST_RATIO:
                 plain = all(c.isalnum() or c in "³²¹º°ª¼½¾" for c in garbled)
                 found[garbled][pair] = ratio if plain else min(ratio, SYMBOL_RATIO)
+    for pair in MULTI_PAIRS:
+        for tri, ppm in right:
+            data = _encoded(tri, pair[0]) if all(c >= "\u1100" for c in tri) else None
+            if data and len(data) >= 6:
+                found[misread(data, pair[1])][pair] = math.log((ppm + SMOOTH_PPM) / SMOOTH_PPM)
     return dict(found)
 
 
@@ -228,6 +284,41 @@ def _same(char: str, pair: tuple[str, str]) -> bool:
         return False
 
 
+def _whole_words(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The spans; where a run of characters beyond ASCII holds letters or control codes outside them, none of the run is replaced."""
+    kept: list[tuple[int, int, str, str]] = []
+    at = 0
+    while at < len(found):
+        low, high = found[at][0], found[at][1]
+        while low > 0 and text[low - 1] > "\x7f":
+            low -= 1
+        last = at
+        while high < len(text) and text[high] > "\x7f":
+            high += 1
+        while last + 1 < len(found) and found[last + 1][0] < high:
+            last += 1
+            high = max(high, found[last][1])
+            while high < len(text) and text[high] > "\x7f":
+                high += 1
+        group = found[at : last + 1]
+        covered = {i for start, end, _, _ in group for i in range(start, end)}
+        broken = any(i not in covered and text[i] > "\x7f" and (text[i].isalpha() or text[i] < "\xa0") for i in range(low, high))
+        kept += [(s, e, n, "") for s, e, n, _ in group] if broken else group
+        at = last + 1
+    return kept
+
+
+def _multi_spans(text: str, low: int, high: int, pair: tuple[str, str]) -> list[tuple[int, int, str, str]]:
+    """The line as one span; replaced only if all of it decodes."""
+    right, wrong = pair
+    name, line = f"{wrong}<{right}", text[low:high]
+    try:
+        data = b"".join(c.encode(wrong) if not "\x80" <= c < "\xa0" else c.encode("latin-1") for c in line)
+        return [(low, high, name, data.decode(right))]
+    except UnicodeError:
+        return [(low, high, name, "")]
+
+
 class Repairer:
     """The automaton over all garbled sequences with the rules on what counts."""
 
@@ -240,34 +331,66 @@ class Repairer:
             self.automaton.add_word(seq, seq)
         self.automaton.make_automaton()
 
-    def _utf8_hits(self, text: str, ends: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
-        """Leftmost-longest matches that count, without overlaps."""
-        spans = sorted(((e - len(s) + 1, e + 1, s) for e, s in ends if s in self.utf8), key=lambda x: (x[0], -x[1]))
-        runs: list[list[tuple[int, int, str]]] = []
+    def _parsed(self, ends: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]:
+        """Matches without overlaps. In each stretch one encoding reads what it can, the one that reads most; other matches fill the rest."""
+        spans = sorted({(e - len(s) + 1, e + 1, s) for e, s in ends if s in self.utf8})
+        stretches: list[list[tuple[int, int, str]]] = []
+        high = -1
+        for span in spans:
+            if span[0] > high:
+                stretches.append([])
+            stretches[-1].append(span)
+            high = max(high, span[1])
+        read: list[dict[str, list[tuple[int, int, str]]]] = []
+        total: Counter[str] = Counter()
+        weights: dict[tuple[int, str], float] = {}
+        for stretch in stretches:
+            by: dict[str, list[tuple[int, int, str]]] = {}
+            for span in stretch:
+                for encoding in self.utf8[span[2]]:
+                    mine = by.setdefault(encoding, [])
+                    if not mine or mine[-1][1] <= span[0]:
+                        mine.append(span)
+            for encoding, mine in by.items():
+                total[encoding] += (worth := sum(_weight(self.utf8[seq][encoding], e - s) for s, e, seq in mine))
+                weights[len(read), encoding] = worth
+            read.append(by)
+        found = []
+        for n, by in enumerate(read):
+            free: set[int] = set()
+            order = sorted(by, key=lambda e: (e in ("c1", "lost"), -weights[n, e], -total[e], _RANK.get(e, 99)))
+            for encoding in order:
+                for start, end, seq in by[encoding]:
+                    if free.isdisjoint(range(start, end)):
+                        free.update(range(start, end))
+                        found.append((start, end, seq, encoding))
+        return sorted(found)
+
+    def _utf8_hits(self, text: str, ends: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]:
+        """Matches (start, end, sequence, encoding) that count, without overlaps."""
+        runs: list[list[tuple[int, int, str, str]]] = []
         at = -1
-        for start, end, seq in spans:
-            if start < at:
-                continue
-            if runs and start == at:
-                runs[-1].append((start, end, seq))
+        for span in self._parsed(ends):
+            if runs and span[0] == at:
+                runs[-1].append(span)
             else:
-                runs.append([(start, end, seq)])
-            at = end
-        kept: list[tuple[int, int, str]] = []
-        doubtful: list[tuple[int, int, str]] = []
+                runs.append([span])
+            at = span[1]
+        kept: list[tuple[int, int, str, str]] = []
+        doubtful: list[tuple[int, int, str, str]] = []
         for run in runs:
             beside = text[max(0, run[0][0] - 1) : run[0][0]] + text[run[-1][1] : run[-1][1] + 1]
             latin = any(c.isascii() and c.isalpha() for c in beside)
-            drawing = all(_drawn(seq) for _, _, seq in run)
-            for start, end, seq in run:
+            drawing = all(_drawn(seq) for _, _, seq, _ in run)
+            for start, end, seq, encoding in run:
                 least = _least_run(seq)
                 if drawing or (len(run) < least and not (latin and _cyrillic(seq))):
                     continue
                 before = text[start - 1 : start]
                 if len(run) == 1 and len(seq) == 2 and seq[1] in _CLOSING and before.isalpha() and before.isupper():
-                    doubtful.append((start, end, seq))
+                    doubtful.append((start, end, seq, encoding))
                 else:
-                    kept.append((start, end, seq))
+                    kept.append((start, end, seq, encoding))
         if kept and doubtful:
             kept = sorted(kept + doubtful)
         return kept
@@ -277,11 +400,11 @@ class Repairer:
         return bool(self._utf8_hits(clean, list(self.automaton.iter(clean))))
 
     def _byte_lines(
-        self, text: str, ends: list[tuple[int, str]], hits: list[tuple[int, int, str]]
+        self, text: str, ends: list[tuple[int, str]], read: list[tuple[int, int, str, str]]
     ) -> list[tuple[int, int, tuple[str, str]]]:
         """(start, end, pair) of the lines that read better in another one-byte encoding.
 
-        Lines with garbled UTF-8 are left to the next turn.
+        Lines with garbled UTF-8 that restores (``read``) are left to the next turn.
         """
         lines: dict[int, dict[tuple[str, str], float]] = {}
         for end, seq in ends:
@@ -292,7 +415,7 @@ class Repairer:
             for pair, ratio in self.bytes[seq].items():
                 score[pair] += ratio
         found = []
-        settled = {text.rfind("\n", 0, start + 1) + 1 for start, _, seq in hits if len(seq) > 1}
+        settled = {text.rfind("\n", 0, start + 1) + 1 for start, end, _, right in read if right and end > start + 1}
         for low, score in lines.items():
             if low in settled:
                 continue
@@ -301,6 +424,9 @@ class Repairer:
                 continue
             high = text.find("\n", low)
             high = len(text) if high < 0 else high
+            if pair in MULTI_PAIRS:
+                found.append((low, high, pair))
+                continue
             table = _byte_table(*pair)
             for tri in chain(_trigrams(text[low:high]), _symbol_trigrams(text[low:high])):
                 if tri in self.model and pair not in self.bytes.get(tri, ()) and any(c in table for c in tri):
@@ -318,14 +444,16 @@ class Repairer:
         if not ends:
             return []
         hits = self._utf8_hits(clean, ends)
-        votes = Counter(e for _, _, s in hits for e in self.utf8[s])
-        found = []
-        for start, end, seq in hits:
-            encoding = min(self.utf8[seq], key=lambda e: (-votes[e], _RANK.get(e, 99)))
-            right = self.utf8[seq][encoding]
-            found.append((start, end, encoding, "" if right == "�" else right))
+        found = [(start, end, encoding, "" if (right := self.utf8[seq][encoding]) == "�" else right) for start, end, seq, encoding in hits]
+        found = _whole_words(text, found)
         taken = {i for start, end, _, _ in found for i in range(start, end)}
-        for low, high, pair in self._byte_lines(clean, ends, hits):
+        for low, high, pair in self._byte_lines(clean, ends, found):
+            if pair in MULTI_PAIRS:
+                found = [f for f in found if not low <= f[0] < high] + _multi_spans(clean, low, high, pair)
+                continue
+            apart = [f for f in found if low <= f[0] < high and not f[3] and text[f[0]] != "�"]
+            taken -= {i for start, end, _, _ in apart for i in range(start, end)}
+            found = [f for f in found if f not in apart]
             table = _byte_table(*pair)
             found += [
                 (i, i + 1, f"{pair[1]}<{pair[0]}", table[clean[i]])
@@ -335,17 +463,18 @@ class Repairer:
         return sorted(found)
 
     def restore(self, text: str) -> tuple[str, int, int, str]:
-        """(restored text, damaged places, places that stay lost, encodings), repeated for text garbled twice."""
+        """(restored text, damaged places, places that stay lost, encodings), repeated until nothing changes."""
         names: set[str] = set()
+        seen = {text}
         damaged = lost = 0
-        for turn in range(4):
+        while True:
             spans = self.spans(text)
             if not spans:
+                lost = 0
                 break
             names.update(s[2] for s in spans)
             lost = sum(not s[3] for s in spans)
-            if turn == 0:
-                damaged = len(spans)
+            damaged = damaged or len(spans)
             if lost == len(spans):
                 break
             pieces, at = [], 0
@@ -353,6 +482,9 @@ class Repairer:
                 pieces += [text[at:start], right or text[start:end]]
                 at = end
             text = "".join(pieces) + text[at:]
+            if text in seen:
+                break
+            seen.add(text)
         return text, damaged, lost, ",".join(sorted(names))
 
 

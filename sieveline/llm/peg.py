@@ -11,7 +11,9 @@ A grammar is a text of rules ``Name <- expression``. Expressions: sequence, orde
 * ``^name``     a predicate given as a Python function of (text, position).
 
 The rules are compiled to Python functions that map a position to the end of the match or -1. Every
-rule remembers its result at each position, which makes the parse linear in the text. The input must
+rule remembers its result at each position, which makes the parse linear in the text; a rule that is a single
+terminal is written out where it is used. Calls nest as deep as the text does: they lie on the heap, so only
+memory bounds them (about half a kilobyte a call). The input must
 be consumed in full. Only when it is not, the parse is repeated with a second set of functions that
 also record the furthest position at which a terminal failed.
 """
@@ -22,9 +24,6 @@ import re
 import sys
 from collections.abc import Callable
 
-#: Nesting of calls that a parse may reach; deeper texts count as not parsed.
-DEEPEST = 120_000
-
 _LEX = re.compile(
     r"""\s+|\#[^\n]*
     |(?P<rule>[A-Za-z]\w*)\s*<-
@@ -127,8 +126,8 @@ def read_grammar(grammar: str) -> dict[str, tuple]:
 class _Writer:
     """Writes the Python functions of a grammar."""
 
-    def __init__(self, trivia: str, track: bool):
-        self.trivia, self.track = trivia, track
+    def __init__(self, trivia: str, track: bool, rules: dict[str, tuple]):
+        self.trivia, self.track, self.rules = trivia, track, rules
         self.lines: list[str] = []
         self.patterns: dict[str, str] = {}
         self.n = 0
@@ -186,6 +185,8 @@ class _Writer:
             test = ">=" if kind == "and" else "<"
             self.put(depth, f"{out} = {i} if {got} {test} 0 else -1")
             return out
+        if kind == "ref" and self.rules[node[1]][0] == "re":
+            return self.node(self.rules[node[1]], i, depth)
         if kind == "ref":
             out = self.fresh()
             self.put(depth, f"{out} = r_{node[1]}({i})")
@@ -226,7 +227,7 @@ class Grammar:
         self._fast, self._slow = (self._build(trivia, track, hooks) for track in (False, True))
 
     def _build(self, trivia: str, track: bool, hooks: dict[str, Callable]) -> dict:
-        writer = _Writer(trivia, track)
+        writer = _Writer(trivia, track, self.rules)
         for name, node in self.rules.items():
             writer.put(0, f"def r_{name}(i):")
             writer.put(1, f"o = M_{name}.get(i)")
@@ -251,7 +252,7 @@ class Grammar:
     def _run(self, space: dict, text: str, at: int) -> int:
         space["G"]["T"], space["G"]["far"] = text, at
         old = sys.getrecursionlimit()
-        sys.setrecursionlimit(DEEPEST)
+        sys.setrecursionlimit(max(old, min(len(self.rules) * (len(text) + 2), (1 << 31) - 1)))
         rule, memories = space[f"r_{self.start}"], [space[f"M_{name}"] for name in self.rules]
         try:
             if not self.items:
@@ -263,8 +264,6 @@ class Grammar:
                 at = end
                 for memory in memories:
                     memory.clear()
-        except RecursionError:
-            return -1
         finally:
             sys.setrecursionlimit(old)
             for memory in memories:

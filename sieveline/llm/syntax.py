@@ -10,8 +10,7 @@ position at which a terminal failed, its line, and the likely cause:
 * ``syntax``     anything else.
 
 Defined results: null texts and unknown extensions give no row; an empty text is valid except as
-JSON; a byte-order mark and a ``#!`` line are allowed; nesting deeper than the engine's bound counts
-as not parsed; repeated texts are each reported. Texts are independent, so the only shuffle is the one
+JSON; a byte-order mark and a ``#!`` line are allowed; nesting may be of any depth; repeated texts are each reported. Texts are independent, so the only shuffle is the one
 of the grouped rates.
 """
 

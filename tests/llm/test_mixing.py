@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.llm import mixing
 from sieveline.llm.mixing import TOKENIZER, count_tokens, mix_report, ordered, sample_mix, token_sizes
 
 TARGETS = "mix_name string, source string, target_share double, max_repeats int, corpus_fraction double"
@@ -72,3 +73,9 @@ def test_token_counts(spark):
     got = {r.doc_id: r.n_tokens for r in token_sizes(df, "doc_id", "text", ["source"]).collect()}
     assert got == {1: 2, 2: 0}
     assert df.agg(F.count("text")).first()[0] == 1
+
+
+def test_long_texts_are_counted_like_whole_ones():
+    indented = "".join(f"{' ' * (4 * (i % 7))}total_{i}x9 = it's(é日本, '{i}')\n\n   \n" for i in range(3000))
+    whole = mixing._encoding(TOKENIZER).encode_ordinary(indented)
+    assert len(indented) > 3 * mixing.PIECE_CHARS and count_tokens(indented) == len(whole)

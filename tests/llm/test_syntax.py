@@ -83,3 +83,9 @@ def test_report(spark):
     rates = {(r.project, r.language): (r.files, r.invalid, r.wrong_extension) for r in invalid_rates(report, "project", "language").collect()}
     assert rates == {("p", "ts"): (1, 0, 0), ("p", "js"): (1, 1, 1), ("q", "py"): (1, 0, 0)}
     assert syntax_report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "language"), [("[" * 100_000 + "]" * 100_000, "json"), ("x = " + "(" * 20_000 + "1" + ")" * 20_000 + ";", "js")])
+def test_deep_nesting_is_valid(text, language):
+    assert parse(text, language)[0]
+    assert not parse(text[:-2], language)[0]
