@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import checkpointed
+
 #: One-byte encodings that UTF-8 is read with. Left out: cp874 and iso8859_5, in which correct Thai and Russian read as UTF-8.
 UTF8_READERS = (
     "cp1252", "latin-1", "cp1254", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r",
@@ -233,9 +235,9 @@ def trigram_model(df: DataFrame, text_col: str = "text") -> dict[str, float]:
 
     A script adds at most 1e6 / LEAST_PPM rows, however large the corpus and however small the script's part in it.
     """
-    counts = trigram_counts(df, text_col)
+    counts = checkpointed(trigram_counts(df, text_col))
     totals = counts.groupBy("script").agg(F.sum("n").alias("own"))
-    words = counts.where("script >= 0").groupBy().agg(F.sum("n").alias("words"))
+    words = totals.where("script >= 0").groupBy().agg(F.sum("own").alias("words"))
     kept = (
         counts.join(F.broadcast(totals), "script")
         .crossJoin(F.broadcast(words))

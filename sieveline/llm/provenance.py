@@ -4,17 +4,18 @@ Every file is reduced to its identifiers, literals and line shapes. Over all fil
 trigram model of identifiers is trained per language; each trigram counts once per file, so that one
 machine-made file cannot teach the model its own names. Then
 
-* ``minified``   the identifiers' mean cross-entropy per character is high and most are very short; or it
-  alone is far above the median of the file's own project (of the language, where the project is small) and
-  nothing else explains it,
-* ``generated``  the lines are template-like: one line shape makes up most of the code; or the identifiers
-  have little diversity, as they differ in their numbers only; or the leading comment is a generator's
-  banner, or the code carries a compiler's or lock tool's marks,
+* ``minified``   the identifiers' mean cross-entropy per character is high; or it is far above the median of the
+  file's own project (of the language, where the project is small) and nothing else explains it,
+* ``generated``  the names are template-like: many carry a running number, or little is left of them without
+  their numbers; or a compiler's or lock tool's marks are in the code or the path,
 * ``vendored``   the naming is foreign: runs of declared names that also occur in several other
   projects, or in one other project where the naming style is not the own project's; or the file is
-  under a third party's directory, or under a third party's licence banner,
+  under a third party's directory, or its first comment begins with another product's name and version,
 * ``data``       most of the code is numbers, encoded strings or word lists.
 
+No sentence of a comment decides anything. Paths, compilers' marks and product names tell the few files that have too
+little code for a statistic, or no second copy anywhere.
+
 Scale: features need no shuffle. The model is a table of distinct trigrams above a fixed share,
 which bounds it. Name runs are counted per project with a partial aggregation and joined back on
 their hash; a run that occurs in very many files only repeats its own key.
@@ -40,10 +41,12 @@ LANGUAGES = {"ts": "js", "tsx": "js", "js": "js", "mjs": "js", "cjs": "js", "jsx
 #: A trigram is part of the model from this number per million trigrams on; bounds the model to 1e6 / LEAST_PPM rows a language.
 LEAST_PPM = 2.0
 
-MANGLED_BITS, MANGLED_SHORT, LEAST_NAMES = 3.0, 0.55, 8
+#: Bits per character, and bits above the median of all files of the language, from which names are mangled, and the names that a file needs for that.
+MANGLED_BITS, MANGLED_ABOVE, LEAST_NAMES = 3.6, 1.2, 8
 #: Files with a larger share of very short names do not train the model.
 TEACHER_SHORT = 0.5
-TEMPLATE_SHARE, TEMPLATE_LINES = 0.75, 5
+#: Names with a number, and their share of the long names, from which they come from a template.
+TEMPLATE_NAMES, TEMPLATE_SHARE = 6, 0.3
 DATA_SHARE, DATA_CHARS = 0.5, 600
 #: Bits above the own project's median from which cross-entropy alone tells a file; a project of fewer files is compared with its language.
 OUTLIER_BITS, LEAST_FILES = 2.0, 8
@@ -75,22 +78,8 @@ _DECLARED = re.compile(
 )
 _COMPOUND = re.compile(r"[a-z][A-Z]|[a-z]_[a-z]")
 _CAMEL, _SNAKE = re.compile(r"[a-z][A-Z]"), re.compile(r"[A-Za-z0-9]_[A-Za-z]")
-_LEADING = re.compile(r"\A(?:﻿|#![^\n]*\n|\s+|[\"']use strict[\"'];?|//[^\n]*\n?|/\*[\s\S]*?\*/|#[^\n]*\n?|\"\"\"[\s\S]*?\"\"\")*")
-_BANNER = re.compile(
-    r"@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)|automatically (?:generated|created)|\bautogenerated\b"
-    r"|(?:code|file|source) (?:was |is )?generated (?:by|from|with)|\bgenerated (?:by|from|with) \S+.{0,60}(?:\d+\.\d+|via|using)"
-    r"|do not (?:edit|modify|change)\b|changes (?:will be|are) (?:lost|overwritten)|edits (?:will be|are) (?:lost|overwritten)"
-    r"|automatisch (?:erzeugt|generiert)|nicht (?:bearbeiten|ändern)|otomatik olarak (?:üretil|oluşturul)|elle değiştirmeyin"
-    r"|généré automatiquement|ne pas modifier|generado automáticamente|no (?:editar|modificar)|gerado automaticamente|não edit",
-    re.I,
-)
-_HAND = re.compile(
-    r"used to be|no longer|not (?:auto-?)?generated|by hand|maintained manually|edit freely|by the caller|edit the list|banner|rejected", re.I
-)
-_PRODUCT = re.compile(
-    r"\A[\s/*#!]*(?:@license\s+)?(?P<name>[A-Za-z@][\w@/.\-]*?)(?:\.js)?\s+v?\d+\.\d+(?:\.\d+)?\b(?P<rest>[\s\S]*)", re.I
-)
-_LICENCE = re.compile(r"licen[sc]e|copyright|\(c\)|©|\bMIT\b|\bBSD|\bApache|\bISC\b|\bMPL\b|contributors", re.I)
+_LEADING = re.compile(r"\A(?:﻿|#![^\n]*\n|\s+)*(/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*)?")
+_PRODUCT = re.compile(r"[\s/*#!]*(?:@\w+\s+)?(?P<name>[A-Za-z@][\w@/.\-]*?)(?:\.js)?\s+v?\d+\.\d+(?:\.\d+)?\b", re.I)
 _VENDOR_DIR = re.compile(
     r"(?:^|/)(?:vendor|vendored|third[_-]?party|node_modules|bower_components|external|externals|deps|site-packages|Pods)/", re.I
 )
@@ -141,11 +130,11 @@ def trigrams_of(name: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def diversity(names: list[str]) -> tuple[int, int, int]:
-    """Distinct identifiers, those of them with more than three characters besides numbers, and what these are without numbers."""
+def diversity(names: list[str]) -> tuple[int, int, int, int]:
+    """Distinct identifiers, those of them with more than three characters besides numbers, what these are without numbers, and how many carry one."""
     distinct = set(names)
-    stems = [stem for n in distinct if len(stem := re.sub(r"\d+", "", n)) > 3]
-    return len(distinct), len(stems), len(set(stems))
+    long = [(n, stem) for n in distinct if len(stem := re.sub(r"\d+", "", n)) > 3]
+    return len(distinct), len(long), len({stem for _, stem in long}), sum(n != stem for n, stem in long)
 
 
 def naming_style(names: list[str]) -> tuple[float, float]:
@@ -155,38 +144,10 @@ def naming_style(names: list[str]) -> tuple[float, float]:
     return sum(bool(_CAMEL.search(n)) for n in distinct) / total, sum(bool(_SNAKE.search(n)) for n in distinct) / total
 
 
-def line_shapes(text: str, language: str) -> tuple[int, float]:
-    """Lines of code and the share of the most frequent line shape."""
-    bare = re.sub(r"/\*[\s\S]*?\*/", "", text) if language != "py" else text
-    mark = "#" if language == "py" else "//"
-    shapes: Counter[str] = Counter()
-    for line in bare.split("\n"):
-        line = line.strip()
-        if line and not line.startswith(mark):
-            shape = re.sub(r"\"[^\"]*\"|'[^']*'", "S", line)
-            shapes[re.sub(r"[A-Za-z_$]+", "w", re.sub(r"\d+", "0", shape))] += 1
-    total = sum(shapes.values())
-    return total, (max(shapes.values()) / total if total else 0.0)
-
-
-def leading_comment(text: str) -> str:
-    """Comments before the first code, without quoted text."""
-    return _LEADING.match(text).group()
-
-
-def has_banner(lead: str) -> bool:
-    """A sentence of a generator, unless the line says that the file is written by hand."""
-    lines = re.split(r"\n|(?<=\.) ", lead)
-    return any(_BANNER.search(x) for x in lines) and not any(_HAND.search(x) for x in lines if not re.search(r"modify it by hand", x))
-
-
-def product_banner(lead: str, project: str) -> bool:
-    """The licence banner of a named and versioned product that is not the project itself."""
-    for block in re.findall(r"/\*[\s\S]*?\*/|(?://[^\n]*\n?)+|(?:#[^\n]*\n?)+", lead):
-        m = _PRODUCT.match(block.strip())
-        if m and m.group("name").lower() != project.lower() and _LICENCE.search(m.group("rest")):
-            return True
-    return False
+def product_named(text: str, project: str) -> bool:
+    """The first comment begins with the name and version of something that is not the project itself."""
+    m = _PRODUCT.match(_LEADING.match(text).group(1) or "")
+    return m is not None and m.group("name").lower() != project.lower()
 
 
 def name_runs(text: str) -> list[int]:
@@ -240,7 +201,9 @@ def _log_model(counts: dict[str, int]) -> dict[str, float]:
 
 
 def cross_entropy(names: list[str], model: dict[str, float]) -> float:
-    """Mean bits per character of the distinct names."""
+    """Mean bits per character of the distinct names; 0 without a model."""
+    if not model:
+        return 0.0
     bits = length = 0.0
     unseen = model.get("", -8.0)
     for name in set(names):
@@ -251,8 +214,8 @@ def cross_entropy(names: list[str], model: dict[str, float]) -> float:
 
 
 FEATURES = (
-    "language string, names int, bits double, short_share double, lines int, shape_share double, code_chars int, data_chars int, "
-    "literals int, distinct_names int, long_names int, stems int, camel_share double, snake_share double, banner boolean, compiled boolean, product boolean, runs array<bigint>"
+    "language string, names int, bits double, short_share double, code_chars int, data_chars int, literals int, distinct_names int, long_names int, "
+    "stems int, numbered int, camel_share double, snake_share double, compiled boolean, product boolean, runs array<bigint>"
 )
 
 
@@ -271,12 +234,9 @@ def file_features(
             for key, project, path, text in zip(batch["file_id"], batch["project"], batch["relative"], batch["_text"]):
                 language = language_of(path)
                 names, code, data, literals, _ = names_of(text, language)
-                lines, share = line_shapes(text, language)
-                lead = leading_comment(text)
                 rows.append((
-                    key, project, path, language, len(names), cross_entropy(names, shared.value.get(language, {})), short_share(names),
-                    lines, share, code, data, literals, *diversity(names), *naming_style(names), has_banner(lead), bool(_COMPILED.search(text)),
-                    product_banner(lead, project), name_runs(text),
+                    key, project, path, language, len(names), cross_entropy(names, shared.value.get(language, {})), short_share(names), code, data,
+                    literals, *diversity(names), *naming_style(names), bool(_COMPILED.search(text)), product_named(text, project), name_runs(text),
                 ))
             yield pd.DataFrame(rows, columns=columns)
 
@@ -309,7 +269,7 @@ def foreign_shares(features: DataFrame) -> DataFrame:
 
 
 def with_own_style(features: DataFrame) -> DataFrame:
-    """Adds bits_above and style_distance, against the medians of the file's own project in its language.
+    """Adds bits_above and style_distance, against the medians of the file's own project in its language, and language_bits_above.
 
     Medians, so that the files looked for do not move what they are compared with.
     """
@@ -327,7 +287,8 @@ def with_own_style(features: DataFrame) -> DataFrame:
     added = both.withColumn("bits_above", F.coalesce(above["bits"], F.lit(0.0))).withColumn(
         "style_distance", F.coalesce(F.greatest(F.abs(above["camel_share"]), F.abs(above["snake_share"])), F.lit(0.0))
     )
-    return added.select(*features.columns, "bits_above", "style_distance")
+    added = added.withColumn("language_bits_above", F.coalesce(F.col("bits") - F.col("_all_bits"), F.lit(0.0)))
+    return added.select(*features.columns, "bits_above", "language_bits_above", "style_distance")
 
 
 def classify(features: DataFrame) -> DataFrame:
@@ -340,15 +301,14 @@ def classify(features: DataFrame) -> DataFrame:
     foreign = (F.coalesce("foreign_share", F.lit(0.0)) >= FOREIGN_SHARE) | (
         (F.coalesce("other_share", F.lit(0.0)) >= FOREIGN_SHARE) & (F.col("style_distance") >= STYLE_DISTANCE)
     )
+    numbered = (F.col("numbered") >= TEMPLATE_NAMES) & (F.col("numbered") >= TEMPLATE_SHARE * F.col("long_names"))
+    repeated = (F.col("long_names") >= NUMBERED_NAMES) & (F.col("stems") <= STEM_SHARE * F.col("long_names"))
     kinds = {
-        "minified": (F.col("names") >= LEAST_NAMES) & (F.col("short_share") >= MANGLED_SHORT) & (F.col("bits") >= MANGLED_BITS),
-        "generated": F.col("banner") | F.col("compiled") | path.rlike(_jvm(_LOCK))
-        | (F.col("shape_share") >= TEMPLATE_SHARE) & (F.col("lines") >= TEMPLATE_LINES) & ~bulk
-        | (F.col("long_names") >= NUMBERED_NAMES) & (F.col("stems") <= STEM_SHARE * F.col("long_names")) & ~bulk
-        | path.rlike(_jvm(_GENERATED_PATH)) & (F.col("shape_share") >= 0.5),
-        "vendored": path.rlike(_jvm(_VENDOR_DIR)) | F.col("product") | foreign,
+        "minified": (F.col("names") >= LEAST_NAMES) & (F.col("bits") >= MANGLED_BITS) & (F.col("language_bits_above") >= MANGLED_ABOVE) & ~bulk,
+        "generated": (numbered | repeated) & ~bulk | F.col("compiled") | path.rlike(_jvm(_LOCK)) | path.rlike(_jvm(_GENERATED_PATH)),
+        "vendored": foreign | path.rlike(_jvm(_VENDOR_DIR)) | F.col("product"),
         "data": bulk,
-    }
+    }
     outlier = (F.col("distinct_names") >= LEAST_NAMES) & (F.col("bits_above") >= OUTLIER_BITS)
     kinds["minified"] = kinds["minified"] | outlier & ~(kinds["generated"] | kinds["vendored"] | kinds["data"])
     labels = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in kinds.items()]))
