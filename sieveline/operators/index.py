@@ -1,9 +1,11 @@
 """The index: symbols of source files, postings, document frequencies, corpus statistics, import and call edges.
 
-Symbols are declarations at the start of a line; each reaches to the next one. ``sym_id`` follows the
-discovery order inside a file, so that it can end every ranking as the last tie-breaker. Defined
-results: null texts have no symbols; a file without declarations is a configuration file's single
-module symbol or nothing; repeated files are files of their own.
+Symbols are declarations at the start of a line, which reach to the next one; methods inside a class, which
+reach to the next method or the end of the class; test cases, which reach to the next one; and configuration
+files without any of these, as one module. ``sym_id`` is the file's id and the place in it, so it follows the
+discovery order and can end every ranking as the last tie-breaker. Statistics are those of one project, as every
+task is asked in one. Defined results: null texts have no symbols; repeated files are files of their own; file ids
+are below 2^32.
 """
 
 from __future__ import annotations
@@ -18,58 +20,79 @@ DECLARATION = r"(?m)^((?:export |default |async |abstract )*)(function|class|int
 MARK = "\u0001"
 #: Kinds by the declaring word.
 KINDS = {"function": "function", "def": "function", "class": "class", "interface": "interface", "enum": "enum", "type": "type", "const": "variable"}
-SYMBOLS_PER_FILE = 100_000
+#: Methods of a class and the words that only look like one.
+MEMBER = r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract|def) +)*(#?[A-Za-z_$][A-Za-z0-9_$]*)\([^()\n]*\)[^;{}()\n]*(?:\{[^\n]*|:[ \t\r]*)\n"
+NO_MEMBERS = ["if", "for", "while", "switch", "catch", "with", "function", "return", "super"]
+TEST_CASE = r"""(?m)^[ \t]*(?:it|test)(?:\.[a-z]+)*(?:\([^()\n]*\))?\([ ]*["'`]([^"'`\n]+)["'`]"""
+#: Bits of a symbol's id that hold its place in the file.
+PLACE_BITS = 31
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """One row per declaration of ``files(file_id, project, relative, text)``.
+def _cut(rows: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
+    """One row per match of a line pattern: the kept columns, ``chunk`` (to the next match or the end) and ``at``."""
+    parts = F.split(F.regexp_replace(text, pattern, MARK + "$0"), MARK)
+    cut = rows.select(*keep, parts.alias("_parts")).select(*keep, "_parts", F.posexplode("_parts").alias("ord", "chunk")).where("ord > 0")
+    at = F.aggregate(F.slice("_parts", F.lit(1), F.col("ord")), F.lit(0), lambda a, x: a + F.length(x))
+    return cut.select(*keep, "chunk", at.alias("at"))
 
-    ``body`` is what the index reads of it, ``source_text`` the whole declaration.
-    """
-    parts = F.split(F.regexp_replace("text", DECLARATION, MARK + "$0"), MARK)
-    chunks = (
-        files.where("text is not null")
-        .select("file_id", "project", "relative", parts.alias("_parts"))
-        .select("file_id", "project", F.col("relative").alias("file"), "_parts", F.posexplode("_parts").alias("ord", "chunk"))
-        .where("ord > 0")
-    )
-    before = F.aggregate(F.slice("_parts", F.lit(1), F.col("ord")), F.lit(0), lambda a, x: a + F.length(x))
+
+def _signature(chunk: str = "chunk") -> F.Column:
+    first = F.element_at(F.split(chunk, "\r?\n"), 1)
+    return F.trim(F.regexp_replace(first, r"[ ]*[{:]?[ ]*$", ""))
+
+
+def _as_symbols(found: DataFrame, symbol: F.Column, kind: F.Column, signature: F.Column) -> DataFrame:
+    return found.select(
+        "file_id", "project", "file", symbol.alias("symbol"), kind.alias("kind"), F.col("at").alias("start"), (F.col("at") + F.length("chunk")).alias("end"),
+        signature.alias("signature"), F.col("chunk").alias("source_text"),
+    )
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    place = ("file_id", "project", "file")
+    chunks = _cut(files.where("text is not null").withColumn("file", F.col("relative")), "text", DECLARATION, *place)
     word = F.regexp_extract("chunk", DECLARATION, 2)
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[word]
     first = F.element_at(F.split("chunk", "\r?\n"), 1)
-    signature = F.when(word == "const", F.element_at(F.split(first, "=", 2), 1)).otherwise(F.regexp_replace(first, r"[ ]*[{:]?[ ]*$", ""))
-    return chunks.select(
-        (F.col("file_id") * SYMBOLS_PER_FILE + F.col("ord")).alias("sym_id"),
-        "file_id",
-        "project",
-        "file",
-        F.regexp_extract("chunk", DECLARATION, 3).alias("symbol"),
-        kind.alias("kind"),
-        before.alias("start"),
-        (before + F.length("chunk")).alias("end"),
-        F.trim(signature).alias("signature"),
-        F.substring("chunk", 1, C.BODY_CHARS).alias("body"),
-        F.col("chunk").alias("source_text"),
-    )
+    signature = F.when(word == "const", F.trim(F.element_at(F.split(first, "=", 2), 1))).otherwise(_signature())
+    return _as_symbols(chunks, F.regexp_extract("chunk", DECLARATION, 3), kind, signature)
 
 
-TEST_CASE = r"""(?m)^[ \t]*(?:it|test)(?:\.[a-z]+)*(?:\([^()\n]*\))?\([ ]*["'`]([^"'`\n]+)["'`]"""
+def members(declared: DataFrame) -> DataFrame:
+    """The methods of the classes among ``declared``."""
+    classes = declared.where("kind = 'class'").withColumnRenamed("start", "_class")
+    found = _cut(classes, "source_text", MEMBER, "file_id", "project", "file", "_class").withColumn("at", F.col("_class") + F.col("at"))
+    name = F.regexp_extract("chunk", MEMBER, 1)
+    return _as_symbols(found.where(~name.isin(NO_MEMBERS)), name, F.lit("method"), _signature())
 
 
 def test_cases(files: DataFrame) -> DataFrame:
-    """(file_id, project, file, ord, symbol, kind): titles of test calls, kind ``test``, at most 240 characters."""
-    titles = F.posexplode(F.regexp_extract_all("text", F.lit(TEST_CASE), F.lit(1)))
-    found = files.where("text is not null").select("file_id", "project", F.col("relative").alias("file"), titles.alias("ord", "title"))
-    symbol = F.substring(F.trim("title"), 1, 240)
-    return found.select("file_id", "project", "file", "ord", symbol.alias("symbol"), F.lit("test").alias("kind")).where("symbol <> ''")
+    """Test calls by their titles, of at most 240 characters."""
+    found = _cut(files.where("text is not null").withColumn("file", F.col("relative")), "text", TEST_CASE, "file_id", "project", "file")
+    title = F.substring(F.trim(F.regexp_extract("chunk", TEST_CASE, 1)), 1, 240)
+    return _as_symbols(found, title, F.lit("test"), _signature()).where("symbol <> ''")
 
 
-def config_modules(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(file_id, project, file, symbol, kind): configuration files without symbols stand for one module of their name."""
+def config_modules(files: DataFrame) -> DataFrame:
+    """Configuration files without declarations and test cases stand for one module of their name."""
     configs = files.where("text is not null").where(F.col("relative").rlike(X.CONFIG_NAME))
-    bare = configs.join(found.select("file_id").distinct(), "file_id", "left_anti")
+    bare = configs.where(~F.col("text").rlike(DECLARATION) & ~F.col("text").rlike(TEST_CASE))
     name = F.element_at(F.split("relative", "/"), -1)
-    return bare.select("file_id", "project", F.col("relative").alias("file"), name.alias("symbol"), F.lit("module").alias("kind"))
+    whole = bare.select("file_id", "project", F.col("relative").alias("file"), F.col("text").alias("chunk"), F.lit(0).alias("at"), name.alias("_name"))
+    return _as_symbols(whole, F.col("_name"), F.lit("module"), F.col("_name"))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """One row per symbol of ``files(file_id, project, relative, text)``.
+
+    ``body`` is what the index reads of it, ``source_text`` the whole symbol.
+    """
+    declared = declarations(files)
+    found = declared.unionByName(members(declared)).unionByName(test_cases(files)).unionByName(config_modules(files))
+    most = F.when(F.col("kind").isin("test", "module"), C.TEST_BODY_CHARS).otherwise(C.BODY_CHARS)
+    body = F.substring(F.col("source_text"), F.lit(1), most.cast("int"))
+    sym_id = F.call_function("shiftleft", F.col("file_id").cast("bigint"), F.lit(PLACE_BITS)) + F.col("start")
+    return found.select(sym_id.alias("sym_id"), *found.columns[:8], body.alias("body"), "source_text")
 
 
 def fields(found: DataFrame) -> DataFrame:
@@ -77,6 +100,7 @@ def fields(found: DataFrame) -> DataFrame:
     return found.select(
         "sym_id",
         "file_id",
+        "project",
         X.tokenize(F.col("symbol")).alias("name"),
         X.tokenize(F.col("file")).alias("path"),
         X.tokenize(F.col("signature")).alias("signature"),
@@ -84,32 +108,24 @@ def fields(found: DataFrame) -> DataFrame:
     )
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, sym_id, file_id, field, doc_len); a term occurs once in a field, so there is no count."""
-    each = [F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in C.FIELD_WEIGHTS]
-    fielded = tokens.select("sym_id", "file_id", F.explode(F.array(*each)).alias("f"))
-    return fielded.select(
-        F.explode("f.tokens").alias("term"), "sym_id", "file_id", "f.field", F.size("f.tokens").alias("doc_len")
-    )
-
-
 def _bag() -> F.Column:
     return F.concat("name", "path", "signature", F.slice("body", 1, C.BAG_BODY_TOKENS))
 
 
 def doc_freq(tokens: DataFrame) -> DataFrame:
-    """(term, df): symbols whose bag (all fields, the body up to its 80th token) holds the term."""
-    return tokens.select(F.explode(F.array_distinct(_bag())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(project, term, df): symbols of the project whose bag (all fields, the body up to its 80th token) holds the term."""
+    return tokens.select("project", F.explode(F.array_distinct(_bag())).alias("term")).groupBy("project", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row (n, avgdl); the name counts twice in the length of a bag."""
+    """(project, n, avgdl); the name counts twice in the length of a bag."""
     length = F.size("name") + F.size(_bag())
-    count = F.greatest(F.count(F.lit(1)), F.lit(1))
-    return tokens.groupBy().agg(count.alias("n"), (F.sum(F.greatest(length, F.lit(1))) / count).alias("avgdl"))
+    count = F.count(F.lit(1))
+    return tokens.groupBy("project").agg(count.alias("n"), (F.sum(F.greatest(length, F.lit(1))) / count).alias("avgdl"))
 
 
-IMPORT_LINE = r"""(?m)^import\s[^'"\n]*['"]([^'"\n]+)['"]"""
+#: The names between braces may stand on several lines.
+IMPORT_LINE = r"""(?m)^import\s[^'"\n{]*(?:\{[^{}'"]*\}[^'"\n]*)?['"]([^'"\n]+)['"]"""
 CALL = r"([A-Za-z_$][A-Za-z0-9_$]*)\("
 
 

@@ -1,12 +1,16 @@
 """Ranking symbols for many tasks in one plan: fielded BM25, bonuses, priors, promotion, confidence.
 
-All per-term work is an equi-join: index tokens with query terms, substrings of names with query
-terms. Tasks and their terms are a small side that is joined, never looped over. Ties end in
-``sym_id``, so results do not depend on the partitioning.
+Every task is asked in one project, whose statistics count. What a term adds to a symbol does not depend on the
+task: index tokens meet the query terms of their project first, and the narrow weights that are left are joined
+with the tasks and added up, so nothing is done for symbols or terms that no task asks for. Priors follow the
+sums. Tasks are broadcast in blocks of TASK_BLOCK. Ties end in ``sym_id``, so results do not depend on the
+partitioning.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,16 +19,21 @@ from sieveline.functions import constants as C
 from sieveline.functions import text as X
 
 MIN_SCORE, KEPT, PROMOTION_RATIO = 0.5, 20, 0.75
+#: Tasks of one block; with tasks of at most 20,000 characters it bounds what is broadcast.
+TASK_BLOCK = 1_000
 
 
 def tasks(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """task_id, task, lang, terms (array of structs), query (array), and the intents of each task."""
+    """task_id, project, task, lang, terms (array of structs), query (array), and the intents of each task.
+
+    ``items`` names the project that each task is asked in, see ``dealt`` for items that do not.
+    """
     terms = X.query_terms(F.col("task"))
     clause_terms = F.transform(X.query_terms(X.task_clause(F.col("task"))), lambda t: t["term"])
     query = F.col("query")
     return (
         items.where(F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("task_id"), F.col(text_col).alias("task"))
+        .select(F.col(id_col).alias("task_id"), "project", F.col(text_col).alias("task"))
         .withColumn("terms", terms)
         .withColumn("query", F.transform("terms", lambda t: t["term"]))
         .withColumn("lang", X.task_language(F.col("task")))
@@ -37,13 +46,18 @@ def tasks(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def task_terms(found: DataFrame) -> DataFrame:
-    """(task_id, term, concept), one row per query term."""
-    return found.select("task_id", F.explode("terms").alias("t")).select("task_id", "t.term", "t.concept")
+def dealt(items: DataFrame, id_col: str, projects: DataFrame) -> DataFrame:
+    """``items`` with a project each: items in the order of their id are dealt out to the projects in the order of their name."""
+    listed = projects.select("project").where("project is not null").distinct()
+    numbered = listed.select("project", (F.row_number().over(W.orderBy("project")) - 1).alias("_at"))
+    many = F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_many")
+    turns = items.withColumn("_n", F.row_number().over(W.orderBy(id_col)) - 1).crossJoin(F.broadcast(listed.agg(many)))
+    return turns.withColumn("_at", (F.col("_n") % F.col("_many")).cast("int")).join(numbered, "_at").drop("_at", "_n", "_many")
 
 
-def _idf(df, n):
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+def task_terms(found: DataFrame) -> DataFrame:
+    """(task_id, project, term, concept), one row per query term."""
+    return found.select("task_id", "project", F.explode("terms").alias("t")).select("task_id", "project", "t.term", "t.concept")
 
 
 def contained_terms(names: DataFrame, name_col: str, terms: DataFrame) -> DataFrame:
@@ -63,106 +77,76 @@ def contained_terms(names: DataFrame, name_col: str, terms: DataFrame) -> DataFr
     return pieces.join(terms.select("term").distinct(), "term").groupBy("name").agg(F.collect_list("term").alias("hits"))
 
 
-def _posting(field: str, tokens, length, bonus) -> F.Column:
-    return F.struct(F.lit(field).alias("field"), tokens.alias("tokens"), length.cast("int").alias("doc_len"), bonus.alias("bonus"))
-
-
-def prepared(symbols: DataFrame, tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per symbol with all that scoring needs: token lists, contained terms, and path priors.
-
-    ``group_id`` stands for the distinct (file, symbol) and ``twins`` counts its symbols; rows are
-    partitioned by it, so that neither scoring nor the choice among twins shuffles pairs of task and symbol.
-    """
-    lower = symbols.select(
-        "sym_id", "file", "symbol", "kind", "start", F.lower("symbol").alias("name"), X.base_name(F.col("file")).alias("base")
-    )
-    named = contained_terms(lower, "name", terms).select("name", F.col("hits").alias("name_hits"))
-    based = contained_terms(lower, "base", terms).select(F.col("name").alias("base"), F.col("hits").alias("base_hits"))
-    groups = symbols.groupBy("file", "symbol").agg(F.min("sym_id").alias("group_id"), F.count(F.lit(1)).alias("twins"))
+def prepared(symbols: DataFrame) -> DataFrame:
+    """sym_id, group_id, start and the priors of every symbol; ``group_id`` stands for the distinct (project, file, symbol)."""
+    twins = W.partitionBy("project", "file", "symbol")
     path = F.col("file")
     kind = F.when(F.col("kind").isin("function", "method", "class"), 0.4).when(F.col("kind").isin("interface", "type"), 0.2).otherwise(0.0)
-    return (
-        lower.join(named, "name", "left")
-        .join(based, "base", "left")
-        .join(groups, ["file", "symbol"])
-        .select(
-            "sym_id", "group_id", "twins", "start", "name", "base", "name_hits", "base_hits", kind.alias("kind_boost"),
-            X.static_path_prior(path, F.lit(True)).alias("prior_test"),
-            X.static_path_prior(path, F.lit(False)).alias("prior_plain"),
-            X.intent_path_prior(path, F.lit(False), F.lit(False), F.lit(False)).alias("sample_prior"),
-            X.intent_path_prior(path, F.lit(True), F.lit(True), F.lit(False)).alias("runtime_prior"),
-            X.intent_path_prior(path, F.lit(True), F.lit(False), F.lit(True)).alias("config_prior"),
-            X.is_test_path(path).alias("is_test"),
-        )
-        .join(tokens.select("sym_id", *[F.col(f).alias(f"t_{f}") for f in C.FIELD_WEIGHTS]), "sym_id")
-        .repartition("group_id")
+    return symbols.select(
+        "sym_id", F.min("sym_id").over(twins).alias("group_id"), "start", kind.alias("kind_boost"),
+        X.static_path_prior(path, F.lit(True)).alias("prior_test"),
+        X.static_path_prior(path, F.lit(False)).alias("prior_plain"),
+        X.intent_path_prior(path, F.lit(False), F.lit(False), F.lit(False)).alias("sample_prior"),
+        X.intent_path_prior(path, F.lit(True), F.lit(True), F.lit(False)).alias("runtime_prior"),
+        X.intent_path_prior(path, F.lit(True), F.lit(False), F.lit(True)).alias("config_prior"),
+        X.is_test_path(path).alias("is_test"),
     )
 
 
-def term_scores(ready: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """(task_id, term, concept, group_id, sym_id, field, score, ...): weighted BM25 of each query term in each field.
+def term_weights(symbols: DataFrame, tokens: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """(sym_id, project, term, bm25, in_path, exact, base): what each query term of a project adds to each symbol that has it.
 
-    The fields ``exact`` and ``base`` hold the terms that the symbol's and the file's name contain.
+    bm25 is the weighted sum over the fields; exact and base are the bonuses of a symbol's and a file's name
+    that equal or contain the term.
     """
-    none = F.array().cast("array<string>")
-    fields = [_posting(f, F.col(f"t_{f}"), F.size(f"t_{f}"), F.lit(False)) for f in C.FIELD_WEIGHTS]
-    fields += [_posting(f, F.coalesce(hits, none), F.lit(0), F.lit(True)) for f, hits in (("exact", F.col("name_hits")), ("base", F.col("base_hits")))]
-    rest = ["start", "kind_boost", "prior_test", "prior_plain", "sample_prior", "runtime_prior", "config_prior", "is_test"]
-    fielded = ready.select("sym_id", "group_id", "twins", "name", "base", *rest, F.explode(F.array(*fields)).alias("f"))
-    each = fielded.select("sym_id", "group_id", "twins", "name", "base", *rest, "f.field", "f.doc_len", F.explode("f.tokens").alias("term"))
-    weight = F.create_map(*[F.lit(x) for pair in C.FIELD_WEIGHTS.items() for x in pair])[F.col("field")]
-    length = F.col("doc_len") / F.greatest(F.col("avgdl"), F.lit(1.0))
-    bm25 = F.col("idf") * (C.K1 + 1) / (1 + C.K1 * (1 - C.B + C.B * length)) * weight
-    exact = F.when(F.col("name") == F.col("term"), 8.0).when(F.length("term") >= 3, 2.5).otherwise(0.0)
-    base = F.when(F.col("base") == F.col("term"), 10.0).otherwise(2.0)
-    value = F.when(F.col("field") == "exact", exact).when(F.col("field") == "base", base).otherwise(bm25)
-    known = (
-        terms.join(df.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"), "term", "left")
-        .crossJoin(F.broadcast(stats))
-        .select("task_id", "term", "concept", _idf(F.coalesce("df", F.lit(0)), F.col("n")).alias("idf"), "avgdl")
-    )
-    return each.join(F.broadcast(known), "term").select(
-        "task_id", "term", "concept", "group_id", "sym_id", "twins", "field", value.alias("score"), *rest
+    wanted = terms.select("project", "term").distinct()
+    stat = stats.select("project", "avgdl")
+    sized = tokens.join(stat, "project")
+
+    def gain(field: str) -> F.Column:
+        length = F.size(field) / F.greatest(F.col("avgdl"), F.lit(1.0))
+        return (C.K1 + 1) / (1 + C.K1 * (1 - C.B + C.B * length)) * C.FIELD_WEIGHTS[field]
+
+    def postings(field: str) -> F.Column:
+        return F.transform(field, lambda t: F.struct(t.alias("term"), gain(field).alias("gain"), F.lit(field == "path").alias("in_path")))
+
+    each = [postings(field) for field in C.FIELD_WEIGHTS]
+    posted = sized.select("sym_id", "project", F.explode(F.concat(*each)).alias("p")).select("sym_id", "project", "p.*")
+    idf = df.join(stats.select("project", "n"), "project").select("project", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = wanted.join(idf, ["project", "term"], "left").join(stats.select("project", "n"), "project")
+    asked = asked.select("project", "term", F.coalesce("idf", F.log(1 + (F.col("n") + 0.5) / 0.5)).alias("idf"))
+    indexed = posted.join(F.broadcast(asked), ["project", "term"]).select(
+        "sym_id", "project", "term", (F.col("gain") * F.col("idf")).alias("bm25"), F.col("in_path").cast("int").alias("in_path"), F.lit(0.0).alias("exact"), F.lit(0.0).alias("base")
     )
-
-
-def sums(scored: DataFrame, most_concepts: int) -> DataFrame:
-    """Per task and symbol: lexical score, bonus of the file name, path hits, concepts, and the symbol's priors.
-
-    Distinct concepts are bits of as many words as the largest task needs, which keeps the aggregation in
-    fixed-width buffers.
-    """
-    indexed = ~F.col("field").isin("exact", "base")
+    named = symbols.select("sym_id", "project", F.lower("symbol").alias("name"), X.base_name(F.col("file")).alias("base_name"))
+    zero = [F.lit(0.0).alias("bm25"), F.lit(0).alias("in_path")]
+    value = F.when(F.col("name") == F.col("term"), 8.0).when(F.length("term") >= 3, 2.5).otherwise(0.0)
+    hits = contained_terms(named, "name", terms).select("name", F.explode("hits").alias("term"))
+    exact = named.join(hits, "name").select("sym_id", "project", "term", *zero, value.alias("exact"), F.lit(0.0).alias("base"))
+    value = F.when(F.col("base_name") == F.col("term"), 10.0).otherwise(2.0)
+    hits = contained_terms(named, "base_name", terms).select(F.col("name").alias("base_name"), F.explode("hits").alias("term"))
+    base = named.join(hits, "base_name").select("sym_id", "project", "term", *zero, F.lit(0.0).alias("exact"), value.alias("base"))
+    return indexed.unionByName(exact).unionByName(base)
+
+
+def _block_scores(found: DataFrame, symbols: DataFrame, tokens: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    terms = task_terms(found)
+    most = found.select(F.max(F.array_max(F.transform("terms", lambda t: t["concept"])))).first()[0] or 0
+    weights = term_weights(symbols, tokens, df, stats, terms)
+    indexed = F.col("bm25") > 0
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("concept"), F.lit(62)).cast("int"))
     masks = [
         F.bit_or(F.when(indexed & (F.floor(F.col("concept") / 62) == w), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}")
-        for w in range(most_concepts // 62 + 1)
+        for w in range(most // 62 + 1)
     ]
-    rest = ["twins", "start", "kind_boost", "prior_test", "prior_plain", "sample_prior", "runtime_prior", "config_prior", "is_test"]
-    grouped = scored.groupBy("task_id", "group_id", "sym_id").agg(
-        F.sum(F.when(indexed, F.col("score")).otherwise(0.0)).alias("bm25"),
-        F.sum(F.when(F.col("field") == "exact", F.col("score")).otherwise(0.0)).alias("exact"),
-        F.sum(F.when(F.col("field") == "base", F.col("score")).otherwise(0.0)).alias("base_bonus"),
-        F.count_if(F.col("field") == "path").alias("path_hits"),
-        *masks,
-        *[F.max(c).alias(c) for c in rest],
+    summed = (
+        weights.repartition("sym_id")
+        .join(F.broadcast(terms), ["project", "term"])
+        .groupBy("task_id", "sym_id")
+        .agg(F.sum("bm25").alias("bm25"), F.sum("exact").alias("exact"), F.sum("base").alias("base_bonus"), F.sum("in_path").alias("path_hits"), *masks)
     )
-    concepts = sum((F.bit_count(f"m{w}") for w in range(most_concepts // 62 + 1)), F.lit(0))
-    return grouped.withColumn("concepts", concepts).withColumn("lexical", F.col("bm25") + F.col("exact"))
-
-
-def scores(found: DataFrame, symbols: DataFrame, tokens: DataFrame, df: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(task_id, group_id, sym_id, twins, bm25, concepts, path_hits, lexical, score) of every lexical match.
-
-    ``only`` (sym_id) restricts the symbols. Tasks and their terms are broadcast: they are a query set, and
-    a larger one is given in several calls.
-    """
-    terms = task_terms(found)
-    ready = prepared(symbols, tokens, terms)
-    if only is not None:
-        ready = ready.join(only.select("sym_id").distinct(), "sym_id", "left_semi")
-    most = found.select(F.max(F.array_max(F.transform("terms", lambda t: t["concept"])))).first()[0] or 0
-    hits = sums(term_scores(ready, df, stats, terms), most).where("lexical > 0")
+    concepts = sum((F.bit_count(f"m{w}") for w in range(most // 62 + 1)), F.lit(0))
+    hits = summed.withColumn("concepts", concepts).withColumn("lexical", F.col("bm25") + F.col("exact")).where("lexical > 0")
     intents = found.select("task_id", "test_intent", "sample_intent", "runtime_intent", "config_intent")
     prior = (
         F.when(F.col("test_intent"), F.col("prior_test")).otherwise(F.col("prior_plain"))
@@ -175,13 +159,32 @@ def scores(found: DataFrame, symbols: DataFrame, tokens: DataFrame, df: DataFram
     total = F.col("lexical") + 5.0 * F.least(F.lit(8), F.col("concepts")) + prior + F.col("kind_boost")
     demoted = F.col("is_test") & ~F.col("test_intent")
     score = F.round(F.when(demoted, total * 0.75).otherwise(total), 6)
-    return hits.join(F.broadcast(intents), "task_id").select(
-        "task_id", "group_id", "sym_id", "twins", "start", "bm25", "concepts", "path_hits", "lexical", score.alias("score")
+    return (
+        hits.join(prepared(symbols), "sym_id")
+        .join(F.broadcast(intents), "task_id")
+        .select("task_id", "group_id", "sym_id", "start", "bm25", "concepts", "path_hits", "lexical", score.alias("score"))
     )
 
 
+def scores(found: DataFrame, symbols: DataFrame, tokens: DataFrame, df: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(task_id, group_id, sym_id, start, bm25, concepts, path_hits, lexical, score) of every lexical match in the task's project.
+
+    ``only`` (sym_id) restricts the symbols; twins are those among them. Tasks are a query set: more than TASK_BLOCK
+    of them are worked off in blocks, each broadcast by itself.
+    """
+    if only is not None:
+        some = only.select("sym_id").distinct()
+        symbols, tokens = symbols.join(some, "sym_id", "left_semi"), tokens.join(some, "sym_id", "left_semi")
+    many = found.count()
+    if many <= TASK_BLOCK:
+        return _block_scores(found, symbols, tokens, df, stats)
+    numbered = found.withColumn("_block", F.floor((F.row_number().over(W.orderBy("task_id")) - 1) / TASK_BLOCK))
+    blocks = [numbered.where(F.col("_block") == b).drop("_block") for b in range((many + TASK_BLOCK - 1) // TASK_BLOCK)]
+    return reduce(DataFrame.unionByName, [_block_scores(block, symbols, tokens, df, stats) for block in blocks])
+
+
 def rank(scored: DataFrame, symbols: DataFrame, kept: int = KEPT) -> DataFrame:
-    """The best ``kept`` distinct (file, symbol) of each task, as ``pos`` from 1.
+    """The best ``kept`` distinct (file, symbol) of each task in its project, as ``pos`` from 1.
 
     Twins are settled where they are. Then every partition passes on its own best ``kept`` of each task
     (with ties), and only those few meet the names that order ties.
@@ -224,7 +227,6 @@ def promote(ranked: DataFrame, found: DataFrame, imports: DataFrame) -> DataFram
 def confidence(ranked: DataFrame, found: DataFrame, tokens: DataFrame, truncated: bool = False) -> DataFrame:
     """task_id, n_direct, top, margin, coverage, confidence, reasons over the best eight of each task."""
     direct = ranked.where("pos <= 8").join(tokens.select("sym_id", "name", "path"), "sym_id")
-    order = F.struct("pos", "score")
     near = F.when(F.col("pos") <= 5, F.concat("name", "path")).otherwise(F.array().cast("array<string>"))
     seen = direct.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_direct"),
@@ -233,7 +235,6 @@ def confidence(ranked: DataFrame, found: DataFrame, tokens: DataFrame, truncated
         F.array_distinct(F.flatten(F.collect_list(near))).alias("covered"),
         F.collect_list(F.lower(F.concat_ws(" ", "symbol", "file"))).alias("texts"),
     )
-    del order
     all_tasks = found.select("task_id", "query").join(seen, "task_id", "left")
     hit = F.filter(
         "query", lambda q: F.array_contains("covered", q) | F.exists("texts", lambda t: t.contains(q))

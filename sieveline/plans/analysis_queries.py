@@ -121,9 +121,9 @@ def k_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval quality: the files that declare an identifier which the task mentions are the truth."""
     c = Q.Corpus(spark, sf_dir)
-    mentioned = c.tasks.select("task_id", F.explode(F.array_distinct(F.regexp_extract_all("task", F.lit("([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))).alias("symbol"))
-    declared = c.symbols.select("symbol", "file").distinct()
-    truth = mentioned.where(F.col("symbol").rlike("[a-z][A-Z]")).join(declared, "symbol").select("task_id", "file").distinct()
+    mentioned = c.tasks.select("task_id", "project", F.explode(F.array_distinct(F.regexp_extract_all("task", F.lit("([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))).alias("symbol"))
+    declared = c.symbols.select("project", "symbol", "file").distinct()
+    truth = mentioned.where(F.col("symbol").rlike("[a-z][A-Z]")).join(declared, ["project", "symbol"]).select("task_id", "file").distinct()
     return R.retrieval_metrics(c.ranked(), checkpointed(truth))
 
 
@@ -175,7 +175,7 @@ def _operations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     turn = F.col("sym_id") % 4
     operation = F.when(turn == 0, "replace_symbol").when(turn == 1, "delete_symbol").when(turn == 2, "insert_before_symbol").otherwise("insert_after_symbol")
     content = F.concat(F.lit("// "), F.col("signature"), F.lit("\n"))
-    listed = found.where("sym_id % 3 <> 0").select(
+    listed = found.select(
         F.col("sym_id").alias("op_id"), "file_id", "symbol", operation.alias("operation"), content.alias("content"), F.lit(None).cast("string").alias("content_hash")
     )
     return listed, found, files
@@ -341,7 +341,7 @@ _LEVELS = """levels AS (
 _DIRECT = "direct_syms AS (SELECT p.* FROM promoted p JOIN chosen c USING (task_id) WHERE p.pos <= c.direct)"
 _TYPES = """type_deps AS (
   SELECT DISTINCT w.task_id, s.sym_id FROM (
-    SELECT DISTINCT d.task_id, d.project, unnest(string_split_regex(s.body, '[^A-Za-z0-9_$]+')) AS symbol FROM direct_syms d JOIN symbols s USING (sym_id)) w
+    SELECT DISTINCT d.task_id, d.project, unnest(string_split_regex(s.source_text, '[^A-Za-z0-9_$]+')) AS symbol FROM direct_syms d JOIN symbols s USING (sym_id)) w
   JOIN symbols s ON s.project = w.project AND s.symbol = w.symbol WHERE s.kind IN ('interface', 'type', 'enum', 'class') AND w.symbol <> ''
 )"""
 _EDGES = """edges AS (
@@ -371,7 +371,7 @@ _TO_NEAR = (*_TO_DIRECT, Q._CALLEES, _EDGES, _TYPES, _NEAR)
 
 _OPERATIONS = """ops AS (
   SELECT sym_id AS op_id, file_id, symbol, ['replace_symbol', 'delete_symbol', 'insert_before_symbol', 'insert_after_symbol'][(sym_id % 4 + 1)::INT] AS operation,
-    '// ' || signature || chr(10) AS content FROM symbols WHERE sym_id % 3 <> 0
+    '// ' || signature || chr(10) AS content FROM symbols
 ), place AS (SELECT file_id, symbol, count(*) AS matches, min(start) AS s, min("end") AS e FROM symbols GROUP BY ALL
 ), resolved AS (
   SELECT o.op_id, o.file_id, o.operation, CASE WHEN o.operation = 'insert_after_symbol' THEN p.e ELSE p.s END AS start,
@@ -389,7 +389,7 @@ _OPERATIONS = """ops AS (
 
 _CALLS = "calls AS (SELECT event_id, ts, event_type AS tool, value, coalesce((props->>'k')::INT, 0) >= 90 AS is_error FROM events)"
 _MEAN = "length({p}) / (length({p}) - length(replace({p}, chr(10), '')) + 1)"
-_BUNDLE = "(strlen(text) >= 2000 AND (" + _MEAN.format(p="text[1:65536]") + " > 200 OR " + _MEAN.format(p="text[greatest(1, floor(length(text) / 2) - 32768)::INT:greatest(1, floor(length(text) / 2) - 32768)::INT + 65535]") + " > 200))"
+_BUNDLE = "(strlen(text) >= 20000 AND (" + _MEAN.format(p="text[1:65536]") + " > 400 OR " + _MEAN.format(p="text[greatest(1, floor(length(text) / 2) - 32768)::INT:greatest(1, floor(length(text) / 2) - 32768)::INT + 65535]") + " > 400))"
 
 ORACLE_SQL = {
     "s2_scan_filters": f"""SELECT file_id, regexp_matches(relative, '\\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$') OR regexp_matches(relative, '{S.CONFIG_NAME}') AS is_source,
@@ -419,8 +419,8 @@ FROM indexed_file WHERE text IS NOT NULL""",
     "e1_lookup": S.with_(
         S.SYMBOLS.strip(),
         Q._CALLEES,
-        select="""SELECT project, name, rank, matches, sym_id, CASE WHEN matches = 1 THEN 0.95 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN matches = 1 THEN length(body) END AS source_chars FROM (
-  SELECT n.project, n.name, s.sym_id, s.body, count(*) OVER (PARTITION BY n.project, n.name) AS matches, row_number() OVER (PARTITION BY n.project, n.name ORDER BY s.sym_id) AS rank
+        select="""SELECT project, name, rank, matches, sym_id, CASE WHEN matches = 1 THEN 0.95 ELSE 0.65 END::DOUBLE AS confidence, CASE WHEN matches = 1 THEN length(source_text) END AS source_chars FROM (
+  SELECT n.project, n.name, s.sym_id, s.source_text, count(*) OVER (PARTITION BY n.project, n.name) AS matches, row_number() OVER (PARTITION BY n.project, n.name ORDER BY s.sym_id) AS rank
   FROM (SELECT DISTINCT project, name FROM callees) n JOIN symbols s ON s.project = n.project AND s.symbol = string_split_regex(n.name, '[.#]')[-1]) WHERE rank <= 8""",
     ),
     "e4_references": """SELECT ref, count(*) AS records, min(evidence_id) AS first_id FROM (
@@ -465,9 +465,6 @@ SELECT evidence_id, prev_id, k::INT AS "offset", (length(before) - k - m)::INT A
   SELECT w.task_id, w.wanted, j.returned, j.hits, j.first FROM (SELECT task_id, count(*) AS wanted FROM truth GROUP BY task_id) w LEFT JOIN (
     SELECT task_id, count(*) AS returned, count(r) AS hits, max(CASE WHEN pos = 1 THEN r END) AS first FROM (
       SELECT a.task_id, a.file, a.pos, CASE WHEN t.file IS NOT NULL THEN 1 END AS r FROM (SELECT task_id, file, min(pos) AS pos FROM ranked GROUP BY ALL) a LEFT JOIN truth t USING (task_id, file)) GROUP BY task_id) j USING (task_id))""",
-    ).replace(
-        "SELECT count(*) AS tasks, round(count(first)",
-        "SELECT count(*) AS tasks, round(count(first)",
     ),
     "r4_totals": f"SELECT record_id, {_TOTAL} AS total_tokens FROM evaluation_run",
     "r5_compare": S.with_(_CASES, select="SELECT * FROM cases"),
@@ -498,8 +495,8 @@ WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - IN
     ),
 }
 _TRUTH = """truth AS (
-  SELECT DISTINCT m.task_id, s.file FROM (SELECT DISTINCT task_id, unnest(regexp_extract_all(task, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS symbol FROM tasks) m
-  JOIN symbols s USING (symbol) WHERE regexp_matches(m.symbol, '[a-z][A-Z]')
+  SELECT DISTINCT m.task_id, s.file FROM (SELECT DISTINCT task_id, project, unnest(regexp_extract_all(task, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS symbol FROM tasks) m
+  JOIN symbols s USING (project, symbol) WHERE regexp_matches(m.symbol, '[a-z][A-Z]')
 )"""
 ORACLE_SQL["r1_metrics"] = S.with_(
     *Q._BASE,

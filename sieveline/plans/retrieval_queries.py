@@ -19,13 +19,14 @@ class Corpus:
         self.files = spread_if_narrow(read_table(spark, sf_dir, "indexed_file").select("file_id", "project", "relative", "text"))
         self.symbols = checkpointed(I.symbols(self.files))
         self.tokens = checkpointed(I.fields(self.symbols))
-        self.tasks = checkpointed(R.tasks(read_table(spark, sf_dir, "eval_item"), "item_id", "text"))
+        self.tasks = checkpointed(_tasks(spark, sf_dir))
+        self.df, self.stats = checkpointed(I.doc_freq(self.tokens)), checkpointed(I.corpus_stats(self.tokens))
 
     def scores(self) -> DataFrame:
-        return R.scores(self.tasks, self.symbols, self.tokens, I.doc_freq(self.tokens), I.corpus_stats(self.tokens))
+        return R.scores(self.tasks, self.symbols, self.tokens, self.df, self.stats)
 
     def scores_of(self, some: DataFrame) -> DataFrame:
-        return R.scores(self.tasks, self.symbols, self.tokens, I.doc_freq(self.tokens), I.corpus_stats(self.tokens), some)
+        return R.scores(self.tasks, self.symbols, self.tokens, self.df, self.stats, some)
 
     def ranked(self) -> DataFrame:
         return R.rank(self.scores(), self.symbols)
@@ -43,7 +44,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tasks(read_table(spark, sf_dir, "eval_item"), "item_id", "text")
+    """The evaluation texts as tasks, dealt out to the projects of the index."""
+    return R.tasks(R.dealt(read_table(spark, sf_dir, "eval_item"), "item_id", read_table(spark, sf_dir, "indexed_file")), "item_id", "text")
 
 
 def x1_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def a1_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.corpus_stats(_tokens(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return I.corpus_stats(_tokens(spark, sf_dir)).select("project", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def a4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def a11_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_p3_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.task_terms(_tasks(spark, sf_dir))
+    return R.task_terms(_tasks(spark, sf_dir)).select("task_id", "term", "concept")
 
 
 def fn_p6_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +141,7 @@ QUERIES = {
 _BASE = (S.SYMBOLS.strip(), S.TOKENS.strip(), S.TASKS.strip(), S.SCORES.strip())
 
 _SPECIFIERS = """specifiers AS (
-  SELECT DISTINCT file_id, project, relative AS file, unnest(regexp_extract_all(text, '(?m)^import\\s[^''"\\n]*[''"]([^''"\\n]+)[''"]', 1)) AS specifier
+  SELECT DISTINCT file_id, project, relative AS file, unnest(regexp_extract_all(text, '(?m)^import\\s[^''"\\n{]*(?:\\{[^{}''"]*\\}[^''"\\n]*)?[''"]([^''"\\n]+)[''"]', 1)) AS specifier
   FROM indexed_file WHERE text IS NOT NULL
 )"""
 _CALLEES = """callees AS (
@@ -226,8 +228,8 @@ SELECT project, sha256(string_agg(part, chr(10) ORDER BY part)) AS snapshot FROM
 SELECT project, src, dst, 'import' AS kind FROM imports UNION ALL SELECT project, dst, src, 'imported_by' FROM imports
 UNION ALL SELECT DISTINCT c.project, c.file, s.file, 'call' FROM callees c JOIN symbols s ON s.project = c.project AND s.symbol = c.name WHERE c.file <> s.file""",
     ),
-    "a1_doc_freq": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT term, df FROM doc_freq"),
-    "a2_corpus_stats": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT n, round(avgdl, 6) AS avgdl FROM stats"),
+    "a1_doc_freq": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT project, term, df FROM doc_freq"),
+    "a2_corpus_stats": S.with_(S.SYMBOLS.strip(), S.TOKENS.strip(), select="SELECT project, n, round(avgdl, 6) AS avgdl FROM stats"),
     "a4_bm25": S.with_(*_BASE, select="SELECT task_id, sym_id, round(bm25, 6) AS bm25, concepts::INT AS concepts, path_hits FROM bm25 WHERE bm25 > 0"),
     "a10_scores": S.with_(*_BASE, select="SELECT task_id, sym_id, round(lexical, 6) AS lexical, score FROM scores"),
     "a11_confidence": S.with_(*_BASE, S.RANKED.strip(), CONFIDENCE, select="SELECT * FROM confidence"),

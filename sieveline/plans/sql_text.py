@@ -56,39 +56,57 @@ CONFIG_NAME = "(^|/)(package\\.json|(ts|js)config(\\.[^./]+)?\\.json|[a-z0-9_-]+
 #: Declarations, as in operators.index; no look-around, so that both engines read it alike.
 DECLARATION = "(?m)^((?:export |default |async |abstract )*)(function|class|interface|enum|type|const|def) +([A-Za-z_$][A-Za-z0-9_$]*)"
 
+MEMBER = "(?m)^[ \\t]+(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract|def) +)*(#?[A-Za-z_$][A-Za-z0-9_$]*)\\([^()\\n]*\\)[^;{}()\\n]*(?:\\{[^\\n]*|:[ \\t\\r]*)\\n"
+TEST_CASE = "(?m)^[ \\t]*(?:it|test)(?:\\.[a-z]+)*(?:\\([^()\\n]*\\))?\\([ ]*[\"''`]([^\"''`\\n]+)[\"''`]"
+
+
+def cut(name: str, source: str, text: str, pattern: str, keep: str) -> str:
+    """CTE name: one row per match of a line pattern, with its chunk and the characters before it."""
+    return f"""{name} AS (
+  SELECT {keep}, parts[i + 1] AS chunk, coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0)::INT AS begins FROM (
+    SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT *, string_split(regexp_replace({text}, '{pattern}', chr(1) || '\\0', 'g'), chr(1)) AS parts FROM {source}))
+)"""
+
+
+_FIRST = "regexp_replace(string_split(chunk, chr(10))[1], '\\r$', '')"
+_SIGNATURE = f"trim(regexp_replace({_FIRST}, '[ ]*[{{:]?[ ]*$', ''))"
+
 SYMBOLS = f"""
-parts AS (
-  SELECT file_id, project, relative AS file, string_split(regexp_replace(text, '{DECLARATION}', chr(1) || '\\0', 'g'), chr(1)) AS parts
-  FROM indexed_file WHERE text IS NOT NULL
-), chunks AS (
-  SELECT file_id, project, file, parts, i AS ord, parts[i + 1] AS chunk
-  FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM parts)
-), symbols AS (
-  SELECT file_id * 100000 + ord AS sym_id, file_id, project, file, regexp_extract(chunk, '{DECLARATION}', 3) AS symbol,
+source_files AS (SELECT file_id, project, relative AS file, text FROM indexed_file WHERE text IS NOT NULL
+), {cut('declared_at', 'source_files', 'text', DECLARATION, 'file_id, project, file')}, declared AS (
+  SELECT file_id, project, file, regexp_extract(chunk, '{DECLARATION}', 3) AS symbol,
     CASE regexp_extract(chunk, '{DECLARATION}', 2) WHEN 'function' THEN 'function' WHEN 'def' THEN 'function' WHEN 'const' THEN 'variable'
-      ELSE regexp_extract(chunk, '{DECLARATION}', 2) END AS kind,
-    coalesce(list_sum(list_transform(parts[1:ord], lambda x: length(x))), 0)::INT AS start,
-    (coalesce(list_sum(list_transform(parts[1:ord], lambda x: length(x))), 0) + length(chunk))::INT AS "end",
-    trim(CASE WHEN regexp_extract(chunk, '{DECLARATION}', 2) = 'const' THEN string_split(regexp_replace(string_split(chunk, chr(10))[1], '\\r$', ''), '=')[1]
-      ELSE regexp_replace(regexp_replace(string_split(chunk, chr(10))[1], '\\r$', ''), '[ ]*[{{:]?[ ]*$', '') END) AS signature,
-    chunk[1:{C.BODY_CHARS}] AS body
-  FROM chunks
+      ELSE regexp_extract(chunk, '{DECLARATION}', 2) END AS kind, begins, chunk,
+    CASE WHEN regexp_extract(chunk, '{DECLARATION}', 2) = 'const' THEN trim(string_split({_FIRST}, '=')[1]) ELSE {_SIGNATURE} END AS signature
+  FROM declared_at
+), classes AS (SELECT file_id, project, file, begins AS class_at, chunk AS class_text FROM declared WHERE kind = 'class'
+), {cut('member_at', 'classes', 'class_text', MEMBER, 'file_id, project, file, class_at')}, {cut('test_at', 'source_files', 'text', TEST_CASE, 'file_id, project, file')}, found_symbols AS (
+  SELECT * FROM declared
+  UNION ALL SELECT file_id, project, file, regexp_extract(chunk, '{MEMBER}', 1), 'method', class_at + begins, chunk, {_SIGNATURE} FROM member_at
+    WHERE NOT list_contains(['if', 'for', 'while', 'switch', 'catch', 'with', 'function', 'return', 'super'], regexp_extract(chunk, '{MEMBER}', 1))
+  UNION ALL SELECT * FROM (SELECT file_id, project, file, trim(regexp_extract(chunk, '{TEST_CASE}', 1))[1:240] AS symbol, 'test', begins, chunk, {_SIGNATURE} FROM test_at) WHERE symbol <> ''
+  UNION ALL SELECT file_id, project, file, string_split(file, '/')[-1], 'module', 0, text, string_split(file, '/')[-1] FROM source_files
+    WHERE regexp_matches(file, '{CONFIG_NAME}') AND NOT regexp_matches(text, '{DECLARATION}') AND NOT regexp_matches(text, '{TEST_CASE}')
+), symbols AS (
+  SELECT file_id * 2147483648 + begins AS sym_id, file_id, project, file, symbol, kind, begins AS start, (begins + length(chunk))::INT AS "end", signature, chunk AS source_text,
+    chunk[1:CASE WHEN kind IN ('test', 'module') THEN {C.TEST_BODY_CHARS} ELSE {C.BODY_CHARS} END] AS body
+  FROM found_symbols
 )"""
 
 TOKENS = f"""
 tokens AS (
-  SELECT sym_id, file_id, {tokenize('symbol')} AS name, {tokenize('file')} AS path, {tokenize('signature')} AS signature, {tokenize('body')} AS body
+  SELECT sym_id, file_id, project, {tokenize('symbol')} AS name, {tokenize('file')} AS path, {tokenize('signature')} AS signature, {tokenize('body')} AS body
   FROM symbols
 ), postings AS (
-  SELECT unnest(l) AS term, sym_id, file_id, field, len(l) AS doc_len FROM (
-    SELECT sym_id, file_id, 'name' AS field, name AS l FROM tokens UNION ALL SELECT sym_id, file_id, 'path', path FROM tokens
-    UNION ALL SELECT sym_id, file_id, 'signature', signature FROM tokens UNION ALL SELECT sym_id, file_id, 'body', body FROM tokens)
+  SELECT unnest(l) AS term, sym_id, file_id, project, field, len(l) AS doc_len FROM (
+    SELECT sym_id, file_id, project, 'name' AS field, name AS l FROM tokens UNION ALL SELECT sym_id, file_id, project, 'path', path FROM tokens
+    UNION ALL SELECT sym_id, file_id, project, 'signature', signature FROM tokens UNION ALL SELECT sym_id, file_id, project, 'body', body FROM tokens)
 ), bags AS (
-  SELECT sym_id, list_concat(list_concat(name, path), list_concat(signature, body[1:{C.BAG_BODY_TOKENS}])) AS bag, len(name) AS extra FROM tokens
+  SELECT sym_id, project, list_concat(list_concat(name, path), list_concat(signature, body[1:{C.BAG_BODY_TOKENS}])) AS bag, len(name) AS extra FROM tokens
 ), doc_freq AS (
-  SELECT term, count(*) AS df FROM (SELECT DISTINCT sym_id, unnest(bag) AS term FROM bags) GROUP BY term
+  SELECT project, term, count(*) AS df FROM (SELECT DISTINCT project, sym_id, unnest(bag) AS term FROM bags) GROUP BY project, term
 ), stats AS (
-  SELECT greatest(count(*), 1) AS n, sum(greatest(len(bag) + extra, 1)) / greatest(count(*), 1) AS avgdl FROM bags
+  SELECT project, count(*) AS n, sum(greatest(len(bag) + extra, 1)) / count(*) AS avgdl FROM bags GROUP BY project
 )"""
 
 CLAUSE = "(?i)(^|[^\\pL\\pN_])(ba[sş]ar[iı]\\s+kriter|kabul\\s+kriter|success\\s+criteri|acceptance\\s+criteri|definition\\s+of\\s+done|done\\s+when)"
@@ -118,12 +136,14 @@ def any_of(values) -> str:
 
 
 TASKS = f"""
-items AS (SELECT item_id AS task_id, text AS task FROM eval_item WHERE text IS NOT NULL),
+projects AS (SELECT project, row_number() OVER (ORDER BY project) - 1 AS pno, count(*) OVER () AS many FROM (SELECT DISTINCT project FROM indexed_file WHERE project IS NOT NULL)),
+numbered_items AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS tno FROM eval_item),
+items AS (SELECT item_id AS task_id, text AS task, project FROM numbered_items JOIN projects ON tno % many = pno WHERE text IS NOT NULL),
 clauses AS (SELECT task_id, CASE WHEN regexp_matches(task, '{CLAUSE}') THEN regexp_extract(task, '(?s)^(.*?){CLAUSE[4:]}', 1) ELSE task END AS clause FROM items),
 {terms_of('terms', 'items', 'task')},
 {terms_of('clause_terms', 'clauses', 'clause')},
 queries AS (
-  SELECT i.task_id, i.task, coalesce(q.query, []) AS query, coalesce(c.test_intent, false) AS test_intent
+  SELECT i.task_id, i.project, i.task, coalesce(q.query, []) AS query, coalesce(c.test_intent, false) AS test_intent
   FROM items i LEFT JOIN (SELECT task_id, list(term ORDER BY first_at) AS query FROM terms GROUP BY task_id) q USING (task_id)
   LEFT JOIN (SELECT task_id, bool_or(list_contains({quoted(C.TEST_WORDS)}, term)) AS test_intent FROM clause_terms GROUP BY task_id) c USING (task_id)
 ), tasks AS (
@@ -159,20 +179,21 @@ def static_prior(x: str, test: str) -> str:
 WEIGHT = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in C.FIELD_WEIGHTS.items()) + " END"
 
 SCORES = f"""
-term_scores AS (
-  SELECT t.task_id, p.sym_id, p.file_id, p.field, t.term, t.concept,
+asked_terms AS (SELECT t.*, k.project FROM terms t JOIN items k USING (task_id)
+), term_scores AS (
+  SELECT t.task_id, p.sym_id, p.file_id, p.project, p.field, t.term, t.concept,
     ln(1 + (s.n - coalesce(d.df, 0) + 0.5) / (coalesce(d.df, 0) + 0.5)) * {C.K1 + 1}
       / (1 + {C.K1} * (1 - {C.B} + {C.B} * p.doc_len / greatest(s.avgdl, 1.0))) * {WEIGHT} AS score
-  FROM postings p JOIN terms t USING (term) LEFT JOIN doc_freq d USING (term) CROSS JOIN stats s
+  FROM postings p JOIN asked_terms t ON t.project = p.project AND t.term = p.term JOIN stats s ON s.project = p.project LEFT JOIN doc_freq d ON d.project = p.project AND d.term = p.term
 ), bm25 AS (
   SELECT task_id, sym_id, file_id, sum(score) AS bm25, count(DISTINCT concept) AS concepts, count(*) FILTER (WHERE field = 'path') AS path_hits
   FROM term_scores GROUP BY ALL
 ), exact AS (
   SELECT t.task_id, s.sym_id, s.file_id, sum(CASE WHEN lower(s.symbol) = t.term THEN 8.0 WHEN length(t.term) >= 3 THEN 2.5 ELSE 0.0 END)::DOUBLE AS exact
-  FROM symbols s JOIN terms t ON contains(lower(s.symbol), t.term) GROUP BY ALL HAVING exact > 0
+  FROM symbols s JOIN asked_terms t ON t.project = s.project AND contains(lower(s.symbol), t.term) GROUP BY ALL HAVING exact > 0
 ), bases AS (
   SELECT t.task_id, b.base, sum(CASE WHEN b.base = t.term THEN 10.0 ELSE 2.0 END)::DOUBLE AS base_bonus
-  FROM (SELECT DISTINCT {base_name('file')} AS base FROM symbols) b JOIN terms t ON contains(b.base, t.term) GROUP BY ALL
+  FROM (SELECT DISTINCT project, {base_name('file')} AS base FROM symbols) b JOIN asked_terms t ON t.project = b.project AND contains(b.base, t.term) GROUP BY ALL
 ), hits AS (
   SELECT task_id, sym_id, file_id, coalesce(bm25, 0.0) + coalesce(exact, 0.0) AS lexical, coalesce(concepts, 0) AS concepts, coalesce(path_hits, 0) AS path_hits
   FROM bm25 FULL OUTER JOIN exact USING (task_id, sym_id, file_id)
@@ -194,7 +215,7 @@ RANKED = """
 unique_scores AS (
   SELECT c.task_id, c.sym_id, c.file_id, c.score, s.project, s.file, s.symbol, s.kind, s.start
   FROM scores c JOIN symbols s USING (sym_id) WHERE c.score > 0.5
-  QUALIFY row_number() OVER (PARTITION BY c.task_id, s.file, s.symbol ORDER BY c.score DESC, s.file, s.start, c.sym_id) = 1
+  QUALIFY row_number() OVER (PARTITION BY c.task_id, s.project, s.file, s.symbol ORDER BY c.score DESC, s.file, s.start, c.sym_id) = 1
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, file, start, sym_id) AS pos FROM unique_scores
   QUALIFY pos <= 20

@@ -38,7 +38,10 @@ class Toolbox:
     def context_capsules(
         self, requests: DataFrame, level: int = 1, tokens: int | None = None, attempt: int = 0, most_attempts: int = 3
     ) -> DataFrame:
-        """requests(task_id, task) -> one capsule each; blank and overlong tasks are refused."""
+        """requests(task_id, project, task) -> one capsule each; blank and overlong tasks are refused.
+
+        The project may be left out where the files have only one.
+        """
         whole("level", level, 0, 3)
         whole("attempt", attempt, 0, 10)
         whole("most_attempts", most_attempts, 1, 10)
@@ -47,8 +50,13 @@ class Toolbox:
         bad = requests.where(F.coalesce(F.trim("task"), F.lit("")) == "").limit(1).count() or requests.where(F.length("task") > LONGEST_TASK).limit(1).count()
         if bad:
             raise ValueError(f"tasks must be non-empty and of at most {LONGEST_TASK} characters")
+        if "project" not in requests.columns:
+            projects = [r["project"] for r in self.files.select("project").distinct().limit(2).collect()]
+            if len(projects) > 1:
+                raise ValueError("requests must name the project, as the files have several")
+            requests = requests.withColumn("project", F.lit(projects[0] if projects else None).cast("string"))
         found = checkpointed(R.tasks(requests, "task_id", "task"))
-        stats, df = I.corpus_stats(self.tokens), I.doc_freq(self.tokens)
+        stats, df = checkpointed(I.corpus_stats(self.tokens)), checkpointed(I.doc_freq(self.tokens))
         ranked = checkpointed(R.rank(R.scores(found, self.symbols, self.tokens, df, stats), self.symbols))
         handoff = attempt >= most_attempts
         chosen = K.levels(R.confidence(ranked, found, self.tokens), found, level, handoff)

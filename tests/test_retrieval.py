@@ -26,14 +26,14 @@ def corpus(spark):
 
 def ranked(spark, corpus, task):
     _, symbols, tokens = corpus
-    found = R.tasks(spark.createDataFrame([(1, task)], "id bigint, text string"), "id", "text")
+    found = R.tasks(spark.createDataFrame([(1, task, "p")], "id bigint, text string, project string"), "id", "text")
     return found, R.rank(R.scores(found, symbols, tokens, I.doc_freq(tokens), I.corpus_stats(tokens)), symbols)
 
 
 def test_symbols_and_edges(corpus):
     files, symbols, _ = corpus
     assert {(r.file_id, r.symbol, r.kind) for r in symbols.collect()} == {
-        (1, "ResponseCache", "class"), (2, "read", "function"), (2, "StoreKey", "interface"), (3, "responseCacheExpires", "function"), (6, "read", "function"),
+        (1, "ResponseCache", "class"), (1, "get", "method"), (2, "read", "function"), (2, "StoreKey", "interface"), (3, "responseCacheExpires", "function"), (6, "read", "function"),
     }
     assert {(r.src, r.dst) for r in I.resolved_imports(files).collect()} == {("src/cache.ts", "src/store.ts"), ("test/cache.test.ts", "src/cache.ts")}
     kinds = {(r.src, r.dst, r.kind) for r in I.edges(files, symbols).collect()}
@@ -66,7 +66,7 @@ def test_the_plan_has_no_python_and_no_shuffle_of_pairs(spark, corpus):
 
 def test_scores_of_some_symbols_only(spark, corpus):
     _, symbols, tokens = corpus
-    found = R.tasks(spark.createDataFrame([(1, "read cache")], "id bigint, text string"), "id", "text")
+    found = R.tasks(spark.createDataFrame([(1, "read cache", "p")], "id bigint, text string, project string"), "id", "text")
     rest = (found, symbols, tokens, I.doc_freq(tokens), I.corpus_stats(tokens))
     every = {(r.sym_id, r.score) for r in R.scores(*rest).collect()}
     some = symbols.where("symbol = 'read'")
@@ -90,8 +90,8 @@ def test_aliases_tests_and_configs(spark):
     got = {(r.src, r.dst) for r in I.resolved_imports(files, I.alias_rules(config)).collect()}
     assert got == {("src/a.ts", "src/lib/b.ts"), ("src/a.ts", "code/c/x.ts"), ("src/a.ts", "code/d.ts")}
     assert {(r.dst) for r in I.resolved_imports(files).collect()} == {"src/lib/b.ts"}
-    assert [r.symbol for r in I.test_cases(files).orderBy("ord").collect()] == ["adds", "subtracts", "each one"]
-    assert [(r.symbol, r.kind) for r in I.config_modules(files, I.symbols(files)).collect()] == [("package.json", "module")]
+    found = [(r.symbol, r.kind) for r in I.symbols(files).where("file_id >= 5").orderBy("sym_id").collect()]
+    assert found == [("adds", "test"), ("subtracts", "test"), ("each one", "test"), ("package.json", "module")]
 
 
 def test_toolbox(spark):
@@ -99,7 +99,9 @@ def test_toolbox(spark):
 
     files = spark.createDataFrame(FILES, "file_id bigint, project string, relative string, text string")
     tools = Toolbox(files)
-    requests = spark.createDataFrame([(1, "response cache reads the store key"), (2, "sort the import order")], "task_id bigint, task string")
+    requests = spark.createDataFrame([(1, "p", "response cache reads the store key"), (2, "p", "sort the import order")], "task_id bigint, project string, task string")
+    with pytest.raises(ValueError):
+        tools.context_capsules(requests.drop("project"))
     capsules = {r.task_id: r for r in tools.context_capsules(requests).collect()}
     assert capsules[1].symbols and capsules[1].estimated_tokens >= 1 and capsules[2].level == 0
     assert capsules[1].files[0] == capsules[1].symbols[0].file
@@ -133,3 +135,47 @@ def test_a_long_declaration_is_whole(spark):
     direct = read.select(F.lit(1).alias("task_id"), "project", "sym_id")
     late = found.where("symbol = 'Late'").first().sym_id
     assert [r.sym_id for r in K.type_dependencies(direct, found).collect()] == [late]
+
+
+def test_projects_do_not_see_each_other(spark):
+    rows = [(i, p, "src/auth.ts", f"export function refreshToken(a) {{\n  return {word}(a);\n}}\n") for i, (p, word) in enumerate([("p", "alpha"), ("q", "beta")])]
+    rows += [(10 + i, "q", f"src/x{i}.ts", f"export function token{i}(a) {{\n  return token(a);\n}}\n") for i in range(9)]
+    files = spark.createDataFrame(rows, "file_id bigint, project string, relative string, text string")
+    symbols = I.symbols(files).cache()
+    tokens = I.fields(symbols).cache()
+    df, stats = I.doc_freq(tokens), I.corpus_stats(tokens)
+    assert {(r.project, r.df) for r in df.where("term = 'token'").collect()} == {("p", 1), ("q", 10)}
+    assert {(r.project, r.n) for r in stats.collect()} == {("p", 1), ("q", 10)}
+    found = R.tasks(spark.createDataFrame([(1, "refresh token", "p"), (2, "refresh token", "q")], "id bigint, text string, project string"), "id", "text").cache()
+    top = R.rank(R.scores(found, symbols, tokens, df, stats), symbols)
+    assert {(r.task_id, r.project, r.file) for r in top.where("symbol = 'refreshToken'").collect()} == {(1, "p", "src/auth.ts"), (2, "q", "src/auth.ts")}
+    assert {r.project for r in top.where("task_id = 1").collect()} == {"p"}
+
+
+def test_blocks_of_tasks_give_what_one_block_gives(spark, corpus, monkeypatch):
+    _, symbols, tokens = corpus
+    rows = [(i, f"read the {w}", "p") for i, w in enumerate(["cache", "store", "key", "response", "file"])]
+    found = R.tasks(spark.createDataFrame(rows, "id bigint, text string, project string"), "id", "text").cache()
+    rest = (found, symbols, tokens, I.doc_freq(tokens), I.corpus_stats(tokens))
+    whole = {(r.task_id, r.sym_id, r.score) for r in R.scores(*rest).collect()}
+    monkeypatch.setattr(R, "TASK_BLOCK", 2)
+    assert {(r.task_id, r.sym_id, r.score) for r in R.scores(*rest).collect()} == whole
+
+
+def test_imports_over_several_lines(spark):
+    text = 'import {\n  a,\n  type B,\n} from "./x.js";\nimport d, { e }\n  from "./no";\nimport "./y";\nimport os\nNAME = "z"\n'
+    files = spark.createDataFrame([(1, "p", "a.ts", text)], "file_id bigint, project string, relative string, text string")
+    assert {r.specifier for r in I.import_specifiers(files).collect()} == {"./x.js", "./y"}
+
+
+def test_methods_and_their_ranges(spark):
+    text = "export class Store {\n  #size = 1;\n  async read(key) {\n    if (key) {\n      return 1;\n    }\n  }\n  get size() {\n    return 2;\n  }\n}\nexport const x = 1;\n"
+    python = "class Cache(Base):\n    def load(self, key) -> int:\n        return self.get(key)\n\n    async def drop(self):\n        pass\n"
+    files = spark.createDataFrame([(1, "p", "a.ts", text), (2, "p", "b.py", python)], "file_id bigint, project string, relative string, text string")
+    found = I.symbols(files).orderBy("sym_id").collect()
+    assert [(r.file_id, r.symbol, r.kind) for r in found] == [
+        (1, "Store", "class"), (1, "read", "method"), (1, "size", "method"), (1, "x", "variable"), (2, "Cache", "class"), (2, "load", "method"), (2, "drop", "method"),
+    ]
+    for r in found:
+        assert (text if r.file_id == 1 else python)[r.start : r.end] == r.source_text
+    assert found[1].signature == "async read(key)" and found[2].start == found[1].end
