@@ -5,17 +5,18 @@ from __future__ import annotations
 import unicodedata
 
 #: Words that are never indexed.
-STOPWORDS = (
-    "the and for with that this from into when where what which should would could please make just also have been "
-    "will your our are was were can need fix update change add remove create implement refactor code file function "
-    "class module project using use"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "when", "where", "what", "which", "should",
+    "would", "could", "please", "make", "just", "also", "have", "been", "will", "your", "our", "are", "was", "were",
+    "can", "need", "fix", "update", "change", "add", "remove", "create", "implement", "refactor", "code", "file",
+    "function", "class", "module", "project", "using", "use",
+]
 
 #: Words that are dropped from a task.
-TASK_STOPWORDS = (
-    "the and for with that this from into please just also have been will your our are was were ve ile icin bir bu et "
-    "kontrol durumunu raporla"
-).split()
+TASK_STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "please", "just", "also", "have", "been", "will",
+    "your", "our", "are", "was", "were", "ve", "ile", "icin", "bir", "bu", "et", "kontrol", "durumunu", "raporla",
+]
 
 #: A word of a task and what it stands for besides itself.
 SYNONYMS = {
@@ -114,39 +115,43 @@ STEMS = (
     ("sil", "delete remove destroy"),
 )
 #: English words that only look as if they began with a stem.
-STEM_COLLISIONS = "listen listener listeners listening listed listing indirect indirectly indirection".split()
+STEM_COLLISIONS = ["listen", "listener", "listeners", "listening", "listed", "listing", "indirect", "indirectly", "indirection"]
 SHORTEST_PREFIX_STEM = 4
 
 #: Function words by which a Turkish task without diacritics is told.
-TURKISH_WORDS = (
-    "ve ile icin bir bu su ama gibi olarak sonra once kadar daha cok yerine gorev kriteri kriter duzelt ekle sil kaldir "
-    "degistir olmali gecmeli testi testleri hatasi dosya dosyalar sirasinda engelle koru yap yaz davranisi davranisini "
-    "geriye uyumlulugu basari gerek gerekiyor calismiyor calisiyor neden nasil sadece yalniz tum her icinde uzerinde "
-    "arasinda olsun olmasin dondur"
-).split()
-
-TEST_WORDS = "test spec check integration regression".split()
-ORDER_WORDS = "sort order arrange lint".split()
-CONFIG_WORDS = "lint eslint biome test build typecheck dependency script import order sort config package".split()
-RUNTIME_WORDS = "server client handler request runtime".split()
-SAMPLE_WORDS = "benchmark fixture demo example".split()
+TURKISH_WORDS = [
+    "ve", "ile", "icin", "bir", "bu", "su", "ama", "gibi", "olarak", "sonra", "once", "kadar", "daha", "cok",
+    "yerine", "gorev", "kriteri", "kriter", "duzelt", "ekle", "sil", "kaldir", "degistir", "olmali", "gecmeli",
+    "testi", "testleri", "hatasi", "dosya", "dosyalar", "sirasinda", "engelle", "koru", "yap", "yaz", "davranisi",
+    "davranisini", "geriye", "uyumlulugu", "basari", "gerek", "gerekiyor", "calismiyor", "calisiyor", "neden",
+    "nasil", "sadece", "yalniz", "tum", "her", "icinde", "uzerinde", "arasinda", "olsun", "olmasin", "dondur",
+]
+
+TEST_WORDS = ["test", "spec", "check", "integration", "regression"]
+ORDER_WORDS = ["sort", "order", "arrange", "lint"]
+CONFIG_WORDS = [
+    "lint", "eslint", "biome", "test", "build", "typecheck", "dependency", "script", "import", "order", "sort",
+    "config", "package",
+]
+RUNTIME_WORDS = ["server", "client", "handler", "request", "runtime"]
+SAMPLE_WORDS = ["benchmark", "fixture", "demo", "example"]
 
 #: Quality criteria: name and the task words that call for it, in order; the first three (with the base) count.
 CRITERIA = (
-    ("isolation", "integration workspace process worker temp cleanup".split()),
-    ("contract", "public api type cache serialize document codec".split()),
-    ("build", "declaration dts bundle external config oom".split()),
-    ("lifecycle", "transport session stream http".split()),
+    ("isolation", ["integration", "workspace", "process", "worker", "temp", "cleanup"]),
+    ("contract", ["public", "api", "type", "cache", "serialize", "document", "codec"]),
+    ("build", ["declaration", "dts", "bundle", "external", "config", "oom"]),
+    ("lifecycle", ["transport", "session", "stream", "http"]),
     ("header", ["header"]),
-    ("error", "error exception invalid uri url".split()),
+    ("error", ["error", "exception", "invalid", "uri", "url"]),
 )
 AUTH_PATTERN = r"(^|[^a-z0-9_])(auth|401|refresh|retry|token)([^a-z0-9_]|$)"
 
-SOURCE_EXTENSIONS = "ts tsx mts cts js jsx mjs cjs".split()
-SKIPPED_DIRECTORIES = (
-    "node_modules .git dist out target coverage .turbo build .next .cache vendor tmp temp .venv venv .tsbuildinfo .nuxt "
-    ".svelte-kit .output"
-).split()
+SOURCE_EXTENSIONS = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"]
+SKIPPED_DIRECTORIES = [
+    "node_modules", ".git", "dist", "out", "target", "coverage", ".turbo", "build", ".next", ".cache", "vendor",
+    "tmp", "temp", ".venv", "venv", ".tsbuildinfo", ".nuxt", ".svelte-kit", ".output",
+]
 
 #: BM25 and field weights.
 K1, B = 1.4, 0.75

@@ -59,17 +59,17 @@ def compare(baseline: DataFrame, candidate: DataFrame, target_tokens: int = 100_
     )
 
 
-def select_ranks(values: DataFrame, column: str, keys: list[str], ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+def select_ranks(values: DataFrame, column: str, keys: list[str], ranks: dict[str, Column], buckets: int = 128) -> DataFrame:
     """The values at given ranks (from 1; expressions over ``n``, the group's size) of each group, exactly.
 
-    Values are counted with a partial aggregation and put into equal-width buckets; only the buckets that
-    hold a wanted rank are ordered, so no task sorts a whole group, however large.
+    Values are counted with a partial aggregation and put into buckets between approximate quantiles of the distinct
+    values, so that outliers cannot fill one bucket; only the buckets that hold a wanted rank are ordered, so no
+    task sorts a whole group, however large.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    bucket = F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * buckets)).otherwise(0).cast("int")
-    placed = counts.join(stats, keys).withColumn("_b", bucket)
+    bounds = F.percentile_approx("_v", [i / buckets for i in range(1, max(buckets, 2))], 20 * buckets)
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), bounds.alias("_bounds"))
+    placed = counts.join(stats, keys).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
     sums = placed.groupBy(*keys, "_b", "n").agg(F.sum("_c").alias("_bc"))
     up_to = F.sum("_bc").over(W.partitionBy(*keys).orderBy("_b"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]))

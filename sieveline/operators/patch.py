@@ -1,6 +1,7 @@
 """Planning edits: resolve operations to intervals, check preconditions, find overlaps, splice.
 
-An operation is (op_id, project, file, symbol, operation, content, content_hash). A batch of one file is
+An operation is (op_id, file_id, symbol, operation, content, content_hash, symbol_hash); both hashes are preconditions
+and may be null. A function's body is what stands between the brace that ends a line and the last one. A batch of one file is
 applied as a whole or not at all.
 """
 
@@ -15,21 +16,32 @@ from sieveline.functions import text as X
 
 def resolve(operations: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Adds start, end, value and ``code``: null if the operation can be applied, else why not."""
-    place = symbols.groupBy("file_id", "symbol").agg(
-        F.count(F.lit(1)).alias("matches"), F.min("start").alias("sym_start"), F.min("end").alias("sym_end")
-    )
+    if "source_text" not in symbols.columns:
+        symbols = symbols.withColumn("source_text", F.lit(None).cast("string"))
+    opened = F.regexp_instr("source_text", F.lit(r"\{[ \t]*\r?\n"))
+    closed = F.length("source_text") - F.instr(F.reverse("source_text"), "}")
+    bodied = symbols.withColumn("_from", F.when((opened > 0) & (closed >= opened), F.col("start") + opened)).withColumn("_to", F.col("start") + closed)
+    place = bodied.groupBy("file_id", "symbol").agg(
+        F.count(F.lit(1)).alias("matches"), F.min("start").alias("sym_start"), F.min("end").alias("sym_end"),
+        F.min("_from").alias("body_start"), F.min("_to").alias("body_end"), F.min(F.sha2("source_text", 256)).alias("symbol_hash_now"),
+    )
+    if "symbol_hash" not in operations.columns:
+        operations = operations.withColumn("symbol_hash", F.lit(None).cast("string"))
     texts = files.select("file_id", F.col("text").alias("file_text"), F.sha2("text", 256).alias("file_hash"))
     joined = operations.join(texts, "file_id", "left").join(place, ["file_id", "symbol"], "left")
     op = F.col("operation")
-    start = F.when(op == "insert_after_symbol", F.col("sym_end")).otherwise(F.col("sym_start"))
-    end = F.when(op == "insert_before_symbol", F.col("sym_start")).otherwise(F.col("sym_end"))
+    body = op == "replace_function_body"
+    start = F.when(op == "insert_after_symbol", F.col("sym_end")).when(body, F.col("body_start")).otherwise(F.col("sym_start"))
+    end = F.when(op == "insert_before_symbol", F.col("sym_start")).when(body, F.col("body_end")).otherwise(F.col("sym_end"))
     value = F.when(op == "delete_symbol", F.lit("")).otherwise(X.match_line_endings(F.col("content"), F.col("file_text")))
     code = (
         F.when(F.col("file_text").isNull(), "FILE_NOT_FOUND")
         .when(F.col("content_hash").isNotNull() & (F.col("content_hash") != F.col("file_hash")), "STALE_CONTENT")
         .when(F.col("matches").isNull(), "SYMBOL_NOT_FOUND")
         .when(F.col("matches") > 1, "AMBIGUOUS_SYMBOL")
-        .when(~op.isin("replace_symbol", "delete_symbol", "insert_before_symbol", "insert_after_symbol"), "UNSUPPORTED_OPERATION")
+        .when(F.col("symbol_hash").isNotNull() & (F.col("symbol_hash") != F.col("symbol_hash_now")), "STALE_SYMBOL")
+        .when(body & F.col("body_start").isNull(), "NO_BODY")
+        .when(~op.isin("replace_symbol", "replace_function_body", "delete_symbol", "insert_before_symbol", "insert_after_symbol"), "UNSUPPORTED_OPERATION")
     )
     return joined.select("op_id", "file_id", "symbol", "operation", start.alias("start"), end.alias("end"), value.alias("value"), code.alias("code"))
 

@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 BLOCK_QUERIES = 4096
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-scores, k - 1)[:k] if len(scores) > k else np.arange(len(scores))
-
-
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, vec_id, score, rank): the best k rows for each query.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from sieveline.operators import ranking as RK
 from sieveline.operators import vectors as V
 from sieveline.plans import retrieval_queries as Q
 from sieveline.plans import sql_text as S
-from sieveline.session import checkpointed, read_table
+from sieveline.session import checkpointed, local_folder, read_table
 from sieveline.streaming.usage import drain, windowed_usage
 
 
@@ -274,7 +273,7 @@ def w1_stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed report as a stream that runs over everything there is; closed windows only."""
     events = read_table(spark, sf_dir, "events")
     schema = events.schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark)
     scratch = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not os.path.isdir(f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     key = F.get_json_object("props", "$.k").cast("int")

@@ -7,7 +7,6 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "sieveline", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,13 +40,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            base = os.environ.get("SIEVELINE_SCRATCH", tempfile.gettempdir())
-            shared = tempfile.mkdtemp(prefix="spark-", dir=base)
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared or local_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A folder of this machine, for sessions that run on it alone; a cluster must name a shared one."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("SIEVELINE_SCRATCH", tempfile.gettempdir()))
+
+
 def spread(df: DataFrame, *keys: str, minimum: int = 0) -> DataFrame:
     """Repartition CPU-heavy work over all cores when the scan gives too few splits.
 
@@ -60,11 +63,6 @@ def spread(df: DataFrame, *keys: str, minimum: int = 0) -> DataFrame:
     return df.repartition(parts, *keys) if keys else df.repartition(parts)
 
 
-def blank_to_null(column: str):
-    """Empty strings count as missing."""
-    return F.when(F.trim(F.col(column)) == "", None).otherwise(F.col(column))
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,21 +49,35 @@ def last_usage(trace: DataFrame, keys: list[str], order: str, line: str) -> Data
 
 
 def scan_tree(spark: SparkSession, root: str, most_files: int = 10_000, most_bytes: int = 1_000_000) -> tuple[DataFrame, bool]:
-    """(relative, text) of the source files below a folder, and whether a limit left some out.
+    """(relative, text) of the source files below a local folder, and whether a limit left some out.
 
-    Directories are pruned while walking: build and dependency folders and nested repositories. The files
-    themselves are read by the executors.
+    Directories are pruned while walking: build and dependency folders, nested repositories, and what the ignore
+    files on the way exclude. At most ``most_files`` paths are held; the files themselves are read by the executors.
+    Entries that vanish or cannot be read are passed over.
     """
     paths, truncated = [], False
+    rules: list[tuple[re.Pattern, bool]] = []
     for folder, names, files in os.walk(root, onerror=lambda error: None):
         nested = folder != root and os.path.exists(os.path.join(folder, ".git"))
         if nested:
             names[:] = []
             continue
-        names[:] = sorted(n for n in names if n not in C.SKIPPED_DIRECTORIES and not n.startswith(("dist-", "dist_", "build-", "build_", "out-", "out_", "target-", "target_")))
+        place = os.path.relpath(folder, root).replace(os.sep, "/")
+        place = "" if place == "." else place
+        if ".gitignore" in files:
+            try:
+                with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as lines:
+                    rules += [(re.compile(pattern), negated) for pattern, negated in ignore_rules(lines.read(), place)]
+            except OSError:
+                pass
+        names[:] = sorted(n for n in names if not _skipped(n) and not _excluded(f"{place}/{n}" if place else n, rules))
         for name in sorted(files):
             path = os.path.join(folder, name)
-            if os.path.getsize(path) > most_bytes or len(paths) >= most_files:
+            try:
+                size = os.path.getsize(path)
+            except OSError:
+                continue
+            if size > most_bytes or len(paths) >= most_files:
                 truncated = True
                 continue
             paths.append(path)
@@ -75,6 +90,19 @@ def scan_tree(spark: SparkSession, root: str, most_files: int = 10_000, most_byt
     return found.where(X.is_source_path(F.col("relative")) & ~X.is_bundle(F.col("text"))), truncated
 
 
+def _skipped(name: str) -> bool:
+    return name in C.SKIPPED_DIRECTORIES or re.match(r"(?:dist|build|out|target)[-_.]", name) is not None
+
+
+def _excluded(directory: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
+    """The last rule that matches decides."""
+    verdict = False
+    for pattern, negated in rules:
+        if pattern.match(directory):
+            verdict = not negated
+    return verdict
+
+
 def ignore_rules(text: str, base: str = "") -> list[tuple[str, bool]]:
     """Ignore-file lines as (anchored regular expression, negated), in order; the last match wins."""
     rules = []

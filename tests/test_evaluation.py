@@ -95,3 +95,21 @@ def test_tree_scan(spark, tmp_path):
     directories = spark.createDataFrame([("logs",), ("a/logs",), ("keep/logs",), ("src",), ("x.tmp",)], "directory string")
     rules = U.ignore_rules("# c\nlogs/\n!keep/logs\n*.tmp\n")
     assert {r.directory for r in U.ignored(directories, rules).where("ignored").collect()} == {"logs", "a/logs", "x.tmp"}
+
+
+def test_tree_scan_follows_ignore_files_and_passes_over_dangling_links(spark, tmp_path):
+    for path, text in {".gitignore": "logs/\n!keep/logs\n", "sub/.gitignore": "out_here\n", "logs/a.ts": "1", "keep/logs/b.ts": "2", "sub/out_here/c.ts": "3", "sub/d.ts": "4", "out_here/e.ts": "5"}.items():
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    (tmp_path / "gone.ts").symlink_to(tmp_path / "nowhere.ts")
+    found, truncated = U.scan_tree(spark, str(tmp_path))
+    assert {r.relative for r in found.collect()} == {"keep/logs/b.ts", "sub/d.ts"} | ({"out_here/e.ts"} if not U._skipped("out_here") else set()) and not truncated
+
+
+def test_ranks_with_outliers(spark):
+    values = [*range(1, 1001), 10**15, -(10**15)]
+    random.Random(2).shuffle(values)
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    got = R.select_ranks(df, "v", ["g"], {"a": F.lit(1), "b": F.lit(501), "c": F.col("n")}).first()
+    assert (got.a, got.b, got.c) == (-1e15, 500.0, 1e15)

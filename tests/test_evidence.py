@@ -68,3 +68,21 @@ def test_edits(spark):
     assert {r.state for r in M.rollback_states(files, journal).collect()} == {"original"}
     messages = spark.createDataFrame([("g", i, "x" * 40) for i in range(5)], "g string, i int, t string")
     assert M.capped_prefix(messages, ["g"], "i", "t", 25).count() == 2
+
+
+def test_bodies_and_hashes_of_symbols(spark):
+    from sieveline.operators import index as I
+
+    text = "export function add(a, { b } = {}) {\n  return a + b;\n}\nexport const x = 1;\n"
+    files = spark.createDataFrame([(1, "p", "f.ts", text)], "file_id bigint, project string, relative string, text string")
+    symbols = I.symbols(files).cache()
+    known = symbols.where("symbol = 'add'").select(F.sha2("source_text", 256)).first()[0]
+    columns = "op_id bigint, file_id bigint, symbol string, operation string, content string, content_hash string, symbol_hash string"
+
+    def resolved(*operations):
+        return M.resolve(spark.createDataFrame(list(operations), columns), symbols, files)
+
+    good = resolved((1, 1, "add", "replace_function_body", "\n  return 0;\n", None, known))
+    assert M.splice(good, files).first().patched == "export function add(a, { b } = {}) {\n  return 0;\n}\nexport const x = 1;\n"
+    bad = resolved((1, 1, "add", "delete_symbol", None, None, "old"), (2, 1, "x", "replace_function_body", "y", None, None))
+    assert {r.op_id: r.code for r in bad.collect()} == {1: "STALE_SYMBOL", 2: "NO_BODY"}
