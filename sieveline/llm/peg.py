@@ -269,10 +269,13 @@ class Grammar:
             for memory in memories:
                 memory.clear()
 
+    def accepts(self, text: str, at: int = 0) -> bool:
+        """Whether the start rule consumes the text from ``at`` to its end."""
+        return self._run(self._fast, text, self.skip(text, at).end()) == len(text)
+
     def parse(self, text: str, at: int = 0) -> tuple[bool, int]:
         """Whether the start rule consumes the text from ``at`` to its end, and how far it came."""
-        at = self.skip(text, at).end()
-        if self._run(self._fast, text, at) == len(text):
+        if self.accepts(text, at):
             return True, len(text)
-        end = self._run(self._slow, text, at)
+        end = self._run(self._slow, text, self.skip(text, at).end())
         return False, max(end, self._slow["G"]["far"])

@@ -9,19 +9,22 @@ from sieveline.llm.leakage import find_leaks
 from sieveline.llm.mixing import mix_report, sample_mix, token_sizes
 from sieveline.llm.mojibake import repair
 from sieveline.llm.provenance import classify, file_features, train_names
-from sieveline.llm.syntax import invalid_rates, syntax_report
+from sieveline.llm.syntax import invalid_ids, invalid_rates, syntax_report
 from sieveline.session import checkpointed, read_table, spread_if_narrow
 
 
-def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of every stored source text; deltas are no source texts."""
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored source text; deltas are no source texts."""
     records = read_table(spark, sf_dir, "evidence_record").where("kind is null or kind <> 'delta'")
-    records = spread_if_narrow(records.select("evidence_id", "project", "file", "text"))
-    return syntax_report(records, keep=("project",))
+    return spread_if_narrow(records.select("evidence_id", "project", "file", "text"))
+
+
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_report(_sources(spark, sf_dir), keep=("project",))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_flags(spark, sf_dir).where("not valid").select("evidence_id").distinct()
+    return invalid_ids(_sources(spark, sf_dir)).distinct()
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,11 +51,26 @@ def _grammar(language: str) -> Grammar:
     return Grammar("\n".join(parts), "Item", grammars_js.TRIVIA, {"newline": grammars_js.newline_before}, items=True)
 
 
+def _start(text: str, language: str) -> int:
+    """Where the text begins behind a byte-order mark and, in scripts, a ``#!`` line."""
+    start = 1 if text.startswith("﻿") else 0
+    shebang = _SHEBANG.match(text, start) if language not in ("json", "py") else None
+    return shebang.end() if shebang else start
+
+
+def accepts(text: str, language: str) -> bool:
+    """Whether the text follows the grammar; the first of the two parses of ``parse``."""
+    if language != "py":
+        return _grammar(language).accepts(text, _start(text, language))
+    try:
+        return _grammar("py").accepts(grammars_py.Layout(text[_start(text, language) :]).result)
+    except grammars_py.LayoutError:
+        return False
+
+
 def parse(text: str, language: str) -> tuple[bool, int]:
     """(valid, furthest failure position) of one text."""
-    start = 1 if text.startswith("﻿") else 0
-    if language == "json":
-        return _grammar("json").parse(text, start)
+    start = _start(text, language)
     if language == "py":
         try:
             layout = grammars_py.Layout(text[start:])
@@ -63,8 +78,7 @@ def parse(text: str, language: str) -> tuple[bool, int]:
             return False, start + broken.at
         valid, at = _grammar("py").parse(layout.result)
         return valid, len(text) if valid else start + layout.source(at)
-    shebang = _SHEBANG.match(text, start)
-    return _grammar(language).parse(text, shebang.end() if shebang else start)
+    return _grammar(language).parse(text, start)
 
 
 def cause(text: str, language: str, at: int) -> str:
@@ -76,23 +90,25 @@ def cause(text: str, language: str, at: int) -> str:
     if at >= len(text.rstrip()) or _CUT_NOTICE.search(lines[min(row, len(lines) - 1)]):
         return "truncated"
     for other in OTHERS:
-        if other != language and parse(text, other)[0]:
+        if other != language and accepts(text, other):
             return f"extension:{other}"
     if any(line.startswith("<<<<<<<") for line in lines) and any(line.startswith(">>>>>>>") for line in lines):
         return "conflict"
     return "syntax"
 
 
+def _in_known_languages(df: DataFrame, id_col: str, file_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    extension = F.lower(F.regexp_extract(F.col(file_col), r"\.([A-Za-z0-9]+)$", 1))
+    language = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension]
+    return df.select(F.col(id_col), *keep, language.alias("language"), F.col(text_col).cast("string").alias("_text")).where("language is not null and _text is not null")
+
+
 def syntax_report(
     df: DataFrame, id_col: str = "evidence_id", file_col: str = "file", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per text in a known language: id, kept columns, language, valid, failed_at, failed_line, cause."""
     kinds = dict(df.dtypes)
-    extension = F.lower(F.regexp_extract(F.col(file_col), r"\.([A-Za-z0-9]+)$", 1))
-    language = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension]
-    texts = df.select(
-        F.col(id_col), *keep, language.alias("language"), F.col(text_col).cast("string").alias("_text")
-    ).where("language is not null and _text is not null")
+    texts = _in_known_languages(df, id_col, file_col, text_col, keep)
     head = [id_col, *keep]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in head)
     schema += ", language string, valid boolean, failed_at int, failed_line int, cause string"
@@ -112,6 +128,18 @@ def syntax_report(
     return texts.mapInPandas(run, schema)
 
 
+def invalid_ids(df: DataFrame, id_col: str = "evidence_id", file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """The ids of the texts that ``syntax_report`` calls invalid, without a second parse for place and cause."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = [not accepts(text, language) for text, language in zip(batch["_text"], batch["language"])]
+            yield batch.loc[bad, [id_col]]
+
+    return _in_known_languages(df, id_col, file_col, text_col, ()).mapInPandas(run, f"`{id_col}` {kind}")
+
+
 def invalid_rates(report: DataFrame, *groups: str) -> DataFrame:
     """Files, invalid files, their rate and the causes per group, with partial aggregation before the shuffle."""
     bad = F.count_if(~F.col("valid"))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sieveline.llm.syntax import cause, invalid_rates, parse, syntax_report
+from sieveline.llm.syntax import cause, invalid_ids, invalid_rates, parse, syntax_report
 
 VALID = {
     "js": [
@@ -89,3 +89,9 @@ def test_report(spark):
 def test_deep_nesting_is_valid(text, language):
     assert parse(text, language)[0]
     assert not parse(text[:-2], language)[0]
+
+
+def test_the_ids_are_those_of_the_report(spark, data):
+    records = spark.read.parquet(f"{data}/evidence_record.parquet").where("kind is null or kind <> 'delta'")
+    want = {r.evidence_id for r in syntax_report(records).where("not valid").collect()}
+    assert want and {r.evidence_id for r in invalid_ids(records).collect()} == want
