@@ -45,8 +45,8 @@ LEAST_PPM = 2.0
 MANGLED_BITS, MANGLED_ABOVE, LEAST_NAMES = 3.6, 1.2, 8
 #: Files with a larger share of very short names do not train the model.
 TEACHER_SHORT = 0.5
-#: Names with a number, and their share of the long names, from which they come from a template.
-TEMPLATE_NAMES, TEMPLATE_SHARE = 6, 0.3
+#: Names whose number follows another name's number, and their share of the long names, from which they come from a template.
+TEMPLATE_NAMES, TEMPLATE_SHARE = 5, 0.3
 DATA_SHARE, DATA_CHARS = 0.5, 600
 #: Bits above the own project's median from which cross-entropy alone tells a file; a project of fewer files is compared with its language.
 OUTLIER_BITS, LEAST_FILES = 2.0, 8
@@ -131,10 +131,12 @@ def trigrams_of(name: str) -> list[str]:
 
 
 def diversity(names: list[str]) -> tuple[int, int, int, int]:
-    """Distinct identifiers, those of them with more than three characters besides numbers, what these are without numbers, and how many carry one."""
+    """Distinct identifiers, those of them with more than three characters besides numbers, what these are without numbers, and how many go on counting."""
     distinct = set(names)
     long = [(n, stem) for n in distinct if len(stem := re.sub(r"\d+", "", n)) > 3]
-    return len(distinct), len(long), len({stem for _, stem in long}), sum(n != stem for n, stem in long)
+    numbers = [int(found[-1][:18]) for n, _ in long if (found := re.findall(r"\d+", n))]
+    there = set(numbers)
+    return len(distinct), len(long), len({stem for _, stem in long}), sum(n - 1 in there for n in numbers)
 
 
 def naming_style(names: list[str]) -> tuple[float, float]:
