@@ -101,16 +101,16 @@ def successive(records: DataFrame) -> DataFrame:
 def lookup(symbols: DataFrame, names: DataFrame, most: int = 8) -> DataFrame:
     """names(project, name) against symbols by name or the tail of a qualified name.
 
-    One match is returned with its text at confidence .95, several (the first eight) as signatures at .65.
+    One match is returned with its text at confidence .95, several (the first eight) as signatures at .65. The first
+    symbols of a name are taken before names meet them, so a hot name does not multiply its callers.
     """
     wanted = names.select("project", "name", F.element_at(F.split("name", "[.#]"), -1).alias("symbol")).distinct()
     counts = symbols.groupBy("project", "symbol").agg(F.count(F.lit(1)).alias("matches"))
-    rank = F.row_number().over(W.partitionBy("project", "name").orderBy("sym_id"))
+    rank = F.row_number().over(W.partitionBy("project", "symbol").orderBy("sym_id"))
+    first = symbols.withColumn("rank", rank).where(F.col("rank") <= most)
     return (
         wanted.join(counts, ["project", "symbol"])
-        .join(symbols, ["project", "symbol"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= most)
+        .join(first, ["project", "symbol"])
         .select(
             "project",
             "name",
