@@ -20,7 +20,7 @@ def test_nested_records_need_no_shuffle_and_read_two_columns(spark, data):
 
 def test_lines_are_shuffled_once_before_segments(spark, data):
     lines = spark.read.parquet(f"{data}/run_output.parquet")
-    plan = plan_of(G.segments(G.delivered_once(G.parse_lines(lines, G.Dictionary({}), []))))
+    plan = plan_of(G.segments(G.delivered_once(G.parse_lines(lines, G.EMPTY))))
     assert plan.count("Exchange") == 1 and "Cartesian" not in plan
 
 
